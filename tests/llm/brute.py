@@ -23,3 +23,41 @@ def base_quality(text: str | None) -> dict[str, int | bool]:
         "n_repeat_words": len(inside),
         "base_failed": len(ws) < 50 or 100 * len(inside) > 50 * len(ws),
     }
+
+
+def lower(text: str | None) -> str:
+    """A-Z alone in lower case."""
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+def shingle_set(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
+    ws = WORD.findall(lower(text))
+    if not ws:
+        return set()
+    return {tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))}
+
+
+def near_duplicates(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """doc_id -> (n_shingles, component_id); all pairs that share a shingle are compared."""
+    sets = [shingle_set(t) for _, t in rows]
+    at: dict[tuple[str, ...], list[int]] = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(i)
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in at[x] if j < i}:
+            both = len(s & sets[j])
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least: dict[int, int] = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] = min(doc, least.get(root(i), doc))
+    return {doc: (len(sets[i]), least[root(i)] if sets[i] else doc) for i, (doc, _) in enumerate(rows)}
