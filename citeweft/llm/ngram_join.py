@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, pick
+from .common import bounded_batches, durable, pick
 from .components import components
 from .hashing import U, WordHashes, mix64, shingles, split, texts
 
@@ -178,6 +178,7 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``documents``."""
+    bounded_batches(documents.sparkSession)
     rows = pick(documents, doc_id="bigint", text="string")
     first = durable(rows.mapInArrow(_sketches, FIRST_DDL).withColumn("node", _node()))
     full = first.where("n > 0")
