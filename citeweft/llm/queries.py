@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality, url_rules
+from . import chat, maxent, mixing, ngram_join, packing, quality, url_rules
 from .common import pick, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents"))
 
 
+def op8_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("source")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op6_mix_sources": op6_mix_sources,
+    "op8_maxent_score": op8_maxent_score,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_url_filter": op10_url_filter,
 }

@@ -61,3 +61,19 @@ def near_duplicates(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
     for i, (doc, _) in enumerate(rows):
         least[root(i)] = min(doc, least.get(root(i), doc))
     return {doc: (len(sets[i]), least[root(i)] if sets[i] else doc) for i, (doc, _) in enumerate(rows)}
+
+
+def base_scores(rows: list[tuple[int, str | None]], modulus: int = 7, remainder: int = 2) -> dict[int, tuple[bool, int, int, int, float]]:
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score)."""
+    from collections import Counter
+    from math import log10
+    from zlib import crc32
+
+    counts: Counter = Counter()
+    tokens = {doc: [*WORD.findall(lower(t)), "\n"] for doc, t in rows}
+    out = {doc: crc32(str(doc).encode()) % modulus == remainder for doc, _ in rows}
+    for doc, ws in tokens.items():
+        if not out[doc]:
+            counts.update(ws)
+    n, v = sum(counts.values()), len(counts)
+    return {doc: (out[doc], len(ws), sum(counts[w] > 0 for w in ws), n, sum(log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for doc, ws in tokens.items()}
