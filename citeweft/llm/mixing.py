@@ -132,7 +132,8 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = 64) -> DataFrame:
         "block", F.explode(F.sequence(F.floor(F.col("begin") / block).cast("bigint"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("bigint")))
     )
     t = slots.select(F.col("source").alias("t_source"), F.col("block").alias("t_block"), "first", "length", "pass_", "shard")
-    met = spread.join(t, (F.col("block") == F.col("t_block")) & F.col("source").eqNullSafe(F.col("t_source")))
+    # the planner sees the few sources that slots come from, not the many slots: it must not broadcast them
+    met = spread.join(t.hint("merge"), (F.col("block") == F.col("t_block")) & F.col("source").eqNullSafe(F.col("t_source")))
     a = F.greatest("first", "begin")
     b = F.least(F.col("first") + F.col("length"), F.col("begin") + F.col("size"))
     return met.withColumn("skip", a - F.col("begin")).withColumn("n", b - a).where("n > 0").drop("t_source", "t_block", "block", "first", "length")
@@ -146,7 +147,7 @@ def taken_by_document(documents: DataFrame, block: int = 64, **options: object)
     got = pieces(placed, slots, block).groupBy("source", "begin").agg(F.sum("n").alias("taken"))
     got = got.select(F.col("source").alias("g_source"), F.col("begin").alias("g_begin"), "taken")
     fits = (F.col("begin") == F.col("g_begin")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") > 0)
-    return placed.join(got, fits, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return placed.join(got.hint("merge"), fits, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, block: int = 64, **options: object) -> DataFrame:
@@ -162,7 +163,7 @@ def mixed_documents(documents: DataFrame, block: int = 64, **options: object) ->
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("lang", "n_chars")))
     m = met.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("source").alias("m_source"), F.col("copy").alias("m_copy"), "pass_", "runs", "n", "size")
     fits = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("copy") == F.col("m_copy"))
-    both = rows.join(m, fits)
+    both = rows.join(m.hint("merge"), fits)
     ws = F.array_remove(F.split("text", SPACES), "")
     part = F.get(F.transform(F.array(ws), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["skip"] + 1).cast("int"), r["n"].cast("int")))), " ")), F.lit(0))
     text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part)
