@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, maxent, mixing, ngram_join, packing, quality, secret_scan, url_rules
+from . import ann, chat, langid, maxent, mixing, ngram_join, packing, quality, secret_scan, url_rules
 from .common import pick, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op5_nearest_vectors": op5_nearest_vectors,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_maxent_score": op8_maxent_score,

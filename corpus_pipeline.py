@@ -1,7 +1,59 @@
-"""The corpus pipeline: quality rules, near-duplicate join, secret scan, source mix, packing."""
+"""The corpus pipeline: five stages, each a function of (spark, docs, sf_dir); all but the last keep documents' columns.
 
-ORACLE_SQL = None
+SQL cannot express the learned stages, so ``ORACLE_SQL`` is None and the tests hold the run against plain versions.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from citeweft.llm import mixing, ngram_join, packing, quality, secret_scan
+from citeweft.llm.common import durable, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the learned decision list go."""
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return ngram_join.one_of_each_group(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return secret_scan.redacted_documents(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and with as much of their text, as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences, a row for each piece of a document."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard", one_of_each_group),
+    ("secret_scan", without_secrets),
+    ("mix_sources", mixed),
+    ("pack_sequences", packed),
+]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
