@@ -5,12 +5,13 @@ similarity is 0.8 or more. For sets of a and b elements the symmetric difference
 size is over 1.25 times the other.
 
 Sketch: every shingle flips one bit, chosen by its hash. Each element of the symmetric difference changes one bit at
-most, so the Hamming distance of two sketches is a lower bound of that difference D. The sketch is made of p blocks of
-64 bits, p > D, the same for all sets of a size band (a power of two up to the next; sets that could have partners in
-the band above are sketched there as well). By the pigeonhole principle p - D blocks or more agree. A set therefore
-emits only its D + 1 best blocks: in the global order of blocks (more set bits, then larger key) the best block on
-which two similar sets agree is among the D + 1 best of both. Blocks that many unrelated sets share, empty or with one
-bit, stay out that way, and no link is lost.
+most, so the Hamming distance of two sketches is a lower bound of that difference D. The sketch is made of p wide
+blocks, p > D, the same for all sets of a size band (a power of two up to the next; sets that could have partners in
+the band above are sketched there as well). Blocks are so wide that few of their bits are set; one is kept as the XOR
+of the hashes of its set bits, which parity keeps right. By the pigeonhole principle p - D blocks or more agree. A set
+therefore emits only its D + 1 best blocks: in the global order of blocks (more set bits, then larger key) the best
+block on which two similar sets agree is among the D + 1 best of both. Blocks that many unrelated sets share, empty or
+with one bit, stay out that way, and no link is lost.
 
 Join: sets are never paired all with all. Equal sets are one class from the start, named by its smallest doc_id (each
 task sketches a class once). Of each bucket of equal block keys, every member meets one pivot; each class is verified
@@ -63,20 +64,22 @@ def levels(n: int) -> list[int]:
 def block_keys(s: np.ndarray) -> np.ndarray:
     """The join keys of a set, sorted shingle hashes: its best blocks in each of its bands."""
     n = len(s)
-    keep = most_different(n) + 1
+    keep, hashed = most_different(n) + 1, mix64(s + U(0x9E3779B97F4A7C15))
     out = []
     for level in levels(n):
         p = blocks_of(level)
         block = ((s >> U(32)) * U(p)) >> U(32)  # does not fall, as s is sorted
         starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        parity = np.bitwise_xor.reduceat(U(1) << (s & U(63)), starts)
+        parity = np.bitwise_xor.reduceat(hashed, starts)
+        count = np.diff(np.append(starts, n)).astype(U)
         place = block[starts]
         if len(place) < keep:
             empty = np.setdiff1d(np.arange(p, dtype=U), place, assume_unique=True)
-            place, parity = np.concatenate((place, empty)), np.concatenate((parity, np.zeros(len(empty), U)))
+            none = np.zeros(len(empty), U)
+            place, parity, count = np.concatenate((place, empty)), np.concatenate((parity, none)), np.concatenate((count, none))
         key = mix64(mix64(parity) ^ mix64(place + U((level + 1) << 40)))
         if len(key) > keep:
-            order = (np.bitwise_count(parity).astype(U) << U(57)) | (key >> U(7))
+            order = (np.minimum(count, U(63)) << U(58)) | (key >> U(6))
             key = key[np.argpartition(order, len(key) - keep)[len(key) - keep :]]
         out.append(key)
     return np.concatenate(out) if len(out) > 1 else out[0]
