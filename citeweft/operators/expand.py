@@ -26,7 +26,7 @@ def snowball(edges: DataFrame, seeds: DataFrame, included: DataFrame, max_rounds
     includes; all trials go through one crawl, and a trial is over when its frontier is empty.
     """
     gold = included.select("key").distinct()
-    step = edges.select("src", "dst").distinct()
+    step = durable(edges.select("src", "dst").distinct())  # every round reads it
     found = durable(seeds.select("trial", "key").distinct().withColumn("n", F.lit(0)).withColumn("included", F.lit(True)))
     frontier = found
     for n in range(1, max_rounds + 1):

@@ -14,6 +14,8 @@ from ..functions import scalars as S
 from ..functions.udfs import canonical_json
 from ..model import Eligibility
 from ..operators import eligibility, estimate, expand, prisma, rank, resolve, simulate, stats, stopping, verify
+from ..sinks import exports
+from ..sources import files
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -915,3 +917,50 @@ def cache_integrity(spark, d):
     c = c.withColumn("cache_key", S.request_key(F.col("provider"), F.col("method"), F.when(F.col("k") % 10 == 0, F.lit("{}")).otherwise(F.format_string('{"a":1,"b":%d}', "k"))))
     c = c.withColumn("response_hash", S.response_hash(F.when(F.col("k") % 6 == 0, F.lit("{}")).otherwise(F.format_string('{"x":[],"y":%d}', "k"))))
     return verify.integrity(c, "k").select(F.col("k").cast("string").alias("cache_key"), "key_ok", "body_ok")
+
+
+# --- exports -----------------------------------------------------------------------------------------------------
+
+
+def _work_rows(spark, d) -> DataFrame:
+    """Parts as whole works, for the exports."""
+    w = A.works(spark, d)
+    none = F.lit(None).cast("string")
+    author = F.struct(F.regexp_replace("venue", "[^A-Za-z]", "").alias("surname"), F.lit("X").alias("given"), none.alias("orcid"))
+    p = F.struct(F.lit("a").alias("provider"), F.lit("backward").alias("direction"), F.lit("p").alias("parent_key"), F.lit(1).alias("iteration"), F.lit("").alias("retrieved_at"), F.lit("").alias("response_hash"))
+    key = F.col("key").cast("string")
+    return w.select(key.alias("key"), "title", F.array(author).alias("authors"), "year", "venue", F.lower("type").alias("type"), F.concat(F.lit("10.1000/"), key).alias("doi"), "abstract", F.array(p).alias("provenance"))
+
+
+@query(
+    f"""WITH {A.SQL_WORKS} SELECT key::VARCHAR AS key, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'AU  - ' || regexp_replace(venue, '[^A-Za-z]', '', 'g') || ', X' || chr(10) || 'PY  - ' || year || chr(10) || 'JO  - ' || venue || chr(10)
+    || 'DO  - 10.1000/' || key || coalesce(chr(10) || 'AB  - ' || abstract, '') || chr(10) || 'ER  - ' AS entry FROM works"""
+)
+def ris_lines(spark, d):
+    return exports.ris(_work_rows(spark, d))
+
+
+SQL_BIB = f"""{A.SQL_WORKS}, base AS (SELECT key::VARCHAR AS key, lower(regexp_replace(venue, '[^A-Za-z]', '', 'g')) || year ||
+  coalesce(list_filter(string_split(trim(regexp_replace(lower(title), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: length(x) > 3)[1], '') AS base FROM works),
+num AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY key) AS n FROM base)"""
+
+
+@query(f"WITH {SQL_BIB} SELECT key, CASE WHEN n > 1 THEN base || chr((96 + n)::INT) ELSE base END AS bibkey FROM num")
+def bibtex_keys(spark, d):
+    return exports.bibtex_keys(_work_rows(spark, d))
+
+
+@query(f"WITH {A.SQL_WORKS} SELECT key::VARCHAR AS key, row_number() OVER (ORDER BY year DESC, key::VARCHAR)::BIGINT AS rank, printf('%.6f', year::DOUBLE) AS score, regexp_replace(venue, '[^A-Za-z]', '', 'g') || ', X' AS authors, 'a' AS providers FROM works")
+def candidates_export(spark, d):
+    w = _work_rows(spark, d)
+    out = exports.candidates(w, w.select("key", F.col("year").cast("double").alias("score")))
+    return longs(out.select("key", "rank", "score", "authors", "providers"))
+
+
+@query("SELECT 'doi:10.1000/' || p_partkey AS ident, p_partkey::VARCHAR AS key FROM part UNION ALL SELECT 'OPENALEX:w' || p_partkey, p_partkey::VARCHAR FROM part UNION ALL SELECT 'nobody', NULL")
+def alias_lookup(spark, d):
+    """Identifiers of works resolved by exact name, then in lower case."""
+    w = _work_rows(spark, d).withColumn("source_ids", F.create_map(F.lit("openalex"), F.concat(F.lit("W"), "key")))
+    names = files.aliases(w)
+    asked = w.select(F.concat(F.lit("doi:"), "doi").alias("ident")).union(w.select(F.concat(F.lit("OPENALEX:w"), "key"))).union(spark.range(1).select(F.lit("nobody")))
+    return files.resolve_identifiers(asked, names)
