@@ -100,7 +100,7 @@ def bootstrap_mean(values: DataFrame, replicates: int = 200, level: float = 0.95
         p /= k
     weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
     each = values.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = each.groupBy("replicate").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
+    means = each.groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return values.agg(F.avg("value").alias("mean")).join(ends)
