@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, pick
+from .common import bounded_batches, durable, hashed_sample, pick
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -159,7 +159,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, max_sample: int
     bounded_batches(spark, 16 << 20)
     rows = durable(usable(embeddings))
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()
+    sample = hashed_sample(rows, "vec_id", max_sample).toPandas()
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], empty)

@@ -17,7 +17,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pick, words
+from .common import durable, hashed_sample, pick, words
 
 #: What rules may test: shares of the counts below, comparable between short and long texts.
 FEATURES = ("symbol_share", "upper_share", "bang_share", "repeat_share", "dup_line_share", "word_length", "distinct_share", "n_words")
@@ -148,7 +148,7 @@ def learn(labelled: DataFrame, max_rows: int = 50_000, bins: int = 24, max_tests
     halfway between neighbours among the quantiles of the bad rows and of the good ones, ``bins`` of each and the ends.
     """
     part = F.pmod(F.xxhash64(F.lit("part"), F.coalesce("doc_id", F.lit(-1))), F.lit(3)) < 2
-    rows = labelled.select("doc_id", "bad", *(F.col(f).cast("double").alias(f) for f in FEATURES)).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_rows)
+    rows = hashed_sample(labelled.select("doc_id", "bad", *(F.col(f).cast("double").alias(f) for f in FEATURES)), "doc_id", max_rows)
     rows = durable(rows.withColumn("grow", part).coalesce(4))
     at = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
     cuts: dict[str, list[float]] = {f: [] for f in FEATURES}
@@ -233,8 +233,8 @@ def taught(documents: DataFrame, labels: DataFrame, max_rows: int = 50_000, **op
     Documents that fail the base rules are not learned from.
     """
     votes = pick(labels, doc_id="bigint", quality="int").where("quality is not null and doc_id is not null")
-    votes = votes.groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    votes = F.broadcast(durable(votes))
+    votes = durable(votes.groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad")))
+    votes = F.broadcast(durable(hashed_sample(votes, "doc_id", max_rows)))
     rows = pick(documents, doc_id="bigint", text="string").join(votes.select("doc_id"), "doc_id")
     stats = durable(statistics(rows)).where(f"not ({BASE_FAILED})").join(votes, "doc_id")
     return learn(stats, max_rows=max_rows, **options)
