@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import durable
+from ..storage import durable, durable_counted
 
 
 def neighbours(edges: DataFrame, frontier: DataFrame, works: DataFrame | None = None, directions: tuple[str, ...] | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def snowball(edges: DataFrame, seeds: DataFrame, included: DataFrame, max_rounds
     edges (src, dst), seeds (trial, key), included (key): what the screener takes. The frontier is the round's new
     includes; all trials go through one crawl, and a trial is over when its frontier is empty.
     """
-    gold = included.select("key").distinct()
+    gold = durable(included.select("key").distinct())
     step = durable(edges.select("src", "dst").distinct())  # every round reads it
     found = durable(seeds.select("trial", "key").distinct().withColumn("n", F.lit(0)).withColumn("included", F.lit(True)))
     frontier = found
@@ -33,8 +33,8 @@ def snowball(edges: DataFrame, seeds: DataFrame, included: DataFrame, max_rounds
         near = step.join(frontier.select("trial", F.col("key").alias("src")), "src").select("trial", F.col("dst").alias("key")).distinct()
         fresh = near.join(found, ["trial", "key"], "left_anti")
         marked = fresh.join(gold.withColumn("included", F.lit(True)), "key", "left")
-        new = durable(marked.select("trial", "key", F.lit(n).alias("n"), F.coalesce("included", F.lit(False)).alias("included")))
-        if new.isEmpty():
+        new, count = durable_counted(marked.select("trial", "key", F.lit(n).alias("n"), F.coalesce("included", F.lit(False)).alias("included")))
+        if not count:
             break
         found = durable(found.union(new)) if n % 8 == 0 else found.union(new)
         frontier = new.where("included")

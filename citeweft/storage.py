@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,10 @@ def durable(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def durable_counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """As ``durable``, with the number of rows, or of those for which ``what`` holds, counted as they are written."""
+    seen = Observation()
+    out = durable(df.observe(seen, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")))
+    return out, int(seen.get["n"])
