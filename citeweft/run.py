@@ -49,6 +49,11 @@ class Run:
     def _empty(self, ddl: str) -> DataFrame:
         return self.spark.createDataFrame([], ddl)
 
+    def _rows(self, rows: list[dict], ddl: str) -> DataFrame:
+        """A row for each round, columns by name."""
+        names = [c.split()[0] for c in ddl.split(", ")]
+        return self.spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ddl)
+
     def init(self, idents: DataFrame) -> int:
         """Resolves seed identifiers (ident); they count as included. Returns how many were found."""
         found = files.resolve_identifiers(idents, files.aliases(self.works))
@@ -152,13 +157,13 @@ class Run:
 
     def history(self) -> DataFrame:
         ddl = "trial string, n int, n_raw long, n_after_dedup long, n_screened long, n_included long, cumulative_screened long, cumulative_included long, frontier_size long, yield_rate double"
-        return self.spark.createDataFrame([tuple(r.values()) for r in self.rounds], ddl)
+        return self._rows(self.rounds, ddl)
 
     def evaluate(self) -> DataFrame:
         """The decisions of all rules for all rounds; exhaustion is always among them."""
         rules = dict(self.settings.rules) | {"exhaustion": {}}
         h = self.history()
-        trail = self.spark.createDataFrame([tuple(r.values()) for r in self.trail], "trial string, n int, estimable boolean, n_hat double, recall double, recall_low double")
+        trail = self._rows(self.trail, "trial string, n int, estimable boolean, n_hat double, recall double, recall_low double")
         make = {
             "marginal_yield": lambda **k: stopping.marginal_yield(h, **k),
             "budget": lambda **k: stopping.budget(h, **k),
