@@ -150,20 +150,25 @@ def taken_by_document(documents: DataFrame, block: int = 64, **options: object)
     return placed.join(got.hint("merge"), fits, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def _row_key() -> Column:
+    """A 64-bit key of document, text and source, nulls told apart from values."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("text_hash"))
+
+
 def mixed_documents(documents: DataFrame, block: int = 64, **options: object) -> DataFrame:
     """The mix as documents: a row for each document and pass that takes any of it, with all its columns.
 
-    A whole pass takes the text as it is; a partial one the taken words, in order, with blanks between.
+    A whole pass takes the text as it is; a partial one the taken words, in order, with blanks between. Rows that
+    repeat document, text and source are copies: each of their uses carries the columns of the first.
     """
     placed, slots = mix(documents, block, **options)
-    met = pieces(placed, slots, block).groupBy("doc_id", "text_hash", "source", "size", "copy", "pass_").agg(F.array_sort(F.collect_list(F.struct("skip", "n"))).alias("runs"), F.sum("n").alias("n"))
+    met = pieces(placed, slots, block).withColumn("k", _row_key()).groupBy("k", "copy", "pass_", "size").agg(F.array_sort(F.collect_list(F.struct("skip", "n"))).alias("runs"), F.sum("n").alias("n"))
+    uses = met.groupBy("k").agg(F.collect_list(F.struct("copy", "pass_", "runs", "n", "size")).alias("uses"))
     rows = pick(documents, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
-    rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # repeated rows are numbered as in ``place``: equal rows, so any order will do
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("lang", "n_chars")))
-    m = met.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("source").alias("m_source"), F.col("copy").alias("m_copy"), "pass_", "runs", "n", "size")
-    fits = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("copy") == F.col("m_copy"))
-    both = rows.join(m.hint("merge"), fits)
+    # texts move once: rows that repeat document, text and source meet here, and the join goes by the same key
+    rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("k", _row_key())
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("lang", "n_chars"))).where("nth = 1")
+    both = rows.join(uses.hint("merge"), "k").select("doc_id", "text", "lang", "source", F.explode("uses").alias("use")).select("doc_id", "text", "lang", "source", "use.runs", "use.n", "use.size")
     ws = F.array_remove(F.split("text", SPACES), "")
     part = F.get(F.transform(F.array(ws), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["skip"] + 1).cast("int"), r["n"].cast("int")))), " ")), F.lit(0))
     text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part)
