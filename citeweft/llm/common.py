@@ -68,7 +68,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches by bytes as well as by rows, so that very long texts do not add up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > most:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

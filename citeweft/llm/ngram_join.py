@@ -111,7 +111,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(ids, texts(batch.column("text")), strict=True):
             s = shingles(cache.of(split(text)))
             name = _named(s)
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             new = len(s) and name not in seen
             seen.add(name)
@@ -135,11 +135,18 @@ def _sets(bitmap: object):
             if not len(wanted):
                 continue
             part = batch.take(pa.array(wanted))
-            sets = [shingles(cache.of(split(t))) for t in texts(part.column("text"))]
-            names = [_named(s) for s in sets]
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[k] for x in names], pa.int64()) for k in range(3)), items], names=["doc_id", "n", "h1", "h2", "items"])
+            sets: list[np.ndarray] = []
+            first = size = 0
+            for k, text in enumerate(texts(part.column("text"))):
+                sets.append(shingles(cache.of(split(text))))
+                size += len(sets[-1])
+                if size >= 1 << 17 or k == part.num_rows - 1:  # sets go out in small batches, too
+                    names = [_named(s) for s in sets]
+                    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                    items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                    ids_ = part.column("doc_id").slice(first, len(sets))
+                    yield pa.RecordBatch.from_arrays([ids_, *(pa.array([x[c] for x in names], pa.int64()) for c in range(3)), items], names=["doc_id", "n", "h1", "h2", "items"])
+                    first, sets, size = k + 1, [], 0
 
     return run
 
