@@ -75,7 +75,7 @@ def mix(documents: DataFrame, block: int = 64, shard_words: int = 1 << 20, weigh
     Runs with the same input agree.
     """
     rows = pick(documents, doc_id="bigint", text="string", source="string")
-    rows = rows.withColumn("size", size_of(F.col("text"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    rows = rows.withColumn("size", size_of(F.col("text"))).withColumn("part", (_digits(F.lit("part"), F.col("doc_id").cast("string")) % PARTS).cast("int"))
     rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     sizes = durable(rows.drop("text"))
     return place(sizes, block, shard_words, weights, total, most)

@@ -92,5 +92,48 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(12 + role_chars + 1 + chars + 11)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), walk(doc_id, other) AS (SELECT a, b FROM links UNION SELECT w.doc_id, l.b FROM walk w JOIN links l ON l.a = w.other),
+least AS (SELECT doc_id, min(other) AS other FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+""",
+    "op6_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('part|' || doc_id), 1, 8))::BIGINT % 4096 AS part FROM documents
+), per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM per),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap ELSE w * max(level) FILTER (ratio > level) OVER () END AS target FROM l),
+placed AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+    (coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.part, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS beg
+  FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+), k AS (SELECT source, source_size, least(round(target)::BIGINT, 2 * source_size) AS taken, source_size // 64 AS nfull, coalesce('s' || source, 'null') AS name FROM t WHERE source_size > 0),
+passes AS (SELECT *, unnest(range(0, taken // source_size + 1)) AS p FROM k),
+parts AS (SELECT *, least(source_size, taken - p * source_size) AS words FROM passes),
+ranks AS (SELECT *, unnest(range(0, (words - 1) // 64 + 1)) AS rk FROM parts WHERE words > 0),
+perm AS (SELECT *, ([1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103])[('0x' || substr(md5('factor|' || name || '|' || p), 1, 8))::BIGINT % 8 + 1] AS f,
+    ('0x' || substr(md5('shift|' || name || '|' || p), 1, 8))::BIGINT AS sh FROM ranks),
+slots AS (SELECT source, CASE WHEN rk < nfull THEN (rk * (f % greatest(nfull, 1)) + sh) % greatest(nfull, 1) ELSE nfull END AS block, least(64, words - rk * 64) AS length FROM perm),
+spread AS (SELECT doc_id, source, size, beg, unnest(range(beg // 64, (beg + size - 1) // 64 + 1)) AS block FROM placed WHERE size > 0),
+got AS (
+  SELECT d.source, d.beg, sum(greatest(0, least(s.block * 64 + s.length, d.beg + d.size) - greatest(s.block * 64, d.beg)))::BIGINT AS taken
+  FROM spread d JOIN slots s ON s.block = d.block AND s.source IS NOT DISTINCT FROM d.source GROUP BY d.source, d.beg
+)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken
+FROM placed p LEFT JOIN got g ON g.beg = p.beg AND g.source IS NOT DISTINCT FROM p.source AND p.size > 0
 """,
 }
