@@ -215,6 +215,12 @@ def heterogeneity(rows: DataFrame, limit: float = 0.25) -> DataFrame:
     return rows.groupBy("dimension").agg(F.min("mean_arms").alias("lowest"), F.max("mean_arms").alias("highest")).withColumn("flagged", F.coalesce(F.try_divide(F.col("highest") - F.col("lowest"), F.col("highest")) > limit, F.lit(False)))
 
 
+def trial_captures(found: DataFrame, trials: list[str]) -> DataFrame:
+    """Capture histories with trials as arms, for crawls from split seeds: (key, a boolean column for each trial)."""
+    inc = found.where("included")
+    return inc.groupBy("key").agg(*(F.bool_or(F.col("trial") == t).alias(t) for t in trials))
+
+
 def estimate_recall(histories: DataFrame, arms: list[str], method: str = "chapman") -> dict:
     """One estimate as a dictionary; fewer than two arms are refused. Chapman goes by the first two arms."""
     if len(arms) < 2:

@@ -52,6 +52,19 @@ def auc(rows: DataFrame) -> DataFrame:
     return part.agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("q").cast("double")).alias("auc"), F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"))
 
 
+def auc_by(rows: DataFrame) -> DataFrame:
+    """As ``auc`` for each predictor of rows (name, score, positive); rows without score are left out."""
+    by = rows.where("score is not null").groupBy("name", "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    w = Window.partitionBy("name").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    part = by.withColumn("u", F.col("p") * (F.coalesce(F.sum("q").over(w), F.lit(0)) + F.col("q") / 2.0))
+    return part.groupBy("name").agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("q").cast("double")).alias("auc"), F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"))
+
+
+def control_groups(rows: DataFrame, tau: float) -> DataFrame:
+    """(name, n, include_rate, mean) of control groups in rows (name, score): blind controls, negative controls."""
+    return rows.where("score is not null").groupBy("name").agg(F.count("*").alias("n"), F.avg((F.col("score") >= tau).cast("double")).alias("include_rate"), F.avg("score").alias("mean"))
+
+
 def threshold_band(scores: DataFrame, taus: list[float]) -> DataFrame:
     """(tau, n_included, n, share) of mean scores at each threshold."""
     mean = scores.groupBy("key").agg(F.avg("score").alias("score"))

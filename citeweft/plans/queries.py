@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -567,6 +567,24 @@ def closure_window(spark, d):
     return A.table(spark, d, "events").groupBy(F.col("event_type").alias("provider")).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), (F.min(day) != F.max(day)).alias("differs"))
 
 
+def _split_seeds(spark, d) -> DataFrame:
+    """The ten smallest gold keys dealt to two crawls."""
+    k = A.gold(spark, d).orderBy("key").limit(10).withColumn("r", F.row_number().over(Window.orderBy("key")))
+    return k.select(F.when(F.col("r") % 2 == 1, "x").otherwise("y").alias("trial"), "key")
+
+
+@query(
+    f"""WITH RECURSIVE {A.SQL_EDGES}, {A.SQL_GOLD}, starts AS (SELECT CASE WHEN row_number() OVER (ORDER BY key) % 2 = 1 THEN 'x' ELSE 'y' END AS trial, key FROM (SELECT key FROM gold ORDER BY key LIMIT 10)),
+    reach(trial, key, n) AS (SELECT trial, key, 0 FROM starts UNION SELECT r.trial, e.dst, r.n + 1 FROM reach r JOIN gold g ON g.key = r.key JOIN edges e ON e.src = r.key WHERE r.n < 25),
+    cap AS (SELECT key, bool_or(trial = 'x') AS a, bool_or(trial = 'y') AS b FROM reach WHERE key IN (SELECT key FROM gold) GROUP BY key),
+    ov AS (SELECT count(*) FILTER (a)::BIGINT AS n1, count(*) FILTER (b)::BIGINT AS n2, count(*) FILTER (a AND b)::BIGINT AS m, count(*)::BIGINT AS n_observed FROM cap), {SQL_CHAPMAN} {SQL_CHAPMAN_OUT}"""
+)
+def seed_split_estimate(spark, d):
+    """Two crawls from split seeds as capture arms."""
+    found = expand.snowball(A.edges(spark, d), _split_seeds(spark, d), A.gold(spark, d))
+    return longs(estimate.chapman(estimate.overlap(estimate.trial_captures(found, ["x", "y"]), ["x", "y"])))
+
+
 # --- stopping ----------------------------------------------------------------------------------------------------
 
 
@@ -842,6 +860,29 @@ def top_rank_agreement(spark, d):
     return longs(stats.top_agreement(t.select("key", F.col("x").alias("score")), t.select("key", F.col("y").alias("score"))))
 
 
+@query(
+    f"""WITH RECURSIVE {A.SQL_REACH}, cited AS (SELECT dst AS key, count(*) AS c FROM edges GROUP BY dst), pool AS (SELECT f.key, f.included, c, 1970 + p_size AS year, p_retailprice AS price FROM found f JOIN part ON p_partkey = f.key LEFT JOIN cited ON cited.key = f.key WHERE n > 0),
+    rows_ AS (SELECT 'cited_by' AS name, coalesce(c, 0)::DOUBLE AS score, included FROM pool UNION ALL SELECT 'year', year::DOUBLE, included FROM pool UNION ALL SELECT 'price', price, included FROM pool),
+    b AS (SELECT name, score, count(*) FILTER (included) AS p, count(*) FILTER (NOT included) AS q FROM rows_ GROUP BY name, score),
+    u AS (SELECT name, p, q, p * (coalesce(sum(q) OVER (PARTITION BY name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS u FROM b)
+    SELECT name, round(sum(u) / (sum(p) * sum(q)), 6) AS auc, sum(p)::BIGINT AS n_positive, sum(q)::BIGINT AS n_negative FROM u GROUP BY name"""
+)
+def bibliometric_auc(spark, d):
+    """How well citations, year and price tell included works from the other found ones."""
+    e = A.edges(spark, d)
+    cited = e.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("c"))
+    price = A.table(spark, d, "part").select(F.col("p_partkey").alias("key"), (1970 + F.col("p_size")).cast("double").alias("year"), F.col("p_retailprice").alias("price"))
+    pool = crawl(spark, d).where("n > 0").join(price, "key").join(cited, "key", "left")
+    each = F.array(*(F.struct(F.lit(n).alias("name"), c.cast("double").alias("score")) for n, c in (("cited_by", F.coalesce("c", F.lit(0))), ("year", F.col("year")), ("price", F.col("price")))))
+    return longs(stats.auc_by(pool.select(F.inline(each), F.col("included").alias("positive"))))
+
+
+@query(f"WITH {A.SQL_SCORES} SELECT CASE WHEN actual THEN 'seed' ELSE 'control' END AS name, count(*)::BIGINT AS n, round(avg((score >= 6)::INT), 6) AS include_rate, round(avg(score), 6) AS mean FROM scores WHERE score IS NOT NULL GROUP BY 1")
+def negative_control(spark, d):
+    s = A.scores(spark, d)
+    return longs(stats.control_groups(s.select(F.when(F.col("actual"), "seed").otherwise("control").alias("name"), "score"), 6))
+
+
 # --- reports and verification ------------------------------------------------------------------------------------
 
 

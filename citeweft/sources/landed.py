@@ -190,3 +190,10 @@ def match_references(references: DataFrame, candidates: DataFrame, least_score:
     best = both.withColumn("k", F.row_number().over(Window.partitionBy("path", "ord").orderBy(F.desc("jw"), "cand_ord"))).where("k = 1").select("path", "ord", S.normalize_doi(F.col("c_doi")).alias("found"), (100 * F.col("jw")).alias("found_confidence"))
     out = references.join(best, ["path", "ord"], "left")
     return out.withColumn("confidence", F.when(F.col("doi").isNotNull(), F.lit(100.0)).otherwise(F.col("found_confidence"))).withColumn("doi", F.coalesce("doi", "found")).drop("found", "found_confidence")
+
+
+def tei_works(references: DataFrame) -> DataFrame:
+    """Matched references as works; the confidence of the match is kept among the source ids."""
+    null = F.lit(None).cast("string")
+    authors = F.transform("surnames", lambda x: _author(x, null, null))
+    return _works(references, doi=F.col("doi"), title=F.col("title"), year=F.col("year"), authors=authors, venue=F.col("journal"), unresolved=F.col("doi").isNull(), source_ids=_ids(grobid_confidence=F.format_string("%.1f", "confidence")))

@@ -64,6 +64,8 @@ def test_tei_and_matching(spark):
     assert got == [(0, "First paper", ["Cook"], 2010, "Jour", "10.1000/f"), (1, "A book of things", [], 1999, None, None)]
     cand = spark.createDataFrame([("a", 1, 0, "10.1/bad", 90.0, "Other", 1999), ("a", 1, 1, "10.1000/BK", 80.0, "A book of thing", 2000), ("a", 1, 2, "10.1000/no", 99.0, "A book of things", 2005), ("a", 1, 3, "10.1000/low", 10.0, "A book of things", 1999)], "path string, ord int, cand_ord int, doi string, score double, title string, year int")
     m = {r.ord: (r.doi, r.confidence) for r in landed.match_references(refs, cand).collect()}
+    w = {r.title: (r.key, r.unresolved, r.source_ids) for r in landed.tei_works(landed.match_references(refs, cand)).collect()}
+    assert w["First paper"] == ("doi:10.1000/f", False, {"grobid_confidence": "100.0"}) and w["A book of things"][0] == "doi:10.1000/bk"
     assert m[0] == ("10.1000/f", 100.0) and m[1][0] == "10.1000/bk" and 90 < m[1][1] < 100
 
 
