@@ -80,8 +80,8 @@ def null_score(candidates: DataFrame) -> DataFrame:
 
 
 def positions(scores: DataFrame) -> DataFrame:
-    """Ranks from 1 by falling score, then key. Scores are compared to 12 places, whatever the order of summing."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "key")))
+    """Ranks from 1 by falling score, then key. Scores are compared to 8 places, whatever the order of summing."""
+    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 8).desc(), "key")))
 
 
 def fuse(rankings: dict[str, DataFrame], k: int = 60) -> DataFrame:
@@ -101,7 +101,7 @@ def fuse(rankings: dict[str, DataFrame], k: int = 60) -> DataFrame:
 
 def top(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Candidates in order (rank, key, score), the first k."""
-    out = scores if k is None else scores.orderBy(F.round("score", 12).desc(), "key").limit(k)
+    out = scores if k is None else scores.orderBy(F.round("score", 8).desc(), "key").limit(k)
     return positions(out)
 
 

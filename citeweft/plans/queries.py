@@ -393,7 +393,7 @@ def bm25_rank(spark, d):
     return rank.bm25(inc, cand).select("key", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {SQL_TERMS} SELECT key, round(score, 5) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, key)::BIGINT AS rank FROM bms QUALIFY rank <= 50")
+@query(f"WITH {SQL_TERMS} SELECT key, round(score, 5) AS score, row_number() OVER (ORDER BY round(score, 8) DESC, key)::BIGINT AS rank FROM bms QUALIFY rank <= 50")
 def topk_candidates(spark, d):
     inc, cand = _split(spark, d)
     return rank.top(rank.bm25(inc, cand), 50).select("key", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -435,7 +435,7 @@ def embedding_centroid_rank(spark, d):
     return longs(rank.centroid_score(v, v.where("label = 0")))
 
 
-@query(f"WITH {SQL_CENTROID}, nul AS (SELECT key, 0.0 AS score FROM cs), ra AS (SELECT key, row_number() OVER (ORDER BY round(score, 12) DESC, key) AS r FROM cs), rb AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS r FROM nul) SELECT key, round(1.0 / (60 + ra.r) + 1.0 / (60 + rb.r), 6) AS score FROM ra JOIN rb USING (key)")
+@query(f"WITH {SQL_CENTROID}, nul AS (SELECT key, 0.0 AS score FROM cs), ra AS (SELECT key, row_number() OVER (ORDER BY round(score, 8) DESC, key) AS r FROM cs), rb AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS r FROM nul) SELECT key, round(1.0 / (60 + ra.r) + 1.0 / (60 + rb.r), 6) AS score FROM ra JOIN rb USING (key)")
 def rrf_fusion(spark, d):
     v = A.vectors(spark, d)
     return longs(rank.fuse({"centroid": rank.centroid_score(v, v.where("label = 0")), "null": rank.null_score(v)}))

@@ -25,7 +25,7 @@ def _listed(field: str) -> Column:
 
 def candidates(works: DataFrame, scores: DataFrame) -> DataFrame:
     """The candidate list in order of rank, 13 columns of text."""
-    rows = works.join(scores.select("key", "score"), "key").withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "key")))
+    rows = works.join(scores.select("key", "score"), "key").withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 8).desc(), "key")))
     return rows.select(
         "rank",
         "key",
