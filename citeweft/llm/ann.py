@@ -2,13 +2,14 @@
 
 Fitting takes a bounded sample, the vectors whose vec_id hashes lowest (``max_sample``): coarse centroids by k-means,
 then one codebook for each group of dimensions over what the centroids leave. How many lists a query probes is measured
-on the sample itself: the fewest for which the sample's own nearest neighbours are found with recall ``target``.
+on the sample itself, each vector once: the fewest for which its own nearest neighbours are found with recall ``target``.
 
 Every vector is put into the list of its nearest centroid with its codes. Lists are cut into tiles of about ``tile``
 vectors, and the queries that probe a list into groups of about ``tile``, so that a list or a vector that holds a third
 of all rows is spread over many tasks. A task holds one tile and one group: tables of inner products between the parts
-of each query and all code words (asymmetric distances) rank the tile, and the best ``rerank`` are scored again with
-their original vectors in double precision. The tiles' answers are merged by query.
+of each query and all code words (asymmetric distances) rank the tile, and the best ``rerank``, with all that come
+within twice the tables' usual error of the k-th, are scored again with their original vectors in double precision, so
+that crowds of vectors with equal codes are told apart. The tiles' answers are merged by query.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
 no part; ties go to the smaller vec_id; a query gets all candidates if there are fewer than ``k``; a repeated vec_id is
@@ -46,15 +47,19 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What every task knows: centroids (lists by dimensions), codebooks (groups by words by dimensions), probes."""
+    """What every task knows: centroids (lists by dimensions), codebooks (groups by words by dimensions), probes.
+
+    ``noise``: by how much approximate inner products are off on the sample, root mean square.
+    """
 
     centroids: np.ndarray
     books: np.ndarray
     probes: int
+    noise: float = 0.0
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, group: int = 4, words: int = 256, k: int = 20, target: float = 0.97) -> Index:
-        x = sample.astype(np.float64)
+        x = np.unique(sample.astype(np.float64), axis=0)  # copies would stand for most neighbours and most centroids
         lists = max(1, min(lists, len(x)))
         c = k_means(x, lists)
         rest = x - c[nearest(x, c)]
@@ -64,11 +69,13 @@ class Index:
         out = cls(c, books, lists)
         # how many lists hold the sample's own neighbours
         asked = x[:: max(1, len(x) // 400)]
+        at = nearest(x, c)
+        out.noise = float(np.sqrt(np.mean((asked @ (x - out.decode(out.encode(x, at), at)).T) ** 2)))
         score = asked @ x.T
         score[np.arange(len(asked)), np.arange(len(x))[:: max(1, len(x) // 400)]] = -np.inf
         best = np.argsort(-score, 1, kind="stable")[:, : min(k, len(x) - 1)]
         order = np.argsort(np.argsort(-(asked @ c.T), 1, kind="stable"), 1)
-        rank = np.take_along_axis(order, nearest(x, c)[best], 1)  # of each neighbour's list among the query's
+        rank = np.take_along_axis(order, at[best], 1)  # of each neighbour's list among the query's
         for probes in range(1, lists + 1):
             if not rank.size or (rank < probes).mean() >= target:
                 out.probes = probes
@@ -81,6 +88,10 @@ class Index:
         parts = np.pad(rest, ((0, 0), (0, groups * width - x.shape[1]))).reshape(len(x), groups, width)
         return np.stack([nearest(parts[:, g], self.books[g]) for g in range(groups)], 1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        rest = np.concatenate([self.books[g][codes[:, g]] for g in range(len(self.books))], 1)
+        return self.centroids[at] + rest[:, : self.centroids.shape[1]]
+
     def approximate(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries with the coded vectors of list ``at``, from tables by group and code word."""
         groups, _, width = self.books.shape
@@ -129,6 +140,14 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))][:k]
 
 
+def _close(score: np.ndarray, ids: np.ndarray, k: int, least: int, margin: float) -> np.ndarray:
+    """Positions worth an exact look: the ``least`` best, and all within the margin of the k-th best."""
+    if len(score) <= least:
+        return np.arange(len(score))
+    some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - margin) if k < len(score) else np.arange(len(score))
+    return some if len(some) >= least else _top(score, ids, least)
+
+
 def _search(shared: object, k: int, rerank: int):
     def run(key: tuple, asked: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         index: Index = shared.value
@@ -141,7 +160,7 @@ def _search(shared: object, k: int, rerank: int):
                 near = index.approximate(q[a : a + 256], int(key[0]), codes)
                 for name, one, row in zip(names[a : a + 256], q[a : a + 256], near, strict=True):
                     row[ids == name] = -np.inf
-                    some = _top(row, ids, rerank)
+                    some = _close(row, ids, k, rerank, 2 * index.noise)
                     some = some[ids[some] != name]
                     exact = np.einsum("ij,j->i", x[some], one)
                     best = _top(exact, ids[some], k)

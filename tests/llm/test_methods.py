@@ -438,3 +438,18 @@ def test_pruned_rules(spark):
     df = spark.createDataFrame([(["a", "b"], "block")] * 20 + [(["b"], "allow")] * 20 + [(["c", "a"], "block")] * 2, "tokens array<string>, verdict string")
     found = url_rules.mine(df, min_support=0.1)
     assert [(r.tokens, r.verdict) for r in found] == [(("a",), "block")]
+
+
+def test_crowds_of_close_vectors_are_told_apart(spark):
+    """Hundreds of vectors with equal codes: the exact look must reach all of them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16))
+    x[:600] = x[0] + 1e-4 * rng.normal(size=(600, 16))
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, rerank=32).collect()
+    hit = 0
+    for q in range(0, 900, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.95 * 20 * 9
