@@ -184,8 +184,6 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, max_sample: int
         return spark.createDataFrame([], empty)
     lists = int(min(4096, max(1, total**0.5 / 4), max(1, len(sample) / 32)))
     index = Index.fit(np.stack(sample["v"].to_numpy()), lists, k=k, target=target)
-    if total <= 2 * max_sample // 8:
-        index.probes = len(index.centroids)  # a few vectors: all lists
     shared = spark.sparkContext.broadcast(index)
     ddl = "vec_id long, v array<double>, list int"
     stored = durable(rows.mapInPandas(_place(shared, False), ddl))

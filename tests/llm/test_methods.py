@@ -453,3 +453,25 @@ def test_crowds_of_close_vectors_are_told_apart(spark):
         s[q] = -np.inf
         hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:20].tolist()))
     assert hit >= 0.95 * 20 * 9
+
+
+@pytest.mark.parametrize("total", [1500, 3000])
+def test_probes_come_from_the_fit_at_every_size(spark, monkeypatch, total):
+    """Skewed clusters: lists are skipped below and above 2,048 vectors, and the neighbours are found all the same."""
+    rng = np.random.default_rng(9)
+    centres = 4 * rng.normal(size=(12, 16))
+    share = 0.6 ** np.arange(12)
+    x = centres[rng.choice(12, total, p=share / share.sum())] + rng.normal(size=(total, 16))
+    probed, place = [], ann._place
+    monkeypatch.setattr(ann, "_place", lambda shared, probe: (probed.append((shared.value.probes, len(shared.value.centroids))), place(shared, probe))[1])
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    found: dict = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(probes < lists for probes, lists in probed)
+    hit = 0
+    for q in range(0, total, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.95 * 20 * len(found) and len(found) == total // 20
