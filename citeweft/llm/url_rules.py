@@ -1,6 +1,7 @@
 """URL filters by association rules (DataFrame and SQL functions, Spark's own FP-growth).
 
-URLs become sets of tokens (``tld=net``, ``domain=example.net``, ``host=…``, ``dir=en``, ``arg=utm_source``, …).
+URLs become sets of tokens (``tld=net``, ``domain=example.net``, ``host=…`` for each longer end of the host, ``sub=www``
+for its first label, ``label=…`` for every label but the last, ``dir=en`` for every part of the path, ``arg=utm_source``, …).
 FP-growth mines combinations of tokens that go with one label; rules are pruned by confidence, support and by
 dropping those that a shorter rule already covers. Rules are matched through an inverted index, token to rules.
 
@@ -44,7 +45,7 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column, host_: Column, path_: Column) -> Column:
-    """The distinct tokens of a URL, those that generalise: not the page's own name."""
+    """The distinct tokens of a URL; digits in parts of the path are one 0, what is too rare is left to ``mine``."""
     labels = F.split(host_, r"\.")
     n = F.size(labels)
     named = host_ != ""
@@ -53,7 +54,11 @@ def tokens(url: Column, host_: Column, path_: Column) -> Column:
     ends = F.regexp_extract(path_, r"(\.[A-Za-z0-9]{1,8})$", 1)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     args = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("arg="), F.substring_index(x, "=", 1)))
-    first = F.transform(F.slice(dirs, 1, 1), lambda x: F.concat(F.lit("dir="), F.regexp_replace(x, "[0-9]+", "0")))
+    parts = F.transform(dirs, lambda x: F.concat(F.lit("dir="), F.regexp_replace(x, "[0-9]+", "0")))
+    inner = F.transform(F.filter(F.slice(labels, 1, F.greatest(n - 1, F.lit(0))), lambda x: x != ""), lambda x: F.concat(F.lit("label="), x))
+    # ends of three labels or more, the whole host first
+    longer = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.concat(F.lit("host="), F.array_join(F.slice(labels, k, n), ".")))
+    longer = F.when(n >= 3, longer).otherwise(F.array().cast("array<string>"))
     one = F.array(
         F.when(named, F.concat(F.lit("tld="), F.element_at(labels, -1))),
         domain,
@@ -61,7 +66,7 @@ def tokens(url: Column, host_: Column, path_: Column) -> Column:
         F.when(ends != "", F.concat(F.lit("ext="), ends)),
         F.when(~named, F.lit("none")),
     )
-    return F.array_distinct(F.filter(F.concat(one, first, args), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.concat(one, longer, inner, parts, args), lambda x: x.isNotNull()))
 
 
 def explicit(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> Column:

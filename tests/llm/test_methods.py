@@ -475,3 +475,23 @@ def test_probes_come_from_the_fit_at_every_size(spark, monkeypatch, total):
         s[q] = -np.inf
         hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
     assert hit >= 0.95 * 20 * len(found) and len(found) == total // 20
+
+
+def test_all_labels_and_path_segments_can_be_rules(spark):
+    rows = [(f"http://m{k}.{'casino-win' if k % 2 else 'plain'}.site{k}.com/x", "block" if k % 2 else "allow") for k in range(100)]
+    rows += [(f"http://q{k}.org/en{k}/{'pills' if k % 2 else 'news'}/y", "block" if k % 2 else "allow") for k in range(100)]
+    rows += [(f"http://{a}.b.shop.net/{k}", v) for a, v in (("bad", "block"), ("good", "allow")) for k in range(20)]
+    urls = {1: "http://w.casino-win.example.com/", 2: "http://w.plain.example.com/", 3: "http://z.org/a/pills/b", 4: "http://z.org/a/news/b", 5: "http://v.bad.b.shop.net/new"}
+    labels = spark.createDataFrame(rows, "url string, verdict string")
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, [], labels=labels).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+
+
+def test_tokens_of_odd_hosts(spark):
+    urls = ["http://a.b.c.com/x/y7", "http://com/", "http://a..com", None, "x"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r.t for r in df.select(url_rules.tokens(F.col("url"), url_rules.host(F.col("url")), url_rules.path(F.col("url"))).alias("t")).collect()]
+    assert got[0] == ["tld=com", "domain=c.com", "sub=a", "host=a.b.c.com", "host=b.c.com", "label=a", "label=b", "label=c", "dir=x", "dir=y0"]
+    assert got[1] == ["tld=com"] and got[3] == got[4] == ["none"]
+    assert got[2] == ["tld=com", "domain=.com", "sub=a", "host=a..com", "label=a"]
