@@ -80,8 +80,8 @@ def explicit(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> Colu
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, max_rules: int = 200, max_tokens: int = 3) -> list[Learned]:
-    """Rules from rows (tokens, verdict), strongest first. ``max_rules`` bounds what is sent to the executors.
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, max_tokens: int = 3) -> list[Learned]:
+    """Rules from rows (tokens, verdict), strongest first. Minimum support bounds their number.
 
     The search is FP-growth over the distinct token sets with the verdict as one more item. A rule is kept when its
     confidence and support suffice and no shorter part of it is kept for the same verdict.
@@ -101,11 +101,12 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     alone = sides.where(F.col("verdict").isNull()).select("tokens", F.col("freq").alias("freq_tokens"))
     both = sides.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
     rated = both.join(alone, "tokens").select("tokens", F.substring_index("verdict", "=", -1).alias("verdict"), (F.col("freq") / F.col("freq_tokens")).alias("confidence"), F.col("freq").cast("long").alias("support"))
-    best = rated.where(F.col("confidence") >= min_confidence).orderBy(F.size("tokens"), F.desc("confidence"), F.desc("support"), "tokens", "verdict").limit(max_rules)
-    kept: list[Learned] = []
-    for r in best.collect():  # at most max_rules rows, shortest first
-        if not any(set(k.tokens) <= set(r.tokens) and k.verdict == r.verdict for k in kept):
-            kept.append(Learned(tuple(r.tokens), r.verdict, float(r.confidence), int(r.support)))
+    good = durable(rated.where(F.col("confidence") >= min_confidence))
+    # a rule is covered if any shorter part of it is good: that part is kept, or a part of it is
+    parts = "filter(aggregate(tokens, array(cast(array() as array<string>)), (all, t) -> concat(all, transform(all, x -> array_append(x, t)))), x -> size(x) > 0 and size(x) < size(tokens))"
+    covered = good.select("tokens", "verdict", F.explode(F.expr(parts)).alias("part"))
+    covered = covered.join(good.select(F.col("tokens").alias("part"), "verdict"), ["part", "verdict"], "left_semi").select("tokens", "verdict")
+    kept = [Learned(tuple(r.tokens), r.verdict, float(r.confidence), int(r.support)) for r in good.join(covered, ["tokens", "verdict"], "left_anti").collect()]
     return sorted(kept, key=lambda k: (-k.confidence, -k.support, k.tokens, k.verdict))
 
 

@@ -541,3 +541,12 @@ def test_tree_is_a_distribution_and_grows(spark, docs):
         model.weights = weights
         context = np.repeat(np.array([[3], [5], [7]], np.uint64), len(leaves), 1)
         assert abs(np.exp(model.log_probs(context, leaves)).sum() - 1) < 1e-3
+
+
+def test_no_rule_is_cut_by_number(spark):
+    """More than 200 rules of one token, and rules of two that no shorter one covers."""
+    rows = [([f"t{k}"], "block") for k in range(220) for _ in range(5)]
+    rows += [(t, v) for t, v in ((["a", "b"], "block"), (["a"], "allow"), (["b"], "allow")) for _ in range(20)]
+    found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    kept = {(r.tokens, r.verdict) for r in found}
+    assert kept == {((f"t{k}",), "block") for k in range(220)} | {(("a", "b"), "block")}
