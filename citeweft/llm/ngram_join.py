@@ -5,24 +5,25 @@ similarity is 0.8 or more. For sets of a and b elements the symmetric difference
 size is over 1.25 times the other.
 
 Sketch: every shingle flips one bit, chosen by its hash. Each element of the symmetric difference changes one bit at
-most, so the Hamming distance of two sketches is a lower bound of that difference D. The sketch is made of p wide
-blocks, p > D, the same for all sets of a size band (a power of two up to the next; sets that could have partners in
-the band above are sketched there as well). Blocks are so wide that few of their bits are set; one is kept as the XOR
-of the hashes of its set bits, which parity keeps right. By the pigeonhole principle p - D blocks or more agree. A set
-therefore emits only its D + 1 best blocks: in the global order of blocks (more set bits, then larger key) the best
-block on which two similar sets agree is among the D + 1 best of both. Blocks that many unrelated sets share, empty or
-with one bit, stay out that way, and no link is lost.
-
-Join: sets are never paired all with all. Equal sets are one class from the start, named by its smallest doc_id (each
-task sketches a class once). Of each bucket of equal block keys, every member meets one pivot; each class is verified
-with the pivot that it shares most buckets with, and linked classes become components. Buckets whose members are then
-all in one component are done. In the others, members of different components meet, pass the size test and the
-Hamming test of 512-bit folded sketches, and are verified. Verification intersects the whole sets.
+most, so the Hamming distance of two sketches is a lower bound of that difference D. The sketch is made of p blocks,
+p > D, the same for all sets of a size band (a power of two up to the next; sets that could have partners in the band
+above are sketched there as well); one is kept as the XOR of the hashes of its set bits, which parity keeps right. By the
+pigeonhole principle p - D blocks or more agree. A set therefore emits only its D + 1 best blocks: in the global order of
+blocks the best one on which two similar sets agree is among the D + 1 best of both, whatever the order. Rare blocks come
+first: a block is as rare as its rarest shingle, by a table of counts over all texts (``counters`` numbers, summed over
+the tasks), then go those with more bits, then by key. So a passage that a large part of the texts shares, or an empty
+block, makes a bucket only among texts that hold little else, and no link is lost: the table only orders.
+
+Join: sets are never paired all with all. Equal sets are one class from the start, named by a 64-bit hash (each task
+sketches a class once). Of each bucket of equal block keys, every member meets one pivot; each class is verified with the
+pivot that it shares most buckets with, and linked classes become components. Buckets whose members are then all in one
+component are done. In the others, members of different components meet, pass the size test and the Hamming test of
+512-bit folded sketches, and are verified. Verification intersects the whole sets.
 
 Edge cases: empty or null texts have an empty set and are linked with nothing; fewer than five words are one shingle;
 rows with the same doc_id count as one document; a null doc_id is a document of its own, whose component is the
-smallest id that it reaches, or null; repeated rows stay; an empty table gives no rows. Equality of sets and shingles
-is that of their 64- and 128-bit hashes; a wrong match has a chance below 1e-15 for each pair.
+smallest id that it reaches, or null; any 64-bit doc_id will do; repeated rows stay; an empty table gives no rows.
+Equality of sets and shingles is that of their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, pick
 from .components import components
 from .hashing import U, WordHashes, mix64, shingles, split, texts
 
-#: Nodes from here on stand for rows without a doc_id.
-UNNAMED = 1 << 62
-#: Bits of the bitmap that tells pass two which documents it need not read; fixed, whatever the input.
+#: Bits of the bitmap that tells the last pass which documents it need not read; fixed, whatever the input.
 BITMAP = 1 << 26
+#: Counters that go in one row.
+PART = 1 << 12
 
 
 def most_different(n: int) -> int:
@@ -50,9 +51,8 @@ def most_different(n: int) -> int:
 
 
 def blocks_of(level: int) -> int:
-    """Blocks of the sketches of sets with up to 2**(level + 1) - 1 elements."""
-    top = (2 << level) - 1
-    return max(-(-2 * (top + 1) // 5), most_different(top) + 1)
+    """Blocks of the sketches of sets with up to 2**(level + 1) - 1 elements; more than any difference between them."""
+    return 2 << level
 
 
 def levels(n: int) -> list[int]:
@@ -61,10 +61,14 @@ def levels(n: int) -> list[int]:
     return [j, j + 1] if 5 * n // 4 >= 2 << j else [j]
 
 
-def block_keys(s: np.ndarray) -> np.ndarray:
-    """The join keys of a set, sorted shingle hashes: its best blocks in each of its bands."""
+def block_keys(s: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The join keys of a set, sorted shingle hashes: its best blocks in each of its bands.
+
+    counts: binary digits of how often shingles occur, by the last bits of their hashes.
+    """
     n = len(s)
     keep, hashed = most_different(n) + 1, mix64(s + U(0x9E3779B97F4A7C15))
+    often = np.zeros(n, U) if counts is None else counts[(s & U(len(counts) - 1)).astype(np.int64)].astype(U)
     out = []
     for level in levels(n):
         p = blocks_of(level)
@@ -72,15 +76,17 @@ def block_keys(s: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         parity = np.bitwise_xor.reduceat(hashed, starts)
         count = np.diff(np.append(starts, n)).astype(U)
+        rare = np.minimum.reduceat(often, starts)
         place = block[starts]
         if len(place) < keep:
             empty = np.setdiff1d(np.arange(p, dtype=U), place, assume_unique=True)
             none = np.zeros(len(empty), U)
             place, parity, count = np.concatenate((place, empty)), np.concatenate((parity, none)), np.concatenate((count, none))
+            rare = np.concatenate((rare, none + U(63)))
         key = mix64(mix64(parity) ^ mix64(place + U((level + 1) << 40)))
         if len(key) > keep:
-            order = (np.minimum(count, U(63)) << U(58)) | (key >> U(6))
-            key = key[np.argpartition(order, len(key) - keep)[len(key) - keep :]]
+            order = (rare << U(58)) | (U(15) - np.minimum(count, U(15)) << U(54)) | (key >> U(10))
+            key = key[np.argpartition(order, keep - 1)[:keep]]
         out.append(key)
     return np.concatenate(out) if len(out) > 1 else out[0]
 
@@ -91,37 +97,92 @@ def folded(s: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-FIRST_DDL = "doc_id long, n long, h1 long, h2 long, sketch array<long>, keys array<long>"
-SETS_DDL = "doc_id long, n long, h1 long, h2 long, items array<long>"
+FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+FIRST_DDL = "doc_id long, n long, c long, sketch array<long>, keys array<long>"
+SETS_DDL = "doc_id long, c long, items array<long>"
+
+
+def _named(s: np.ndarray) -> int:
+    """A set's class: a hash of all its elements."""
+    return int(mix64(np.array([len(s)], U) + mix64(s * U(0x9E3779B97F4A7C15) + U(1)).sum(dtype=U)).view(np.int64)[0])
+
 
+class _New:
+    """Which sets a task has not met lately."""
 
-def _named(s: np.ndarray) -> tuple[int, int, int]:
-    if not len(s):
-        return 0, 0, 0
-    return len(s), int(np.bitwise_xor.reduce(s).view(np.int64)), int(mix64(s * U(0x9E3779B97F4A7C15) + U(1)).sum(dtype=U).view(np.int64))
+    def __init__(self, most: int = 50_000):
+        self.seen, self.most = set(), most
 
+    def __call__(self, name: int) -> bool:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        out = name not in self.seen
+        self.seen.add(name)
+        return out
+
+
+def _occurrences(counters: int):
+    """Texts to (part, w): in how many sets shingles occur, by the last bits of their hashes; copies count once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, new, counts = WordHashes(), _New(), np.zeros(counters, np.uint32)
+        for batch in batches:
+            for text in texts(batch.column("text")):
+                s = shingles(cache.of(split(text)))
+                if len(s) and new(_named(s)):
+                    np.add.at(counts, (s & U(counters - 1)).astype(np.int64), np.uint32(1))
+        for part, a in enumerate(range(0, counters, PART)):
+            if (some := counts[a : a + PART]).any():
+                small = np.uint8 if some.max() < 1 << 8 else np.uint16 if some.max() < 1 << 16 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.astype(small).tobytes()], pa.binary())], names=["part", "w"])
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, seen = WordHashes(), set()
+    return run
+
+
+def _digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of counters as numbers of binary digits."""
+    sums: dict[int, np.ndarray] = {}
+    kinds = {PART: np.uint8, 2 * PART: np.uint16, 4 * PART: np.uint32}
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        rows: list[list] = [[] for _ in FIRST.names]
-        keys: list[np.ndarray] = []
-        for doc, text in zip(ids, texts(batch.column("text")), strict=True):
-            s = shingles(cache.of(split(text)))
-            name = _named(s)
-            if len(seen) > 50_000:
-                seen.clear()
-            new = len(s) and name not in seen
-            seen.add(name)
-            for column, value in zip(rows, (doc, *name, folded(s) if new else None), strict=False):
-                column.append(value)
-            keys.append(block_keys(s) if new else s[:0])
-        ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        columns = [pa.array(c, f.type) for c, f in zip(rows[:5], FIRST, strict=False)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=FIRST)
+        for part, raw in zip(batch.column("part").to_pylist(), batch.column("w"), strict=True):
+            buffer = raw.as_buffer()
+            sums.setdefault(part, np.zeros(PART, np.int64))
+            sums[part] += np.frombuffer(buffer, kinds[len(buffer)])
+    for part, w in sums.items():
+        digits = np.ceil(np.log2(w + 1.0)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([digits.tobytes()], pa.binary())], names=["part", "w"])
+
+
+def occurrences(rows: DataFrame, most: int = 1 << 22) -> np.ndarray:
+    """Binary digits of how often shingles occur in all texts; ``most`` counters, fewer for few texts: they only order."""
+    counters = 1 << min(most.bit_length() - 1, max(12, (16 * rows.count()).bit_length()))
+    got = durable(rows.select("text").mapInArrow(_occurrences(counters), "part int, w binary").repartition("part").mapInArrow(_digits, "part int, w binary"))
+    out = np.zeros(counters, np.uint8)
+    for r in got.toLocalIterator():  # a byte for each counter
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(bytes(r.w), np.uint8)
+    return out
+
+
+def _sketches(counts: object):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, first = WordHashes(), _New()
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            rows: list[list] = [[] for _ in FIRST.names]
+            keys: list[np.ndarray] = []
+            for doc, text in zip(ids, texts(batch.column("text")), strict=True):
+                s = shingles(cache.of(split(text)))
+                name = _named(s)
+                new = len(s) and first(name)
+                for column, value in zip(rows, (doc, len(s), name, folded(s) if new else None), strict=False):
+                    column.append(value)
+                keys.append(block_keys(s, counts.value) if new else s[:0])
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            columns = [pa.array(c, f.type) for c, f in zip(rows[:4], FIRST, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=FIRST)
+
+    return run
 
 
 def _sets(bitmap: object):
@@ -141,20 +202,15 @@ def _sets(bitmap: object):
                 sets.append(shingles(cache.of(split(text))))
                 size += len(sets[-1])
                 if size >= 1 << 17 or k == part.num_rows - 1:  # sets go out in small batches, too
-                    names = [_named(s) for s in sets]
                     ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                     items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
                     ids_ = part.column("doc_id").slice(first, len(sets))
-                    yield pa.RecordBatch.from_arrays([ids_, *(pa.array([x[c] for x in names], pa.int64()) for c in range(3)), items], names=["doc_id", "n", "h1", "h2", "items"])
+                    yield pa.RecordBatch.from_arrays([ids_, pa.array([_named(s) for s in sets], pa.int64()), items], names=["doc_id", "c", "items"])
                     first, sets, size = k + 1, [], 0
 
     return run
 
 
-def _node() -> Column:
-    return F.coalesce("doc_id", F.lit(UNNAMED) + F.pmod(F.xxhash64("n", "h1", "h2"), F.lit(UNNAMED)))
-
-
 def _slot(doc_id: Column) -> Column:
     """A document's bit in the bitmap; all rows without a doc_id share the first."""
     return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(BITMAP)), F.lit(0))
@@ -164,78 +220,77 @@ def _fits(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of class names, those whose whole sets are similar. rows: (doc_id, text)."""
+def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose whole sets are similar. rows: (doc_id, text); classes: c, doc."""
     spark = rows.sparkSession
-    names = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    doc = F.when(F.col("rep") < UNNAMED, F.col("rep"))
-    slots = names.select(_slot(doc).alias("slot")).distinct().groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    names = durable(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+    slots = names.join(classes, "c").select(_slot(F.col("doc")).alias("slot")).distinct()
+    slots = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     bits = np.zeros(BITMAP >> 6, np.int64)
     got = slots.toPandas()  # at most BITMAP / 64 rows
     bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bits)
-    sets = rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL).where("n > 0")
-    sets = sets.withColumn("rep", _node())
-    # a document may stand in several rows; pairs name the class by size and hashes as well
-    one = sets.join(names, "rep", "left_semi").dropDuplicates(["rep", "h1", "h2"]).select("rep", "h1", "h2", "items")
-    one = durable(one)
-    left = pairs.join(one.select(F.col("rep").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("items").alias("b_items")), ["b", "b1", "b2"])
-    met = left.join(one.select(F.col("rep").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("items").alias("a_items")), ["a", "a1", "a2"])
+    sets = rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL)
+    # several rows of a document, or several without an id, may be read
+    one = durable(sets.join(names, "c", "left_semi").dropDuplicates(["c"]).select("c", "items"))
+    left = pairs.join(one.select(F.col("c").alias("b"), F.col("items").alias("b_items")), "b")
+    met = left.join(one.select(F.col("c").alias("a"), F.col("items").alias("a_items")), "a")
     both = F.size(F.array_intersect("a_items", "b_items"))
     met = met.select("a", "b", both.alias("both"), (F.size("a_items") + F.size("b_items")).alias("sizes"))
     return met.where("100L * both >= 80L * (sizes - both)").select("a", "b")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``documents``."""
-    bounded_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    bounded_batches(spark)
     rows = pick(documents, doc_id="bigint", text="string")
-    first = durable(rows.mapInArrow(_sketches, FIRST_DDL).withColumn("node", _node()))
+    counts = spark.sparkContext.broadcast(occurrences(rows, counters))
+    first = durable(rows.mapInArrow(_sketches(counts), FIRST_DDL))
     full = first.where("n > 0")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("node").alias("rep"), F.max("sketch").alias("sketch"))
-    members = durable(full.select("node", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]))
-    # buckets of equal keys, with a pivot
-    key = Window.partitionBy("key")
-    buckets = full.select("node", "n", F.explode("keys").alias("key")).withColumn("pivot", F.min("node").over(key)).withColumn("last", F.max("node").over(key))
-    buckets = durable(buckets.where("pivot < last").select("key", "node", "n", "pivot"))
-    met = durable(buckets.where("node <> pivot").groupBy("pivot", "node", "n").agg(F.count("*").alias("shared")))
-    as_a = members.select(F.col("node").alias("pivot"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    as_b = members.select("node", F.col("rep").alias("b"), F.col("n").alias("n"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    pairs = durable(met.join(as_b, ["node", "n"]).join(as_a, "pivot").where("a <> b"))
-    best = pairs.where(_fits(F.col("na"), F.col("n"))).groupBy("b", "b1", "b2").agg(F.max(F.struct("shared", "a", "a1", "a2")).alias("x")).select("b", "b1", "b2", "x.a", "x.a1", "x.a2")
-    same = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    links = durable(verified(rows, durable(best)))
+    classes = durable(full.groupBy("c").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    # documents that stand in several rows tie their classes
+    ids = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    same = durable(full.select("doc_id", "c").join(ids, "doc_id").where("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct())
+    # buckets of equal keys, with a pivot; a key's rows are summed up where they are before they meet
+    keyed = full.select("c", "n", F.explode("keys").alias("key"))
+    pivots = keyed.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("last")).where("pivot < last").select("key", "pivot")
+    buckets = durable(keyed.hint("merge").join(pivots.hint("merge"), "key").select("key", "c", "n", "pivot"))
+    met = durable(buckets.where("c <> pivot").groupBy("pivot", "c", "n").agg(F.count("*").alias("shared")))
+    pairs = met.hint("merge").join(classes.select(F.col("c").alias("pivot"), F.col("n").alias("m")).hint("merge"), "pivot")
+    best = pairs.where(_fits(F.col("m"), F.col("n"))).groupBy("c").agg(F.max(F.struct("shared", "pivot")).alias("x")).select(F.col("x.pivot").alias("a"), F.col("c").alias("b"))
+    links = durable(verified(rows, classes, durable(best)))
     found = durable(components(links.union(same)))
 
     def of(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
     # buckets that still hold several components
-    apart = of(of(pairs.select("pivot", "node", "n", "a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("pivot", "node", "n").distinct()
-    keys = buckets.join(apart, ["pivot", "node", "n"], "left_semi").select("key").distinct()
-    open_ = buckets.join(keys, "key", "left_semi").select("key", "node", "n")
-    own = members.select("node", "n", "rep", "h1", "h2", *(F.get("sketch", F.lit(k)).alias(f"k{k}") for k in range(8)))
-    open_ = of(open_.join(own, ["node", "n"]).drop("node"), "rep", "c").dropDuplicates(["key", "rep", "h1", "h2"])
-    open_ = durable(open_)
+    apart = of(of(met.select("pivot", "c"), "pivot", "cp"), "c", "cc").where("cp <> cc").select("pivot", "c")
+    keys = buckets.join(apart, ["pivot", "c"], "left_semi").select("key").distinct()
+    open_ = buckets.join(keys, "key", "left_semi").select("key", "c", "n").distinct()
+    own = classes.select("c", *(F.get("sketch", F.lit(k)).alias(f"k{k}") for k in range(8)))
+    open_ = durable(of(open_.join(own, "c"), "c", "comp"))
     x, y = open_.alias("x"), open_.alias("y")
     apart_bits = sum((F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(1, 8)), F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))))
-    sizes = F.col("x.n") + F.col("y.n")
-    test = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n")) & (9 * apart_bits <= sizes)
-    more = x.join(y, test).select(F.col("x.rep").alias("a"), F.col("x.h1").alias("a1"), F.col("x.h2").alias("a2"), F.col("y.rep").alias("b"), F.col("y.h1").alias("b1"), F.col("y.h2").alias("b2")).distinct()
-    links = links.union(durable(verified(rows, durable(more))))
+    test = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n")) & (9 * apart_bits <= F.col("x.n") + F.col("y.n"))
+    more = x.join(y, test).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    links = links.union(durable(verified(rows, classes, durable(more))))
     found = durable(components(links.union(same)))
-    at = of(members.select("node", "n", "h1", "h2", "rep"), "rep", "component").select("node", "n", "h1", "h2", F.when(F.col("component") < UNNAMED, F.col("component")).alias("component_id"))
-    out = first.join(at, ["node", "n", "h1", "h2"], "left")
+    # a component is called by the smallest doc_id of all its classes
+    named = durable(of(classes.select("c", "doc"), "c", "comp"))
+    least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    out = first.select("doc_id", "n", "c").join(named.join(least, "comp").select("c", "component_id"), "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest doc_id, whole rows.
 
-    Rows that repeat a doc_id count as copies; rows without a doc_id are kept.
+    Of rows that repeat a doc_id, those with different texts stay and copies of a text go; rows without a doc_id are kept.
     """
     rows = pick(documents, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
-    stay = near_duplicates(rows).where("doc_id = component_id").select("doc_id").distinct()
-    kept = rows.where("doc_id is not null").join(stay, "doc_id", "left_semi")
-    kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars"))).where("_copy = 1").drop("_copy")
-    return kept.union(rows.where("doc_id is null"))
+    stay = near_duplicates(rows).where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("_many"))
+    kept = rows.where("doc_id is not null").join(stay, "doc_id")
+    once = kept.where("_many").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return kept.where("not _many").select(*rows.columns).union(once.select(*rows.columns)).union(rows.where("doc_id is null"))

@@ -550,3 +550,40 @@ def test_no_rule_is_cut_by_number(spark):
     found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
     kept = {(r.tokens, r.verdict) for r in found}
     assert kept == {((f"t{k}",), "block") for k in range(220)} | {(("a", "b"), "block")}
+
+
+def test_near_duplicates_of_any_ids(spark):
+    """Ids from 2^62 on, negative ones and none; near copies, equal copies and unrelated texts."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(3000)]
+    ids = [(1 << 62) + 5, (1 << 62) + 9, (1 << 63) - 1, -(1 << 63), -7, 3]
+    base = list(rng.choice(words, 80))
+    rows = [(d, " ".join([*base[:-1], f"x{k % 3}"])) for k, d in enumerate(ids)]
+    rows += [(d + 1, " ".join(rng.choice(words, 80))) for d in ids if d + 1 < 1 << 63]
+    got = ngram_join.near_duplicates(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")).collect()
+    want = brute.near_duplicates(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert [r.component_id for r in got if r.doc_id is None] == [-(1 << 63)]
+
+
+def test_shared_passages_make_no_buckets(spark):
+    """A passage that all texts hold is in no bucket; a table of counts changes the order of blocks alone."""
+    rng = np.random.default_rng(14)
+    passage = rng.integers(0, 2**63, 36).astype(np.uint64)
+    sets = [np.unique(np.concatenate((passage, rng.integers(0, 2**63, 60).astype(np.uint64)))) for _ in range(400)]
+    counts = np.zeros(1 << 14, np.int64)
+    for s in sets:
+        np.add.at(counts, (s & np.uint64((1 << 14) - 1)).astype(np.int64), 1)
+    digits = np.ceil(np.log2(counts + 1.0)).astype(np.uint8)
+    keys = np.concatenate([ngram_join.block_keys(s, digits) for s in sets])
+    assert np.unique(keys, return_counts=True)[1].max() == 1
+    for s in sets[:50]:
+        t = np.unique(np.concatenate((s[rng.permutation(len(s))[: len(s) - 9]], rng.integers(0, 2**63, 9).astype(np.uint64))))
+        assert np.intersect1d(ngram_join.block_keys(s, digits), ngram_join.block_keys(t, digits)).size
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark):
+    far = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, far), (1, "other words altogether"), (1, far), (2, far)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each_group(df).collect()) == [(1, "other words altogether"), (1, far)]
