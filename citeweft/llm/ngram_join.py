@@ -15,7 +15,8 @@ the tasks), then go those with more bits, then by key. So a passage that a large
 block, makes a bucket only among texts that hold little else, and no link is lost: the table only orders.
 
 Join: sets are never paired all with all. Equal sets are one class from the start, named by a 64-bit hash (each task
-sketches a class once). Of each bucket of equal block keys, every member meets one pivot; each class is verified with the
+sketches a class once). Of each bucket of equal block keys, every member meets one pivot, the set with the most common
+shingles: of near copies, the least changed one. Each class is verified with the
 pivot that it shares most buckets with, and linked classes become components. Buckets whose members are then all in one
 component are done. In the others, members of different components meet, pass the size test and the Hamming test of
 512-bit folded sketches, and are verified. Verification intersects the whole sets.
@@ -61,6 +62,11 @@ def levels(n: int) -> list[int]:
     return [j, j + 1] if 5 * n // 4 >= 2 << j else [j]
 
 
+def centre(s: np.ndarray, counts: np.ndarray) -> int:
+    """How common a set's shingles are, in 1024ths of a binary digit: of near copies, the one with the fewest changes."""
+    return int(counts[(s & U(len(counts) - 1)).astype(np.int64)].mean() * 1024)
+
+
 def block_keys(s: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """The join keys of a set, sorted shingle hashes: its best blocks in each of its bands.
 
@@ -97,8 +103,8 @@ def folded(s: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
-FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-FIRST_DDL = "doc_id long, n long, c long, sketch array<long>, keys array<long>"
+FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("centre", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+FIRST_DDL = "doc_id long, n long, c long, centre long, sketch array<long>, keys array<long>"
 SETS_DDL = "doc_id long, c long, items array<long>"
 
 
@@ -174,12 +180,12 @@ def _sketches(counts: object):
                 s = shingles(cache.of(split(text)))
                 name = _named(s)
                 new = len(s) and first(name)
-                for column, value in zip(rows, (doc, len(s), name, folded(s) if new else None), strict=False):
+                for column, value in zip(rows, (doc, len(s), name, centre(s, counts.value) if new else 0, folded(s) if new else None), strict=False):
                     column.append(value)
                 keys.append(block_keys(s, counts.value) if new else s[:0])
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            columns = [pa.array(c, f.type) for c, f in zip(rows[:4], FIRST, strict=False)]
+            columns = [pa.array(c, f.type) for c, f in zip(rows[:5], FIRST, strict=False)]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=FIRST)
 
     return run
@@ -253,8 +259,9 @@ def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     ids = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     same = durable(full.select("doc_id", "c").join(ids, "doc_id").where("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct())
     # buckets of equal keys, with a pivot; a key's rows are summed up where they are before they meet
-    keyed = full.select("c", "n", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("last")).where("pivot < last").select("key", "pivot")
+    keyed = full.select("c", "n", (F.shiftleft("centre", 48) + F.col("c").bitwiseAND((1 << 48) - 1)).alias("w"), F.explode("keys").alias("key"))
+    pivots = keyed.groupBy("key").agg(F.max_by("c", "w").alias("pivot"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select("key", "pivot")
+    keyed = keyed.drop("w")
     buckets = durable(keyed.hint("merge").join(pivots.hint("merge"), "key").select("key", "c", "n", "pivot"))
     met = durable(buckets.where("c <> pivot").groupBy("pivot", "c", "n").agg(F.count("*").alias("shared")))
     pairs = met.hint("merge").join(classes.select(F.col("c").alias("pivot"), F.col("n").alias("m")).hint("merge"), "pivot")
