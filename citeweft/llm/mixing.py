@@ -1,10 +1,12 @@
 """Mixing sources to target weights (DataFrame and SQL functions only).
 
 The words of a source, document after document, are one stream, packed into blocks of ``block`` words. A source's
-target decides how many words the mix takes: whole passes over its blocks, then a part of one more pass. Each taken
-block is a slot; every slot draws its output shard, so that a shard's source counts are multinomial draws given the
-sources' totals. Slots are mapped to blocks through a pseudorandom permutation of the source's block numbers (another
-one each pass), and documents meet the taken blocks by block number.
+target decides how many words the mix takes: whole passes over its blocks, then a part of one more pass; each block taken
+is a slot. Output shards draw their source counts: multinomial, given the sources' totals, so that the mix meets the
+targets to the word. A source's slots are numbered shard by shard, and a slot's number goes through a pseudorandom
+permutation of the source's block numbers (another one each pass): a Feistel network over two mixed digits of about the
+square root of their number, repeated while it leads out of the numbers, which holds for any 64-bit number. Documents
+meet the taken blocks by block number, and every piece knows its shard.
 
 No source and no document is ever in one task: a source's stream is laid out by two levels of prefix sums, over
 ``PARTS`` hash parts of its documents and within each part.
@@ -22,8 +24,8 @@ from .common import SPACES, durable, pick
 
 #: Hash parts of a source's documents; the same at every input size.
 PARTS = 4096
-#: Primes, so that multiplying by one of them modulo a smaller number permutes the numbers.
-PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
+#: Rounds of the permutation, and how often it is repeated at most: numbers that lead out are fewer than the square root.
+ROUNDS, WALKS = 4, 64
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -67,7 +69,34 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
 
 
-def mix(documents: DataFrame, block: int = 64, shard_words: int = 1 << 20, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, not once for each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def permuted(number: Column, n: Column, key: Column) -> Column:
+    """A pseudorandom permutation of 0 .. n - 1 for each key, that any SQL engine can repeat."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint") + 1
+    b = F.call_function("div", n + a - 1, a)
+
+    def turn(k: int):
+        def of(p: Column) -> Column:
+            if k % 2:
+                return F.struct(p["low"].alias("low"), ((p["high"] + _digits(F.lit(str(k)), key, p["low"])) % b).alias("high"))
+            return F.struct(((p["low"] + _digits(F.lit(str(k)), key, p["high"])) % a).alias("low"), p["high"].alias("high"))
+
+        return of
+
+    def once(x: Column) -> Column:
+        pair = F.struct((x % a).alias("low"), F.call_function("div", x, a).alias("high"))
+        for k in range(ROUNDS):
+            pair = _let(pair, turn(k))
+        return _let(pair, lambda p: p["high"] * a + p["low"])
+
+    return _let(once(number), lambda first: F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))))
+
+
+def mix(documents: DataFrame, block: int = 64, shard_words: int = 1 << 16, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Documents placed in their streams, and the slots of the mix.
 
     placed: row_id, doc_id, text, source, size, source_size, target, begin (its first word in the source's stream).
@@ -98,29 +127,27 @@ def place(sizes: DataFrame, block: int, shard_words: int, weights: tuple[float,
     )
     # whole passes, then the rest; the short last block of a stream comes last in a pass
     taken = F.least(F.round("target").cast("bigint"), (F.lit(most) * F.col("source_size")).cast("bigint"))
-    s = per_source.where(F.col("source_size") > 0).select("source", "source_size", "all_words", taken.alias("taken"))
-    s = s.withColumn("full", F.floor(F.col("source_size") / block).cast("bigint"))
-    s = s.withColumn("passes", F.explode(F.sequence(F.lit(0), F.floor(F.col("taken") / F.col("source_size")).cast("int"))))
-    s = s.withColumn("words", F.least(F.col("source_size"), F.col("taken") - F.col("passes") * F.col("source_size"))).where("words > 0")
-    last = F.floor((F.col("words") - 1) / block).cast("bigint")
-    name = _named(F.col("source"))
-    s = s.withColumn("factor", F.get(F.array(*map(F.lit, PRIMES)), (_digits(F.lit("factor"), name, F.col("passes")) % len(PRIMES)).cast("int")))
-    s = s.withColumn("shift", _digits(F.lit("shift"), name, F.col("passes")))
-    # many small ranges first, so that a large source's slots are made by many tasks
-    s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / 4096).cast("bigint"))))
-    s = s.withColumn("last", last).repartition("source", "passes", "chunk")
-    s = s.withColumn("rank", F.explode(F.sequence(F.col("chunk") * 4096, F.least(F.col("last"), F.col("chunk") * 4096 + 4095))))
-    number = F.when(F.col("rank") < F.col("full"), (F.col("rank") * (F.col("factor") % F.greatest("full", F.lit(1))) + F.col("shift")) % F.greatest("full", F.lit(1))).otherwise(F.col("full"))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("all_words") / shard_words)).cast("bigint")
-    slots = s.select(
-        "source",
-        F.col("passes").alias("pass_"),
-        number.alias("block"),
-        (number * block).alias("first"),
-        F.least(F.lit(block), F.col("words") - F.col("rank") * block).cast("bigint").alias("length"),
-        F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), "passes", "rank"), shards).alias("shard"),
-    )
-    return placed, slots
+    s = per_source.where(F.col("source_size") > 0).select("source", "source_size", "all_words", taken.alias("taken")).where("taken > 0")
+    s = s.withColumn("each", F.ceil(F.col("source_size") / block).cast("bigint")).withColumn("passes", F.call_function("div", F.col("taken"), F.col("source_size")))
+    s = s.withColumn("slots", F.col("passes") * F.col("each") + F.ceil((F.col("taken") - F.col("passes") * F.col("source_size")) / block).cast("bigint"))
+    s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("all_words") / shard_words)).cast("bigint")).withColumn("name", _named(F.col("source")))
+    # the draw: every slot is thrown to a shard; small ranges, so that a large source's slots are thrown by many tasks
+    thrown = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("slots") - 1, F.lit(4096)))))
+    thrown = thrown.repartition("name", "chunk").withColumn("k", F.explode(F.sequence(F.col("chunk") * 4096, F.least(F.col("slots") - 1, F.col("chunk") * 4096 + 4095))))
+    drawn = thrown.select("name", (_digits(F.lit("shard"), F.col("name"), F.col("k")) % F.col("shards")).alias("shard")).groupBy("name", "shard").agg(F.count("*").alias("n"))
+    drawn = durable(drawn.withColumn("group", F.call_function("div", F.col("shard"), F.lit(4096))))
+    # slots are numbered shard by shard: sums over groups of shards, then within each
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = drawn.groupBy("name", "group").agg(F.sum("n").alias("n")).select("name", "group", F.coalesce(F.sum("n").over(before("name", "group")), F.lit(0)).alias("base"))
+    numbered = drawn.withColumn("inside", F.coalesce(F.sum("n").over(before("name", "group", "shard")), F.lit(0))).join(groups, ["name", "group"])
+    slots = numbered.join(s, "name").repartition("name", "shard")
+    slots = slots.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).withColumn("at", F.col("base") + F.col("inside") + F.col("j"))
+    slots = slots.withColumn("pass_", F.call_function("div", F.col("at"), F.col("each"))).withColumn("rank", F.col("at") % F.col("each"))
+    full = F.call_function("div", F.col("source_size"), F.lit(block))
+    number = F.when(F.col("rank") < full, permuted(F.col("rank"), full, F.concat_ws("|", "name", "pass_"))).otherwise(full)
+    words = F.least(F.col("source_size"), F.col("taken") - F.col("pass_") * F.col("source_size"))
+    slots = slots.select("source", "pass_", number.alias("block"), F.least(F.lit(block), words - F.col("rank") * block).cast("bigint").alias("length"), "shard")
+    return placed, slots.select("source", "pass_", "block", (F.col("block") * block).alias("first"), "length", "shard")
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block: int = 64) -> DataFrame:
@@ -140,14 +167,14 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = 64) -> DataFrame:
 
 
 def taken_by_document(documents: DataFrame, block: int = 64, **options: object) -> DataFrame:
-    """doc_id, size, source_size, target, taken: a row for each document."""
+    """doc_id, size, source_size, target, taken, and the first and last shard that any of it goes to: a row each."""
     placed, slots = mix(documents, block, **options)
     placed = durable(placed)
     # documents with words never share a beginning
-    got = pieces(placed, slots, block).groupBy("source", "begin").agg(F.sum("n").alias("taken"))
-    got = got.select(F.col("source").alias("g_source"), F.col("begin").alias("g_begin"), "taken")
+    got = pieces(placed, slots, block).groupBy("source", "begin").agg(F.sum("n").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    got = got.select(F.col("source").alias("g_source"), F.col("begin").alias("g_begin"), "taken", "first_shard", "last_shard")
     fits = (F.col("begin") == F.col("g_begin")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") > 0)
-    return placed.join(got.hint("merge"), fits, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return placed.join(got.hint("merge"), fits, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard", "last_shard")
 
 
 def _row_key() -> Column:
@@ -155,21 +182,23 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("text_hash"))
 
 
-def mixed_documents(documents: DataFrame, block: int = 64, **options: object) -> DataFrame:
+def mixed_documents(documents: DataFrame, block: int = 64, with_shard: bool = False, **options: object) -> DataFrame:
     """The mix as documents: a row for each document and pass that takes any of it, with all its columns.
 
     A whole pass takes the text as it is; a partial one the taken words, in order, with blanks between. Rows that
-    repeat document, text and source are copies: each of their uses carries the columns of the first.
+    repeat document, text and source are copies: each of their uses carries the columns of the first. ``with_shard``:
+    a row for each shard as well, and its number.
     """
     placed, slots = mix(documents, block, **options)
-    met = pieces(placed, slots, block).withColumn("k", _row_key()).groupBy("k", "copy", "pass_", "size").agg(F.array_sort(F.collect_list(F.struct("skip", "n"))).alias("runs"), F.sum("n").alias("n"))
-    uses = met.groupBy("k").agg(F.collect_list(F.struct("copy", "pass_", "runs", "n", "size")).alias("uses"))
+    keys = ["k", "copy", "pass_", "size", *["shard"] * with_shard]
+    met = pieces(placed, slots, block).withColumn("k", _row_key()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("skip", "n"))).alias("runs"), F.sum("n").alias("n"))
     rows = pick(documents, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
     # texts move once: rows that repeat document, text and source meet here, and the join goes by the same key
     rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("k", _row_key())
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("lang", "n_chars"))).where("nth = 1")
-    both = rows.join(uses.hint("merge"), "k").select("doc_id", "text", "lang", "source", F.explode("uses").alias("use")).select("doc_id", "text", "lang", "source", "use.runs", "use.n", "use.size")
+    both = rows.join(met.hint("merge"), "k").select("doc_id", "text", "lang", "source", "runs", "n", "size", *["shard"] * with_shard)
     ws = F.array_remove(F.split("text", SPACES), "")
-    part = F.get(F.transform(F.array(ws), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["skip"] + 1).cast("int"), r["n"].cast("int")))), " ")), F.lit(0))
+    part = _let(ws, lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["skip"] + 1).cast("int"), r["n"].cast("int")))), " "))
     text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part)
-    return both.select("doc_id", text.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    out = both.withColumn("text", text)
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"), *["shard"] * with_shard)

@@ -109,7 +109,7 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """,
     "op6_mix_sources": r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5('part|' || doc_id), 1, 8))::BIGINT % 4096 AS part FROM documents
 ), per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -121,19 +121,39 @@ placed AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     (coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.part, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS beg
   FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source
-), k AS (SELECT source, source_size, least(round(target)::BIGINT, 2 * source_size) AS taken, source_size // 64 AS nfull, coalesce('s' || source, 'null') AS name FROM t WHERE source_size > 0),
-passes AS (SELECT *, unnest(range(0, taken // source_size + 1)) AS p FROM k),
-parts AS (SELECT *, least(source_size, taken - p * source_size) AS words FROM passes),
-ranks AS (SELECT *, unnest(range(0, (words - 1) // 64 + 1)) AS rk FROM parts WHERE words > 0),
-perm AS (SELECT *, ([1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103])[('0x' || substr(md5('factor|' || name || '|' || p), 1, 8))::BIGINT % 8 + 1] AS f,
-    ('0x' || substr(md5('shift|' || name || '|' || p), 1, 8))::BIGINT AS sh FROM ranks),
-slots AS (SELECT source, CASE WHEN rk < nfull THEN (rk * (f % greatest(nfull, 1)) + sh) % greatest(nfull, 1) ELSE nfull END AS block, least(64, words - rk * 64) AS length FROM perm),
+), k AS (
+  SELECT source, source_size, least(round(target)::BIGINT, 2 * source_size) AS taken, source_size // 64 AS nfull, (source_size + 63) // 64 AS each, coalesce('s' || source, 'null') AS name,
+    greatest(1, ceil((SELECT sum(target) FROM t) / 65536))::BIGINT AS shards, ceil(sqrt((source_size // 64)::DOUBLE))::BIGINT + 1 AS a FROM t WHERE source_size > 0
+), k2 AS (SELECT *, taken // source_size * each + (taken % source_size + 63) // 64 AS slots, (nfull + a - 1) // a AS b FROM k WHERE taken > 0),
+thrown AS (SELECT name, shards, unnest(range(0, slots)) AS k FROM k2),
+drawn AS (SELECT name, ('0x' || substr(md5('shard|' || name || '|' || k), 1, 8))::BIGINT % shards AS shard, count(*) AS n FROM thrown GROUP BY ALL),
+numbered AS (SELECT *, (sum(n) OVER (PARTITION BY name ORDER BY shard) - n)::BIGINT AS base FROM drawn),
+ranked AS (
+  SELECT k2.*, shard, slot // each AS p, slot % each AS rk FROM (SELECT name, shard, base + unnest(range(0, n)) AS slot FROM numbered) JOIN k2 USING (name)
+), walk AS (
+  SELECT source, p, rk, name, nfull, a, b, rk AS x, 0 AS tries FROM ranked WHERE rk < nfull
+  UNION ALL
+  SELECT source, p, rk, name, nfull, a, b, h2 * a + l2, tries + 1 FROM (
+    SELECT *, (h1 + ('0x' || substr(md5('3|' || name || '|' || p || '|' || l2), 1, 8))::BIGINT) % b AS h2 FROM (
+      SELECT *, (l1 + ('0x' || substr(md5('2|' || name || '|' || p || '|' || h1), 1, 8))::BIGINT) % a AS l2 FROM (
+        SELECT *, (h0 + ('0x' || substr(md5('1|' || name || '|' || p || '|' || l1), 1, 8))::BIGINT) % b AS h1 FROM (
+          SELECT *, (x % a + ('0x' || substr(md5('0|' || name || '|' || p || '|' || (x // a)), 1, 8))::BIGINT) % a AS l1, x // a AS h0 FROM walk WHERE tries = 0 OR x >= nfull
+        )
+      )
+    )
+  )
+), perm AS (SELECT source, p, rk, x FROM walk WHERE tries > 0 AND x < nfull),
+slots AS (
+  SELECT r.source, r.shard, CASE WHEN r.rk < nfull THEN x ELSE nfull END AS block, least(64, least(source_size, taken - r.p * source_size) - r.rk * 64) AS length
+  FROM ranked r LEFT JOIN perm q ON q.p = r.p AND q.rk = r.rk AND q.source IS NOT DISTINCT FROM r.source
+),
 spread AS (SELECT doc_id, source, size, beg, unnest(range(beg // 64, (beg + size - 1) // 64 + 1)) AS block FROM placed WHERE size > 0),
 got AS (
-  SELECT d.source, d.beg, sum(greatest(0, least(s.block * 64 + s.length, d.beg + d.size) - greatest(s.block * 64, d.beg)))::BIGINT AS taken
-  FROM spread d JOIN slots s ON s.block = d.block AND s.source IS NOT DISTINCT FROM d.source GROUP BY d.source, d.beg
+  SELECT d.source, d.beg, sum(greatest(0, least(s.block * 64 + s.length, d.beg + d.size) - greatest(s.block * 64, d.beg)))::BIGINT AS taken, min(s.shard) AS first_shard, max(s.shard) AS last_shard
+  FROM spread d JOIN slots s ON s.block = d.block AND s.source IS NOT DISTINCT FROM d.source
+  WHERE least(s.block * 64 + s.length, d.beg + d.size) > greatest(s.block * 64, d.beg) GROUP BY d.source, d.beg
 )
-SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken, g.first_shard, g.last_shard
 FROM placed p LEFT JOIN got g ON g.beg = p.beg AND g.source IS NOT DISTINCT FROM p.source AND p.size > 0
 """,
 }

@@ -587,3 +587,35 @@ def test_rows_with_one_id_and_different_texts_stay(spark):
     rows = [(1, far), (1, "other words altogether"), (1, far), (2, far)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each_group(df).collect()) == [(1, "other words altogether"), (1, far)]
+
+
+def test_permutations_of_block_numbers(spark):
+    for n in (1, 2, 3, 7, 64, 1000):
+        got = [r.x for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit("k|0")).alias("x")).collect()]
+        assert sorted(got) == list(range(n)) and (n < 64 or got != list(range(n)))
+    n = 10**11 + 7
+    some = spark.range(n - 3000, n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("k|1")).alias("x"))
+    r = some.agg(F.countDistinct("x").alias("d"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean")).collect()[0]
+    assert r.d == 3000 and 0 <= r.low and r.high < n and abs(r["mean"] / n - 0.5) < 0.05
+
+
+def test_shards_draw_their_sources(spark):
+    """Counts of slots by shard against even shares, by chi-square; pieces carry the shard; totals stay exact."""
+    rows = [(k, " ".join(f"w{j}" for j in range(64)), "ab"[k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, slots = mixing.mix(df, block=8, shard_words=2000)
+    got = slots.groupBy("source", "shard").count().collect()
+    shards = {r.shard for r in got}
+    assert len(shards) == 20
+    for source in "ab":
+        counts = [next((r["count"] for r in got if (r.source, r.shard) == (source, s)), 0) for s in shards]
+        even = sum(counts) / len(counts)
+        assert 5 < sum((c - even) ** 2 / even for c in counts) < 45  # 19 degrees of freedom
+    by_doc: dict = {}
+    for r in mixing.mixed_documents(df, block=8, shard_words=2000, with_shard=True).collect():
+        assert r.shard in shards
+        by_doc.setdefault(r.doc_id, []).append((r.shard, len(r.text.split())))
+    for r in mixing.taken_by_document(df, block=8, shard_words=2000).collect():
+        mine = by_doc.get(r.doc_id, [])
+        assert r.taken == sum(n for _, n in mine)
+        assert (r.first_shard, r.last_shard) == (min((s for s, _ in mine), default=None), max((s for s, _ in mine), default=None))
