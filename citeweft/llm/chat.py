@@ -10,8 +10,9 @@ Events, in order of ``seq`` within a conversation:
 * ``edit``: the message's text is replaced; every message after it (greater ``message_id``) goes.
 * ``regenerate``: as ``edit``, and the new text follows in deltas.
 
-So an event counts unless a later ``edit`` or ``regenerate`` aims at its message or one before it. One window over
-the conversation finds that; no conversation is gathered into a row.
+So an event counts unless a later ``edit`` or ``regenerate`` aims at its message or one before it; a message's role is the
+last that any of its events names. Minima over ranges of seq, then within each, find that: no conversation is gathered
+into a row or sorted in one task. Only ``digest``, whose hash goes over a whole conversation, reads one in one task.
 
 Edge cases: null text is empty; null role is an empty role; null conv_id is a conversation of its own; events with
 equal seq go by event name, then text; a repeated event counts as often as it stands there; an empty log gives no rows.
@@ -55,14 +56,23 @@ def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message_id, role, text) of a log of events."""
     log = pick(events, conv_id="bigint", seq="bigint", message_id="bigint", event="string", role="string", text="string")
     resets = F.col("event").isin("edit", "regenerate")
-    later = Window.partitionBy("conv_id").orderBy(F.desc("seq"), F.desc("event"), F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
-    log = log.withColumn("reset", F.min(F.when(resets, F.col("message_id"))).over(later))
-    alive = log.where(F.col("reset").isNull() | (F.col("reset") > F.col("message_id")))
+    # the least message that a later reset aims at: over ranges of seq first, then within each
+    log = log.withColumn("range", F.shiftright("seq", 12))
+    later = lambda *keys: Window.partitionBy("conv_id", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = log.groupBy("conv_id", "range").agg(F.min(F.when(resets, F.col("message_id"))).alias("least"))
+    ranges = ranges.select(F.col("conv_id").alias("r_conv"), F.col("range").alias("r_range"), F.min("least").over(later().orderBy(F.desc("range"))).alias("after"))
+    log = log.withColumn("reset", F.min(F.when(resets, F.col("message_id"))).over(later("range").orderBy(F.desc("seq"), F.desc("event"), F.desc("text"))))
+    log = log.join(ranges, F.col("conv_id").eqNullSafe(F.col("r_conv")) & F.col("range").eqNullSafe(F.col("r_range")))
+    log = log.withColumn("reset", F.least("reset", "after"))
+    alive = F.col("reset").isNull() | (F.col("reset") > F.col("message_id"))
+    # a message that was started again keeps the role it had; one that a reset before it has removed is gone
     at = F.struct("seq", "event", F.coalesce("text", F.lit("")).alias("text"))
-    return alive.groupBy("conv_id", "message_id").agg(
+    folded = log.groupBy("conv_id", "message_id").agg(
         F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "event", "role"))), F.lit("")).alias("role"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["text"]), "").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(alive, at))), lambda x: x["text"]), "").alias("text"),
+        F.max(alive).alias("stays"),
     )
+    return folded.where("stays").drop("stays")
 
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -128,16 +138,29 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows of whole turns as a log: each row opens a message and streams its text as one delta.
+    """Rows of whole turns as the log that a chat server would have written.
 
-    Rows go by turn, nulls first, then role and text; rows with an equal turn stay messages of their own.
+    Each row opens a message. An assistant's streams a first draft, is regenerated, and streams its text in two deltas;
+    another's is sent with its text reversed, edited to the first half of the text, and completed by a delta. Rows go by
+    turn, nulls first, then role and text; rows with an equal turn stay messages of their own.
     """
     rows = pick(conversations, conv_id="bigint", turn="bigint", role="string", text="string")
-    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
-    rows = rows.withColumn("message_id", at)
+    # numbers over ranges of turns first, then within each
+    rows = rows.withColumn("range", F.shiftright("turn", 10))
+    ranges = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("conv_id").alias("r_conv"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    at = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("at", at).join(ranges, F.col("conv_id").eqNullSafe(F.col("r_conv")) & F.col("range").eqNullSafe(F.col("r_range")))
+    rows = rows.withColumn("message_id", (F.col("at") + F.col("base")).cast("bigint"))
     none = F.lit(None).cast("string")
-    steps = F.array(
-        F.struct(F.lit("open").alias("event"), F.col("role"), none.alias("text"), (2 * F.col("message_id")).alias("seq")),
-        F.struct(F.lit("delta").alias("event"), none.alias("role"), F.col("text"), (2 * F.col("message_id") + 1).alias("seq")),
-    )
-    return rows.select("conv_id", "message_id", F.inline(steps))
+    half = F.call_function("div", F.length("text"), F.lit(2)).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def steps(*each: tuple[str, Column, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(e).alias("event"), r.alias("role"), t.alias("text"), (8 * F.col("message_id") + k).alias("seq")) for k, (e, r, t) in enumerate(each)))
+
+    role, text = F.col("role"), F.col("text")
+    streamed = steps(("open", role, none), ("delta", none, tail), ("regenerate", none, none), ("delta", none, head), ("delta", none, tail))
+    edited = steps(("open", role, F.reverse(text)), ("edit", none, head), ("delta", none, tail))
+    return rows.select("conv_id", "message_id", F.inline(F.when(role == "assistant", streamed).otherwise(edited)))

@@ -48,8 +48,50 @@ def test_fold(spark):
     ]
     df = spark.createDataFrame(log, "conv_id long, seq long, message_id long, event string, role string, text string")
     got = sorted((r.conv_id, r.message_id, r.role, r.text) for r in chat.fold_events(df).collect())
-    # the role of a message that is edited comes from the events that count
-    assert [(c, m, t) for c, m, _, t in got] == [(1, 1, "hi"), (1, 2, "right"), (1, 4, "ask better"), (2, 1, "b")]
+    assert got == [(1, 1, "user", "hi"), (1, 2, "assistant", "right"), (1, 4, "user", "ask better"), (2, 1, "user", "b")]
+
+
+def plain_fold(log):
+    """(conv_id, message_id) -> (role, text), event by event."""
+    out: dict = {}
+    roles: dict = {}
+    for conv, _, message, event, role, text in sorted(log, key=lambda e: (e[0], e[1])):
+        if event in ("edit", "regenerate"):
+            for key in [k for k in out if k[0] == conv and k[1] >= message]:
+                del out[key]
+        if role is not None:
+            roles[conv, message] = role
+        out[conv, message] = out.get((conv, message), "") + (text or "")
+    return {k: (roles.get(k, ""), t) for k, t in out.items()}
+
+
+def test_fold_of_long_logs(spark):
+    """Logs that go over many ranges of seq, with resets far behind what they aim at."""
+    rng = np.random.default_rng(15)
+    log = []
+    for conv in range(3):
+        message = 0
+        for seq in rng.choice(60_000, 400, replace=False):
+            log.append((conv, int(seq), None, None, None, None))
+    log.sort(key=lambda e: e[:2])
+    done, message = [], 0
+    for k, (conv, seq, *_) in enumerate(log):
+        if k and log[k - 1][0] != conv:
+            message = 0
+        x = rng.random()
+        if x < 0.3 or not message:
+            message += 1
+            done.append((conv, seq, message, "open", str(rng.choice(["user", "assistant"])), None))
+        elif x < 0.92:
+            done.append((conv, seq, message, "delta", None, f"{k} "))
+        else:
+            message = int(rng.integers(max(1, message - 3), message + 1))
+            done.append((conv, seq, message, str(rng.choice(["edit", "regenerate"])), None, f"new {k} "))
+    df = spark.createDataFrame(done, "conv_id long, seq long, message_id long, event string, role string, text string")
+    got = {(r.conv_id, r.message_id): (r.role, r.text) for r in chat.fold_events(df.repartition(7)).collect()}
+    want = plain_fold(done)
+    assert {k: t for k, (_, t) in got.items()} == {k: t for k, (_, t) in want.items()}
+    assert got == want
 
 
 @given(st.text("<|\\imend_start>\n a", max_size=30))
