@@ -4,7 +4,7 @@ Fitting takes a bounded sample, the vectors whose vec_id hashes lowest (``max_sa
 then one codebook for each group of dimensions over what the centroids leave. How many lists a query probes is measured
 on the sample itself, each vector once: the fewest for which its own nearest neighbours are found with recall ``target``.
 
-Every vector is put into the list of its nearest centroid with its codes. Lists are cut into tiles of about ``tile``
+Every vector is put into the list of its nearest centroid, stored there with its codes and itself. Lists are cut into tiles of about ``tile``
 vectors, and the queries that probe a list into groups of about ``tile``, so that a list or a vector that holds a third
 of all rows is spread over many tasks. A task holds one tile and one group: tables of inner products between the parts
 of each query and all code words (asymmetric distances) rank the tile, and the best ``rerank``, with all that come
@@ -103,16 +103,16 @@ class Index:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): finite, non-zero vectors of the most common length, in double precision."""
+    """(vec_id, v, row): finite, non-zero vectors of the most common length, in double precision; row numbers rows."""
     rows = pick(embeddings, vec_id="bigint", embedding="array<double>").where("vec_id is not null and size(embedding) > 0")
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.where(good).select("vec_id", F.col("embedding").alias("v"))
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("v") == (width[0].n if width else 0))
+    return rows.where(F.size("v") == (width[0].n if width else 0)).withColumn("row", F.monotonically_increasing_id())
 
 
 def _place(shared: object, probe: bool):
-    """(vec_id, v) to (vec_id, v, list): the own list, or all that a query probes, nearest first."""
+    """(vec_id, v, row) with the own list and the codes there, or for a query a row for each list it probes, no codes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index: Index = shared.value
@@ -123,9 +123,10 @@ def _place(shared: object, probe: bool):
             if probe:
                 at = np.argsort(-(x @ index.centroids.T), 1, kind="stable")[:, : index.probes]
                 many = rows.loc[rows.index.repeat(at.shape[1])]
-                yield many.assign(list=at.ravel().astype(np.int32))
+                yield many.assign(list=at.ravel().astype(np.int32), codes=b"")
             else:
-                yield rows.assign(list=nearest(x, index.centroids).astype(np.int32))
+                at = nearest(x, index.centroids)
+                yield rows.assign(list=at.astype(np.int32), codes=[c.tobytes() for c in index.encode(x, at)])
 
     return run
 
@@ -148,26 +149,31 @@ def _close(score: np.ndarray, ids: np.ndarray, k: int, least: int, margin: float
     return some if len(some) >= least else _top(score, ids, least)
 
 
+FOUND = "query_id long, query_row long, vec_id long, row long, score double"
+
+
 def _search(shared: object, k: int, rerank: int):
     def run(key: tuple, asked: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         index: Index = shared.value
         out: list[tuple[np.ndarray, ...]] = []
         if len(asked) and len(tile):
             ids, x = tile["vec_id"].to_numpy(np.int64), np.stack(tile["v"].to_numpy())
-            codes = index.encode(x, np.full(len(x), key[0]))
+            codes = np.frombuffer(b"".join(tile["codes"]), np.uint8).reshape(len(x), -1)
             names, q = asked["vec_id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy())
+            own, rows = tile["row"].to_numpy(np.int64), asked["row"].to_numpy(np.int64)
             for a in range(0, len(q), 256):
                 near = index.approximate(q[a : a + 256], int(key[0]), codes)
-                for name, one, row in zip(names[a : a + 256], q[a : a + 256], near, strict=True):
-                    row[ids == name] = -np.inf
+                for name, number, one, row in zip(names[a : a + 256], rows[a : a + 256], q[a : a + 256], near, strict=True):
+                    row[own == number] = -np.inf
                     some = _close(row, ids, k, rerank, 2 * index.noise)
-                    some = some[ids[some] != name]
+                    some = some[own[some] != number]
                     exact = np.einsum("ij,j->i", x[some], one)
                     best = _top(exact, ids[some], k)
-                    out.append((np.full(len(best), name), ids[some][best], exact[best]))
+                    out.append((np.full(len(best), name), np.full(len(best), number), ids[some][best], own[some][best], exact[best]))
+        names = FOUND.replace(",", "").split()[::2]
         if not out:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            return pd.DataFrame({n: np.zeros(0, np.int64 if n != "score" else np.float64) for n in names})
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -185,17 +191,17 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, max_sample: int
     lists = int(min(4096, max(1, total**0.5 / 4), max(1, len(sample) / 32)))
     index = Index.fit(np.stack(sample["v"].to_numpy()), lists, k=k, target=target)
     shared = spark.sparkContext.broadcast(index)
-    ddl = "vec_id long, v array<double>, list int"
+    ddl = "vec_id long, v array<double>, row long, list int, codes binary"
     stored = durable(rows.mapInPandas(_place(shared, False), ddl))
     asked = durable(rows.where(F.col("vec_id") % every == 0).mapInPandas(_place(shared, True), ddl))
     # tiles of each list and groups of its queries: a row for each list
     sizes = stored.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("m")), "list")
     sizes = F.broadcast(durable(sizes.select("list", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), F.ceil(F.col("m") / tile).cast("int").alias("groups"))))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(sizes, "list").withColumn("group", part("groups")).withColumn("tile", each("tiles")).select("list", "tile", "group", "vec_id", "v")
-    right = stored.join(sizes, "list").withColumn("tile", part("tiles")).withColumn("group", each("groups")).select("list", "tile", "group", "vec_id", "v")
+    left = asked.join(sizes, "list").withColumn("group", part("groups")).withColumn("tile", each("tiles")).select("list", "tile", "group", "vec_id", "row", "v")
+    right = stored.join(sizes, "list").withColumn("tile", part("tiles")).withColumn("group", each("groups")).select("list", "tile", "group", "vec_id", "row", "v", "codes")
     keys = ["list", "tile", "group"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(shared, k, rerank), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(shared, k, rerank), FOUND)
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -661,3 +661,39 @@ def test_shards_draw_their_sources(spark):
         mine = by_doc.get(r.doc_id, [])
         assert r.taken == sum(n for _, n in mine)
         assert (r.first_shard, r.last_shard) == (min((s for s, _ in mine), default=None), max((s for s, _ in mine), default=None))
+
+
+def test_search_of_many_vectors_and_repeated_ids(spark):
+    """20,000 clustered vectors: fewer lists probed than there are, recall by brute force; rows of one id have their own answers."""
+    rng = np.random.default_rng(16)
+    centres = 3 * rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 20_000)] + rng.normal(size=(20_000, 24))).astype(np.float32)
+    ids = np.arange(20_000)
+    ids[7] = 400  # a second row of this id
+    probed, place = [], ann._place
+    ann._place = lambda shared, probe: (probed.append((shared.value.probes, len(shared.value.centroids))), place(shared, probe))[1]
+    try:
+        rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=400).collect()
+    finally:
+        ann._place = place
+    assert all(probes < lists for probes, lists in probed)
+    y = x.astype(np.float64)
+    hit = n = 0
+    for q in np.flatnonzero(ids % 400 == 0):
+        s = y @ y[q]
+        s[q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        mine = [r.vec_id for r in got if r.query_id == ids[q]]
+        if ids[q] == 400:
+            assert len(mine) == 40
+            continue
+        assert len(mine) == 20 == len(set(mine))
+        hit, n = hit + len(set(ids[best].tolist()) & set(mine)), n + 20
+    assert hit >= 0.9 * n
+
+
+def test_repeated_rows_answer_each_other(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [0.5, 1.0]), (2, [2.0, 0.1])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(2 * [(20, 1, 20, 5.0), (20, 2, 1, 2.5), (20, 3, 2, 2.2)])
