@@ -5,7 +5,9 @@ mask with a bit for each language, so that one lookup, the AND of a trigram's sl
 contain it. Over a text, the bits set for a language are counted, the expected false positives (the filter's fill to
 the power of the hash functions) are taken off, and the largest count decides.
 
-A trigram is put into the filter of a language if its rate there is at least ``share`` of its highest rate in any.
+A trigram is put into the filter of a language if its rate there is at least ``share`` of its highest rate in any. Tasks
+fill filters of their own and the cluster ORs them. All trigrams are put in; ``most_slots`` bounds the slots alone, and
+fuller filters have more false positives, which the counts are corrected for.
 
 Training takes a sample: of each language, the documents whose doc_id hashes below a bound that leaves about
 ``max_docs`` (the language's own number of documents sets it). Prediction reads whole texts.
@@ -57,16 +59,27 @@ class Filters:
     wrong: np.ndarray  # chance of a false positive, by language
 
     @classmethod
-    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray, bits_each: int = 10, hashes: int = 4) -> Filters:
+    def empty(cls, languages: list[str], grams: int, bits_each: int = 10, hashes: int = 4, most_slots: int = 1 << 22) -> Filters:
+        slots = 1 << min(most_slots.bit_length() - 1, max(10, int(bits_each * max(1, grams) - 1).bit_length()))
+        return cls(languages, np.zeros((slots, -(-max(1, len(languages)) // 64)), U), hashes, np.zeros(len(languages)))
+
+    @classmethod
+    def build(cls, languages: list[str], grams: np.ndarray, members: np.ndarray, **options: int) -> Filters:
         """members: trigrams by languages, boolean."""
-        slots = 1 << max(10, int(bits_each * max(1, len(grams)) - 1).bit_length())
-        out = cls(languages, np.zeros((slots, -(-max(1, len(languages)) // 64)), U), hashes, np.zeros(len(languages)))
-        for k in range(len(languages)):
-            h = grams[members[:, k]]
-            for at in out.places(h).T:
-                out.masks[at, k // 64] |= U(1) << U(k % 64)
-            out.wrong[k] = float(((out.masks[:, k // 64] >> U(k % 64)) & U(1)).mean()) ** hashes
-        return out
+        out = cls.empty(languages, len(grams), **options)
+        out.put(grams, members)
+        return out.measured()
+
+    def put(self, grams: np.ndarray, members: np.ndarray) -> None:
+        for k in range(len(self.languages)):
+            for at in self.places(grams[members[:, k]]).T:
+                self.masks[at, k // 64] |= U(1) << U(k % 64)  # equal places get equal bits
+
+    def measured(self) -> Filters:
+        """With the chances of false positives that the filters' fill gives."""
+        for k in range(len(self.languages)):
+            self.wrong[k] = float(((self.masks[:, k // 64] >> U(k % 64)) & U(1)).mean()) ** self.hashes
+        return self
 
     def places(self, h: np.ndarray) -> np.ndarray:
         step = (h >> U(32)) | U(1)
@@ -109,28 +122,66 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(words)
 
 
-def train(training: DataFrame, max_docs: int = 4000, max_grams: int = 1 << 18, share: float = 0.3) -> Filters:
+#: Mask words that go in one row.
+PART = 1 << 12
+
+
+def _fill(filters: Filters):
+    """Trigrams and the languages they belong to (h, members) to (part, w): a task's filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filters(filters.languages, np.zeros(filters.masks.shape, U), filters.hashes, filters.wrong)
+        for batch in batches:
+            if batch.num_rows:
+                members = np.stack([np.asarray(batch.column(f"l{k}").to_numpy(zero_copy_only=False), bool) for k in range(len(own.languages))], 1)
+                own.put(batch.column("h").to_numpy().view(U), members)
+        flat = own.masks.ravel()
+        for part, a in enumerate(range(0, len(flat), PART)):
+            if (some := flat[a : a + PART]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["part", "w"])
+
+    return run
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column("part").to_pylist(), batch.column("w"), strict=True):
+            w = np.frombuffer(raw.as_buffer(), U)
+            found[part] = found[part] | w if part in found else w.copy()
+    for part, w in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([w.tobytes()], pa.binary())], names=["part", "w"])
+
+
+def train(training: DataFrame, max_docs: int = 4000, most_slots: int = 1 << 22, share: float = 0.3) -> Filters:
     """Filters from rows (doc_id, text, lang); null lang or text teaches nothing.
 
-    ``max_docs``: documents of each language in the sample, about. ``max_grams``: trigrams kept, the most frequent.
+    ``max_docs``: documents of each language in the sample, about. ``most_slots``: bound of the filters' slots.
     """
     rows = training.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    if not languages:
+        return Filters.empty([], 0)
     part = F.lit(0.0)
     for lang in languages:
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / sizes[lang]))).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
-    sums = sample.select("lang", "text").mapInArrow(_gram_counts, "lang string, h long, n long").groupBy("h").pivot("lang", languages).agg(F.sum("n")) if languages else None
-    if sums is None:
-        return Filters.build([], np.zeros(0, U), np.zeros((0, 0), bool))
-    got = durable(sums.toDF("h", *(f"l{k}" for k in range(len(languages)))))
-    whole = sum((F.coalesce(F.col(f"l{k}"), F.lit(0)) for k in range(1, len(languages))), F.coalesce("l0", F.lit(0)))
-    table = got.orderBy(whole.desc(), "h").limit(max_grams).toPandas()
-    counts = table.drop(columns="h").fillna(0).to_numpy(np.float64)
-    rates = counts / np.maximum(1, counts.sum(0))
-    members = (rates > 0) & (rates >= share * rates.max(1, keepdims=True)) if len(rates) else np.zeros((0, len(languages)), bool)
-    return Filters.build(languages, table["h"].to_numpy(np.int64).view(U), members)
+    # rows without an id are told apart by their texts
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+    sample = rows.where(F.pmod(key, F.lit(1 << 20)) < part * (1 << 20))
+    sums = sample.select("lang", "text").mapInArrow(_gram_counts, "lang string, h long, n long").groupBy("h").pivot("lang", languages).agg(F.sum("n"))
+    names = [f"l{k}" for k in range(len(languages))]
+    got = durable(sums.toDF("h", *names).fillna(0, names))
+    whole = got.agg(F.count("*").alias("grams"), *(F.sum(n).alias(n) for n in names)).collect()[0]
+    filters = Filters.empty(languages, whole.grams, most_slots=most_slots)
+    rates = [F.col(n) / F.lit(float(max(1, whole[n] or 0))) for n in names]
+    top = F.greatest(*rates) if len(rates) > 1 else rates[0]
+    members = got.select("h", *[((r > 0) & (r >= share * top)).alias(n) for n, r in zip(names, rates, strict=True)])
+    filled = members.mapInArrow(_fill(filters), "part int, w binary").repartition("part").mapInArrow(_either, "part int, w binary")
+    flat = filters.masks.reshape(-1)
+    for r in durable(filled).toLocalIterator():  # as many bytes as the filters have
+        flat[r.part * PART : (r.part + 1) * PART] = np.frombuffer(bytes(r.w), U)
+    return filters.measured()
 
 
 def _predict(shared: object):
