@@ -55,7 +55,7 @@ def op8_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("source")
+    return packing.pack(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

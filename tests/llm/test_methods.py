@@ -409,6 +409,53 @@ def drr(totals, window, weights=None):
     return out
 
 
+def drr_with_exhaustion(totals, window, weights):
+    """Deficit round-robin, window by window: queues that run out within a window leave the rest of it to the others."""
+    left, credit, out = [Fraction(t) for t in totals], [Fraction(0)] * len(totals), []
+    given = [0] * len(totals)
+    while any(left):
+        room = Fraction(window)
+        while room and any(left):
+            active = [i for i, x in enumerate(left) if x]
+            whole = sum(Fraction(weights[i]) for i in active)
+            share = {i: Fraction(weights[i]) / whole for i in active}
+            use = min([room, *(left[i] / share[i] for i in active)])
+            for i in active:
+                credit[i] += use * share[i]
+                left[i] -= use * share[i]
+            room -= use
+        now = [c.__floor__() if any(left) else t for c, t in zip(credit, totals, strict=True)]
+        out.append([b - a for a, b in zip(given, now, strict=True)])
+        given = now
+    return out
+
+
+@given(st.lists(st.integers(1, 400), min_size=1, max_size=4), st.integers(5, 64))
+@settings(max_examples=60, deadline=None)
+def test_weighted_schedule_carries_deficits_past_exhaustion(totals, window):
+    weights = [float((3, 1, 2)[k % 3]) for k in range(len(totals))]
+    plan = packing.Schedule(totals, window, weights)
+    got = [[b - a for a, b in zip(plan.given(k), plan.given(k + 1), strict=True)] for k in range(plan.windows)]
+    assert got == drr_with_exhaustion(totals, window, weights)
+
+
+def test_windows_meet_their_targets(spark, docs):
+    """While no source has run out, every four sequences have the target shares, but for whole tokens that a window carries over."""
+    rows = packing.pack(docs, length=64, window_sequences=4, weights=(3.0, 1.0, 2.0)).collect()
+    names = sorted({r.source for r in rows if r.source is not None}) + [None] * any(r.source is None for r in rows)
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id // 4, {}).setdefault(r.source, 0)
+        by[r.sequence_id // 4][r.source] += r.length
+    whole = [w for w in sorted(by) if len(by[w]) == len(names)][:-1]
+    first = next((k for k, w in enumerate(whole) if w != k), len(whole))
+    assert first > 3
+    for w in whole[: first - 1]:
+        for n in names:
+            assert abs(by[w][n] - 256 * weight[n] / sum(weight.values())) <= len(names)
+
+
 def test_schedule_is_deficit_round_robin():
     totals = [1000, 333, 77, 1]
     plan = packing.Schedule(totals, 64)
@@ -697,3 +744,58 @@ def test_repeated_rows_answer_each_other(spark):
     rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [0.5, 1.0]), (2, [2.0, 0.1])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(2 * [(20, 1, 20, 5.0), (20, 2, 1, 2.5), (20, 3, 2, 2.2)])
+
+
+def plain_languages(rows, share=0.3):
+    """doc_id -> language by trigram sets without filters; trained on all rows that are not held out."""
+    from collections import Counter
+
+    def grams(text):
+        return [f"_{w}_"[k : k + 3] for w in langid.WORDS.findall((text or "").lower()) for k in range(len(w))]
+
+    counts: dict = {}
+    sizes: Counter = Counter()
+    for doc, text, lang in rows:
+        if zlib.crc32(str(doc).encode()) % 4 != 2 and lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+            sizes[lang] += 1
+    names = sorted(sizes, key=lambda x: (-sizes[x], x))
+    whole = {n: max(1, sum(counts[n].values())) for n in names}
+    top: dict = {}
+    for n in names:
+        for g, c in counts[n].items():
+            top[g] = max(top.get(g, 0), c / whole[n])
+    member = {n: {g for g, c in counts[n].items() if c / whole[n] >= share * top[g]} for n in names}
+    out = {}
+    for doc, text, _ in rows:
+        found = grams(text)
+        votes = [sum(g in member[n] for g in found) for n in names]
+        out[doc] = (votes, names[int(np.argmax(votes))] if found else "und")
+    return out
+
+
+def test_languages_as_without_filters(spark):
+    """Whole table against plain sets: the same language wherever the plain votes are not close; filters too small as well."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    want = plain_languages(rows)
+    for options in ({}, {"most_slots": 1 << 12}):
+        got = {r.doc_id: r for r in langid.identify(docs, **options).collect()}
+        assert got.keys() == want.keys()
+        for d, (votes, name) in want.items():
+            first, second = sorted(votes)[-1], sorted(votes)[-2]
+            if first - second > (0.02 if not options else 0.3) * first or name == "und":
+                assert got[d].lang_pred == name, (d, votes)
+            assert 0 <= got[d].score <= 1
+
+
+def test_filters_of_tasks_are_one(spark):
+    """Filters filled by many tasks and joined are those filled at once; no trigram is left out, however small they are."""
+    rng = np.random.default_rng(17)
+    rows = [(k, " ".join("".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 900, 3)) for _ in range(60)), "xy"[k % 2]) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (langid.train(df.repartition(n), most_slots=1 << 12) for n in (1, 9))
+    assert (one.masks == many.masks).all() and len(one.masks) == 1 << 12
+    own = [h for k, t, _ in rows if k % 2 == 0 for h in langid.trigrams(t.split())[0]]
+    inside = one.containing(np.array(own, np.uint64))[:, 0] >> np.uint64(one.languages.index("x")) & np.uint64(1)
+    assert inside.mean() > 0.9
