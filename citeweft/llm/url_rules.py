@@ -6,7 +6,9 @@ FP-growth mines combinations of tokens that go with one label; rules are pruned
 dropping those that a shorter rule already covers. Rules are matched through an inverted index, token to rules.
 
 Explicit domain rules come first: the longest rule that fits decides, and what they decide is the labelled data
-from which the method learns a verdict for the other URLs.
+from which the method learns a verdict for the other URLs. What such a rule itself asks for, host endings and parts of the
+path, is no evidence for its verdict: those tokens are left out of the rows that it labelled. A confidence counts by its
+lower bound (Wilson's, ``z`` standard errors), so that few rows must agree more fully than many.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, no token but ``none``, and the default
 verdict unless a rule is learned; repeated rows stay; no labelled row gives no learned rule; an empty table is empty.
@@ -14,6 +16,7 @@ verdict unless a rule is learned; repeated rows stay; no labelled row gives no l
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -80,11 +83,11 @@ def explicit(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> Colu
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, max_tokens: int = 3) -> list[Learned]:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, max_tokens: int = 3, z: float = 0.0) -> list[Learned]:
     """Rules from rows (tokens, verdict), strongest first. Minimum support bounds their number.
 
     The search is FP-growth over the distinct token sets with the verdict as one more item. A rule is kept when its
-    confidence and support suffice and no shorter part of it is kept for the same verdict.
+    confidence, or its lower bound if ``z`` is set, and support suffice and no shorter part of it is kept for the same verdict.
     """
     items = durable(labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items")))
     if items.isEmpty():
@@ -101,7 +104,9 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     alone = sides.where(F.col("verdict").isNull()).select("tokens", F.col("freq").alias("freq_tokens"))
     both = sides.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
     rated = both.join(alone, "tokens").select("tokens", F.substring_index("verdict", "=", -1).alias("verdict"), (F.col("freq") / F.col("freq_tokens")).alias("confidence"), F.col("freq").cast("long").alias("support"))
-    good = durable(rated.where(F.col("confidence") >= min_confidence))
+    n, c = F.col("support") / F.col("confidence"), F.col("confidence")
+    low = (c + z * z / (2 * n) - z * F.sqrt(c * (1 - c) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    good = durable(rated.where(low >= min_confidence))
     # a rule is covered if any shorter part of it is good: that part is kept, or a part of it is
     parts = "filter(aggregate(tokens, array(cast(array() as array<string>)), (all, t) -> concat(all, transform(all, x -> array_append(x, t)))), x -> size(x) > 0 and size(x) < size(tokens))"
     covered = good.select("tokens", "verdict", F.explode(F.expr(parts)).alias("part"))
@@ -127,6 +132,16 @@ def judge(tokens_: Column, learned: list[Learned], default: str = "allow") -> Co
     return F.coalesce(F.get(verdicts, first), F.lit(default))
 
 
+def implied(rule: str) -> list[str]:
+    """The tokens that every URL has which an explicit rule ``host/path`` fits."""
+    name, _, rest = rule.partition("/")
+    labels = name.split(".")
+    ends = [".".join(labels[k:]) for k in range(len(labels))]
+    out = [f"tld={labels[-1]}", *(f"domain={x}" for x in ends if x.count(".") == 1), *(f"host={x}" for x in ends if x.count(".") > 1)]
+    out += [f"label={x}" for x in labels[:-1]]
+    return out + [f"dir={re.sub('[0-9]+', '0', x)}" for x in rest.split("/")[:-1] if x]
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", labels: DataFrame | None = None, **mining: float) -> DataFrame:
     """page_id, host, path, rule, verdict for every row.
 
@@ -142,7 +157,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
     rows = rows.withColumn("said", said)
     if labels is None:
-        taught = rows.where(F.col("said").isNotNull()).select("tokens", F.col("said").alias("verdict"))
+        own_tokens = F.array().cast("array<string>")
+        for rule in sorted(of):
+            own_tokens = F.when(F.col("rule") == rule, F.array(*map(F.lit, implied(rule)))).otherwise(own_tokens)
+        taught = rows.where(F.col("said").isNotNull()).select(F.array_except("tokens", own_tokens).alias("tokens"), F.col("said").alias("verdict"))
+        mining = {"z": 1.645, **mining}
     else:
         own = pick(labels, url="string", verdict="string").where(F.col("verdict").isNotNull())
         own = own.select("url", "verdict", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
