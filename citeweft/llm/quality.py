@@ -37,7 +37,8 @@ def repeated_words(ws: Column) -> Column:
     """Words that stand in a 3-word window which the text has twice or more.
 
     Each window is one number: its 64-bit hash, shifted to make room for its place. Sorted, equal windows are
-    neighbours; their places, sorted again, cover up to three words each.
+    neighbours; their places, sorted again, cover up to three words each. From 4,096 words on, where less than 52 bits
+    of the hash would be left, windows are pairs of the whole hash and the place, which takes longer.
     """
 
     def places(s: Column, bits: Column) -> Column:
@@ -50,13 +51,21 @@ def repeated_words(ws: Column) -> Column:
         one = F.transform(at, lambda x, k: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(at, k + 1) - x, F.lit(3).cast("bigint"))))
         return F.aggregate(one, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
+    def paired(s: Column) -> Column:
+        twin = F.filter(s, lambda x, k: (x["h"] == F.get(s, k + 1)["h"]) | (x["h"] == F.get(s, k - 1)["h"]))
+        return F.sort_array(F.transform(twin, lambda x: x["at"]))
+
     def of(w: Column) -> Column:
         n = F.size(w)
         bits = F.length(F.bin(n.cast("bigint")))
         starts = F.sequence(F.lit(0), n - 3)
-        hashes = F.transform(starts, lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits) + i)
+        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        hashes = F.transform(starts, lambda i: F.call_function("shiftleft", hashed(i), bits) + i)
+        pairs = F.transform(starts, lambda i: F.struct(hashed(i).alias("h"), i.cast("bigint").alias("at")))
+        short = _let(F.sort_array(hashes), lambda s: _let(places(s, bits), covered))
+        long = _let(F.array_sort(pairs), lambda s: _let(paired(s), covered))
         # get() is null outside the array, so a null comparison must not hide the other one
-        return F.when(n >= 4, _let(F.sort_array(hashes), lambda s: _let(places(s, bits), covered))).otherwise(F.lit(0).cast("bigint"))
+        return F.when(n >= 4096, long).when(n >= 4, short).otherwise(F.lit(0).cast("bigint"))
 
     return _let(ws, of)
 
