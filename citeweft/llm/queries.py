@@ -62,6 +62,34 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: its counts and base verdict, through the operator."""
+    return op4_quality_rules(spark, sf_dir).drop("kept", "rule")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: how often the fixed patterns match."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: counts, and the unigram score of each token."""
+    rows = op8_maxent_score(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round(F.col("base_score") / F.col("n_tokens"), 6).alias("base_mean"))
+
+
+def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: host, path, the explicit rule, and its verdict."""
+    rows = op10_url_filter(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("said"))
+
+
+def base_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: which documents are held out, and which have no letter."""
+    rows = op2_language_id(spark, sf_dir)
+    return rows.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("no_letter"), F.col("score").between(0, 1).alias("score_fits"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -73,8 +101,17 @@ QUERIES: dict[str, Query] = {
     "op8_maxent_score": op8_maxent_score,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_url_filter": op10_url_filter,
+    "base_languages": base_languages,
+    "base_quality": base_quality,
+    "base_secrets": base_secrets,
+    "base_language_model": base_language_model,
+    "base_urls": base_urls,
 }
 
+#: CRC-32 of a decimal number, bit by bit: after each character come eight shifts.
+CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)"""
+
 SQL: dict[str, str] = {
     "op1_chat_format": r"""
 WITH rows AS (
@@ -155,5 +192,48 @@ got AS (
 )
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken, g.first_shard, g.last_shard
 FROM placed p LEFT JOIN got g ON g.beg = p.beg AND g.source IS NOT DISTINCT FROM p.source AND p.size > 0
+""",
+    "base_languages": f"""
+SELECT doc_id, coalesce(xor({CRC}, 4294967295) % 4 = 2, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS no_letter, true AS score_fits FROM documents
+""",
+    "base_quality": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+c AS (
+  SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM t LEFT JOIN inside USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+""",
+    "base_secrets": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM t
+""",
+    "base_language_model": f"""
+WITH t AS (
+  SELECT doc_id, coalesce(xor({CRC}, 4294967295) % 7 = 2, false) AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), chr(10)) AS w FROM documents
+), tokens AS (SELECT doc_id, held_out, unnest(w) AS w FROM t),
+counts AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+whole AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, (SELECT n FROM whole)::BIGINT AS train_tokens,
+  round(avg(log10((coalesce(c, 0) + 1) / (SELECT n + v + 1 FROM whole)::DOUBLE)), 6) AS base_mean
+FROM tokens LEFT JOIN counts USING (w) GROUP BY doc_id, held_out
+""",
+    "base_urls": r"""
+WITH h AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(verdict, name, rest)),
+fits AS (SELECT page_id, max_by(struct_pack(rule := name || rest, verdict := verdict), length(name || rest)) AS r FROM h JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, rest) GROUP BY page_id)
+SELECT page_id, host, path, r.rule AS rule, r.verdict AS said FROM h LEFT JOIN fits USING (page_id)
 """,
 }

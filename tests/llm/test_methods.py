@@ -799,3 +799,40 @@ def test_filters_of_tasks_are_one(spark):
     own = [h for k, t, _ in rows if k % 2 == 0 for h in langid.trigrams(t.split())[0]]
     inside = one.containing(np.array(own, np.uint64))[:, 0] >> np.uint64(one.languages.index("x")) & np.uint64(1)
     assert inside.mean() > 0.9
+
+
+def test_rules_do_not_restate_their_labels(spark):
+    """What an explicit rule asks for is left out of the rows that it labels; few rows do not make a rule."""
+    from citeweft.llm.queries import URL_RULES
+
+    urls = [f"http://h{k}.example.com/de/{'ads' if k % 2 else 'x'}{k}" for k in range(60)] + [f"http://h{k}.example.net/en/{k}" for k in range(60)]
+    urls += [f"http://rare{k % 3}.net/a{k}" for k in range(3)] + ["http://new.example.com/fr/1", "http://rare1.com/", "http://q.org/de/1", "http://x.com/de/ads9"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.filter_urls(df, URL_RULES).collect()}
+    free = [r for r in got.values() if r.rule is None]
+    assert len(free) == 4 and [r.verdict for r in sorted(free)] == ["allow", "allow", "allow", "block"]  # by dir=ads0 alone
+    assert set(url_rules.implied("example.com/de/")) == {"tld=com", "domain=example.com", "label=example", "dir=de"}
+    for rule, url in (("net/", "http://a.net/x"), ("example.net/en/", "http://w.example.net/en/2"), ("a.b.org/", "http://a.b.org/")):
+        one = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens(F.col("url"), url_rules.host(F.col("url")), url_rules.path(F.col("url"))).alias("t")).collect()[0].t
+        assert set(url_rules.implied(rule)) <= set(one)
+
+
+def test_equal_rules_and_long_urls(spark):
+    """Rules of equal strength go by their tokens; a URL of half a million characters is judged like any other."""
+    rows = [(["b"], "block")] * 40 + [(["a"], "allow")] * 40
+    found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert [r.tokens for r in found] == [("a",), ("b",)]
+    df = spark.createDataFrame([(["a", "b"],), (["b", "a"],), (["c"],)], "t array<string>")
+    assert [r.v for r in df.select(url_rules.judge(F.col("t"), found, "none").alias("v")).collect()] == ["allow", "allow", "none"]
+    long = "http://a.net/" + "x/" * 250_000
+    got = url_rules.filter_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), [("block", "net/")]).collect()[0]
+    assert (got.host, got.path, got.rule, got.verdict) == ("a.net", long[12:], "net/", "block")
+
+
+def test_repeats_in_long_texts(spark):
+    """From 4,096 words on windows go by their whole hash: the same counts as the plain version."""
+    rng = np.random.default_rng(18)
+    texts_ = [" ".join(rng.choice([f"w{k}" for k in range(m)], n)) for n, m in ((4095, 60), (4096, 60), (9000, 200), (30_000, 10**6))]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    for r in quality.statistics(df).collect():
+        assert r.n_repeat_words == brute.base_quality(texts_[r.doc_id])["n_repeat_words"]
