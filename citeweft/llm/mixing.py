@@ -133,14 +133,15 @@ def place(sizes: DataFrame, block: int, shard_words: int, weights: tuple[float,
     s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("all_words") / shard_words)).cast("bigint")).withColumn("name", _named(F.col("source")))
     # the draw: every slot is thrown to a shard; small ranges, so that a large source's slots are thrown by many tasks
     thrown = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("slots") - 1, F.lit(4096)))))
-    thrown = thrown.repartition("name", "chunk").withColumn("k", F.explode(F.sequence(F.col("chunk") * 4096, F.least(F.col("slots") - 1, F.col("chunk") * 4096 + 4095))))
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows become many: not to be merged into few tasks
+    thrown = thrown.repartition(tasks, "name", "chunk").withColumn("k", F.explode(F.sequence(F.col("chunk") * 4096, F.least(F.col("slots") - 1, F.col("chunk") * 4096 + 4095))))
     drawn = thrown.select("name", (_digits(F.lit("shard"), F.col("name"), F.col("k")) % F.col("shards")).alias("shard")).groupBy("name", "shard").agg(F.count("*").alias("n"))
     drawn = durable(drawn.withColumn("group", F.call_function("div", F.col("shard"), F.lit(4096))))
     # slots are numbered shard by shard: sums over groups of shards, then within each
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     groups = drawn.groupBy("name", "group").agg(F.sum("n").alias("n")).select("name", "group", F.coalesce(F.sum("n").over(before("name", "group")), F.lit(0)).alias("base"))
     numbered = drawn.withColumn("inside", F.coalesce(F.sum("n").over(before("name", "group", "shard")), F.lit(0))).join(groups, ["name", "group"])
-    slots = numbered.join(s, "name").repartition("name", "shard")
+    slots = numbered.join(s, "name").repartition(tasks, "name", "shard")
     slots = slots.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).withColumn("at", F.col("base") + F.col("inside") + F.col("j"))
     slots = slots.withColumn("pass_", F.call_function("div", F.col("at"), F.col("each"))).withColumn("rank", F.col("at") % F.col("each"))
     full = F.call_function("div", F.col("source_size"), F.lit(block))
