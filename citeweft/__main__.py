@@ -1,4 +1,4 @@
-"""Command line: init, step, label, run, status, estimate, report, export over a run's folder.
+"""Command line: init, step, label, run, status, estimate, report, export, verify, snapshot over a run's folder.
 
 Exit codes: 0 done, 1 verification differs, 2 bad settings or labels, 3 no such input, 4 the run has stopped.
 """
@@ -13,8 +13,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import manifest as manifest_
 from . import settings as settings_
-from .run import STOPPED, LabelError, Run
+from .run import STOPPED, TABLES, LabelError, Run
 from .sinks import exports
 from .sources import files
 
@@ -31,8 +32,16 @@ def _load(spark: SparkSession, folder: str) -> Run:
     return Run.load(_uri(f"{folder}/state"), works, edges, settings_.from_dict(meta["settings"]))
 
 
+def _hashes(run: Run) -> dict[str, str]:
+    return {name: manifest_.hash_rows(getattr(run, name)) for name in TABLES if name != "registry"}
+
+
 def _save(run: Run, folder: str) -> None:
+    run.manifest.record("saved", **_hashes(run))
+    meta = json.loads((Path(folder) / "run.json").read_text(encoding="utf-8"))
+    run.manifest.add_file(meta["graph"])
     run.save(_uri(f"{folder}/state"))
+    (Path(folder) / "manifest.json").write_text(run.manifest.text(), encoding="utf-8")
     with open(Path(folder) / "audit.jsonl", "w", encoding="utf-8") as f:
         f.writelines(f"{e}\n" for e in run.events)
 
@@ -45,12 +54,15 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("--seeds", required=True)
     one.add_argument("--graph", required=True)
     one.add_argument("--config")
-    for verb in ("step", "status", "report", "export"):
+    for verb in ("step", "status", "report", "export", "verify"):
         sub.add_parser(verb).add_argument("folder")
     for verb, what in (("label", "labels"), ("run", "gold")):
         one = sub.add_parser(verb)
         one.add_argument("folder")
         one.add_argument(what)
+    one = sub.add_parser("snapshot")
+    one.add_argument("folder")
+    one.add_argument("archive")
     one = sub.add_parser("estimate")
     one.add_argument("folder")
     one.add_argument("--method", default="chapman", choices=["chapman", "chao1", "loglinear"])
@@ -81,7 +93,16 @@ def _do(spark: SparkSession, a: argparse.Namespace) -> int:
         _save(run, a.folder)
         print(f"{n} seeds")
         return DONE if n else BAD
+    if a.verb == "snapshot":
+        print(f"{len(manifest_.snapshot(a.folder, a.archive))} files")
+        return DONE
     run = _load(spark, a.folder)
+    if a.verb == "verify":
+        known = manifest_.Manifest.parse((Path(a.folder) / "manifest.json").read_text(encoding="utf-8"))
+        found = manifest_.verify_replay(known, run.settings, {"saved": _hashes(run)})
+        (Path(a.folder) / "verification.md").write_text(manifest_.report_text(found), encoding="utf-8")
+        print("ok" if found["ok"] else "differs")
+        return DONE if found["ok"] else DIFFERS
     if a.verb == "step":
         if run.phase == STOPPED:
             return OVER

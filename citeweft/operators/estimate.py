@@ -30,6 +30,17 @@ def arm_predicate(arm: Arm, members: set[str] = frozenset()) -> Column:
     return out
 
 
+def with_sets(provenance: DataFrame, members: dict[str, DataFrame]) -> DataFrame:
+    """Provenance with ``sets``, the names of the membership sets (key) that hold a row's key."""
+    if not members:
+        return provenance
+    named = None
+    for name, keys in sorted(members.items()):
+        one = keys.select("key", F.lit(name).alias("name"))
+        named = one if named is None else named.union(one)
+    return provenance.join(named.groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("sets")), "key", "left")
+
+
 def capture_histories(provenance: DataFrame, included: DataFrame, arms: dict[str, Column]) -> DataFrame:
     """(key, one boolean column for each arm) of the included works that an arm captured."""
     rows = provenance.join(included.select("key"), "key", "left_semi")

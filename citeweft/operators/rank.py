@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import RankWeights
+from ..storage import durable
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -30,12 +31,6 @@ def bm25(included: DataFrame, candidates: DataFrame, k1: float = 1.2, b: float =
     return candidates.select("key").join(sums, "key", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def minmax(column: Column, over: Window) -> Column:
-    """0 to 1; 0 where all are the same."""
-    lo, hi = F.min(column).over(over), F.max(column).over(over)
-    return F.when(hi - lo < 1e-12, F.lit(0.0)).otherwise((column - lo) / (hi - lo))
-
-
 def network_features(provenance: DataFrame, candidates: DataFrame, included: DataFrame) -> DataFrame:
     """(key, n_parents, cocitation, coupling, both_directions) from provenance (key, parent, direction).
 
@@ -80,8 +75,17 @@ def null_score(candidates: DataFrame) -> DataFrame:
 
 
 def positions(scores: DataFrame) -> DataFrame:
-    """Ranks from 1 by falling score, then key. Scores are compared to 8 places, whatever the order of summing."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 8).desc(), "key")))
+    """Ranks from 1 by falling score, then key. Scores are compared to 8 places, whatever the order of summing.
+
+    Rows are dealt out by ranges and numbered within each; the few sizes of the ranges give where each begins.
+    """
+    order = [F.round("score", 8).desc(), F.col("key").asc()]
+    dealt = durable(scores.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranked = dealt.withColumn("rank", inside).join(F.broadcast(sizes), "_part")
+    return ranked.withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).select(*scores.columns, "rank")
 
 
 def fuse(rankings: dict[str, DataFrame], k: int = 60) -> DataFrame:
@@ -101,8 +105,10 @@ def fuse(rankings: dict[str, DataFrame], k: int = 60) -> DataFrame:
 
 def top(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Candidates in order (rank, key, score), the first k."""
-    out = scores if k is None else scores.orderBy(F.round("score", 8).desc(), "key").limit(k)
-    return positions(out)
+    if k is None:
+        return positions(scores)
+    order = [F.round("score", 8).desc(), F.col("key").asc()]
+    return scores.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
 def build(name: str):

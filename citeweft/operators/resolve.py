@@ -25,11 +25,34 @@ def doi_pairs(records: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
-    """Pairs a < b that share a block, once each, with both records' fields."""
-    each = blocks(records.select(*RECORD))
+    """Pairs a < b that share a block, once each, with both records' fields; records without a title match nothing."""
+    each = blocks(records.select(*RECORD).where("title_norm <> ''"))
     x = each.select("block", *(F.col(c).alias(f"a_{c}") for c in RECORD))
     y = each.select("block", *(F.col(c).alias(f"b_{c}") for c in RECORD))
-    return x.join(y, "block").where("a_key < b_key").drop("block").dropDuplicates(["a_key", "b_key"])
+    return _once(x.join(y, "block").where("a_key < b_key"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.drop("block").dropDuplicates(["a_key", "b_key"])
+
+
+def _could(a: str, b: str) -> Column:
+    """What all tiers but T1 ask for, cheap enough for a join's condition."""
+    c = lambda side, name: F.col(f"{side}_{name}")
+    apart = F.coalesce((c(a, "doi") != "") & (c(b, "doi") != "") & (c(a, "doi") != c(b, "doi")), F.lit(False))
+    near = S.year_close(c(a, "year"), c(b, "year")) & S.same_first_author(c(a, "surname"), c(b, "surname"))
+    missing = (F.coalesce(c(a, "surname"), F.lit("")) == "") | (F.coalesce(c(b, "surname"), F.lit("")) == "")
+    same = (c(a, "title_norm") == c(b, "title_norm")) & F.coalesce(c(a, "year") == c(b, "year"), F.lit(False)) & missing
+    return ~apart & (F.coalesce(near, F.lit(False)) | F.coalesce(same, F.lit(False)))
+
+
+def likely_pairs(records: DataFrame) -> DataFrame:
+    """The candidate pairs that a tier could take; the others never leave the join."""
+    each = blocks(records.select(*RECORD).where("title_norm <> ''"))
+    x = each.select("block", *(F.col(c).alias(f"a_{c}") for c in RECORD))
+    y = each.select(F.col("block").alias("b_block"), *(F.col(c).alias(f"b_{c}") for c in RECORD))
+    met = x.join(y, (F.col("block") == F.col("b_block")) & (F.col("a_key") < F.col("b_key")) & _could("a", "b"))
+    return _once(met.drop("b_block"))
 
 
 def tiered(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -53,7 +76,7 @@ def tiered(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
 def matches(records: DataFrame, settings: DedupSettings = DedupSettings()) -> DataFrame:  # noqa: B008
     """All pairs (a, b, tier, score); T1 comes before the others."""
     first = doi_pairs(records)
-    rest = tiered(candidate_pairs(records), settings.jw_threshold).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = tiered(likely_pairs(records), settings.jw_threshold).join(first.select("a", "b"), ["a", "b"], "left_anti")
     return first.union(rest)
 
 
@@ -118,6 +141,12 @@ def merge(works: DataFrame, labels: DataFrame, precedence: tuple[str, ...] = ())
     return merged.select(*works.columns)
 
 
+def upsert(works: DataFrame, merged: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The works with merged ones in the place of those they are made of; aliases (key, rep) name the latter."""
+    gone = aliases.select("key").union(merged.select("key")).distinct()
+    return works.join(gone, "key", "left_anti").select(*works.columns).union(merged.select(*works.columns))
+
+
 def flatten_aliases(aliases: DataFrame) -> DataFrame:
     """(key, rep) with every chain of renamings followed to its end, loops included."""
     return clusters(aliases.select(F.col("key").alias("a"), F.col("rep").alias("b")))

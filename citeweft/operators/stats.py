@@ -152,6 +152,8 @@ def parse_scores(replies: DataFrame) -> DataFrame:
 def top_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """top_n and overlap of two rankings' heads: a tenth of the keys, 20 to 250. a, b (key, score)."""
     n = a.agg(F.least(F.lit(250), F.greatest(F.lit(20), F.floor(F.count("*") / 10))).cast("int").alias("top_n"))
-    rank = lambda df, name: df.withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), "key"))).select("key", name)
-    both = rank(a, "ra").join(rank(b, "rb"), "key").join(F.broadcast(n))
-    return both.agg(F.first("top_n").alias("top_n"), F.count_if((F.col("ra") <= F.col("top_n")) & (F.col("rb") <= F.col("top_n"))).alias("overlap"))
+    head = lambda df: df.orderBy(F.desc("score"), "key").limit(250)  # noqa: E731  no head is longer
+    rank = lambda df, name: head(df).withColumn(name, F.row_number().over(Window.orderBy(F.desc("score"), "key"))).select("key", name)
+    both = rank(a, "ra").join(rank(b, "rb"), "key")
+    rows = n.join(both, (F.col("ra") <= F.col("top_n")) & (F.col("rb") <= F.col("top_n")), "left")
+    return rows.agg(F.first("top_n").alias("top_n"), F.count("key").alias("overlap"))

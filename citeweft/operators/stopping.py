@@ -24,7 +24,7 @@ def marginal_yield(history: DataFrame, eps: float = 0.01, k: int = 2) -> DataFra
     last = _by_round().rowsBetween(1 - k, 0)
     rows = history.withColumn("worst", F.max("yield_rate").over(last)).withColumn("have", F.count("*").over(last))
     fired = (F.col("have") >= k) & (F.col("worst") < eps)
-    said = F.when(F.col("have") < k, F.format_string(f"Fewer than {k} iterations.")).otherwise(F.format_string(f"Yield of the last {k} iterations is at most %.4f; the limit is {eps:.4f}.", F.col("worst")))
+    said = F.when(F.col("have") < k, F.format_string(f"There are not yet {k} rounds.")).otherwise(F.format_string(f"Yield of the last {k} iterations is at most %.4f; the limit is {eps:.4f}.", F.col("worst")))
     return _decide(rows, "marginal_yield", fired, F.col("yield_rate"), eps, said)
 
 
@@ -102,7 +102,7 @@ def asymptotic_coverage(history: DataFrame, tau: float = 0.95, min_points: int =
         out = []
         for k in range(1, len(rows) + 1):
             part = rows.iloc[:k]
-            value, said = None, f"Fewer than {min_points} iterations; no curve was fitted."
+            value, said = None, f"No curve is fitted to under {min_points} rounds."
             if k >= min_points and part["cumulative_included"].iloc[-1] > 0:
                 top, _ = fit_asymptote(part["n"].tolist(), part["cumulative_included"].tolist())
                 value = float(part["cumulative_included"].iloc[-1] / top)

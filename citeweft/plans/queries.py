@@ -975,7 +975,7 @@ def _work_rows(spark, d) -> DataFrame:
 
 @query(
     f"""WITH {A.SQL_WORKS} SELECT key::VARCHAR AS key, 'TY  - JOUR' || chr(10) || 'TI  - ' || title || chr(10) || 'AU  - ' || regexp_replace(venue, '[^A-Za-z]', '', 'g') || ', X' || chr(10) || 'PY  - ' || year || chr(10) || 'JO  - ' || venue || chr(10)
-    || 'DO  - 10.1000/' || key || coalesce(chr(10) || 'AB  - ' || abstract, '') || chr(10) || 'ER  - ' AS entry FROM works"""
+    || 'DO  - 10.1000/' || key || coalesce(chr(10) || 'AB  - ' || abstract, '') || chr(10) || 'ID  - ' || key || chr(10) || 'ER  - ' AS entry FROM works"""
 )
 def ris_lines(spark, d):
     return exports.ris(_work_rows(spark, d))

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions.udfs import canonical
 from .model import EXCLUDE, INCLUDE, RunSettings
+from .manifest import Manifest, hash_rows
 from .operators import eligibility, estimate, expand, prisma, rank, resolve, stopping
 from .sinks import exports
 from .sources import files
 from .storage import durable
 
+#: What a run keeps in tables.
+TABLES = ("decisions", "frontier", "expanded", "aliases", "provenance", "merges", "registry")
 READY, AWAITING, STOPPED = "ready", "awaiting_labels", "stopped"
 
 
@@ -28,10 +31,23 @@ class LabelError(ValueError):
 
 
 class Run:
-    """One review over works and edges (src, dst, direction, provider)."""
+    """One review over works and edges (src, dst, direction, provider).
 
-    def __init__(self, works: DataFrame, edges: DataFrame, settings: RunSettings = RunSettings()):  # noqa: B008
+    ``members``: keys of each membership set that an arm names. ``vectors``: rows (key, v) for the ranker by embedding.
+    Works that resolve to one are merged: the registry holds the merged work, under the smallest key, and edges of all
+    its keys are followed from there.
+    """
+
+    def __init__(self, works: DataFrame, edges: DataFrame, settings: RunSettings = RunSettings(), members: dict[str, DataFrame] | None = None, vectors: DataFrame | None = None):  # noqa: B008
         self.spark: SparkSession = works.sparkSession
+        self.members, self.vectors = members or {}, vectors
+        lost = sorted({a.member_of for a in settings.arms if a.member_of is not None} - set(self.members))
+        if lost:
+            raise ValueError(f"no membership set {', '.join(map(repr, lost))}")
+        if settings.ranker == "embedding" and vectors is None:
+            raise ValueError("the ranker by embedding needs vectors")
+        self.manifest = Manifest(settings)
+        self.registry = works.limit(0)
         self.settings, self.works, self.edges = settings, works, durable(edges)
         self.phase, self.n = READY, 0
         self.events: list[str] = []
@@ -93,23 +109,35 @@ class Run:
         new = durable(labels.where("not suspicious and key <> rep").select("key", "rep"))
         events = durable(resolve.merge_events(labels, matched))
         self.merges = durable(self.merges.union(events.select("rep", "members", "tier", F.col("score").cast("double"))))
-        self.aliases = durable(self.aliases.union(new).distinct())
+        if not new.isEmpty():
+            self._merge(raw, durable(labels.where("not suspicious").select("key", "rep")), new)
         self.provenance = durable(resolve.apply_aliases(self.provenance, self.aliases))
-        merged = raw.join(new.select("key"), "key", "left_anti")
+        merged = self.works.join(resolve.apply_aliases(raw.select("key"), self.aliases).distinct(), "key", "left_semi")
         fresh = durable(eligibility.fresh(merged, self.decisions).withColumn("reason", eligibility.reason(self.settings.eligibility)))
         for r in fresh.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").collect():  # a row for each reason
             self.rejected.append({"iteration": self.n, "reason": r.reason, "n": r.n})
             self.events.append(exports.audit_line("ineligible", iteration=self.n, reason=r.reason, n=r.n))
-        eligible = fresh.where("reason is null").withColumn("terms", S.tokenize(F.col("title")))
-        inc = self.works.join(self.decisions.where(F.col("decision") == INCLUDE), "key", "left_semi").withColumn("terms", S.tokenize(F.col("title")))
-        scores = rank.build(self.settings.ranker)(inc, eligible, self.provenance, None)
+        terms = S.tokenize(F.concat_ws(" ", "title", "abstract"))
+        eligible = fresh.where("reason is null").withColumn("terms", terms)
+        inc = self.works.join(self.decisions.where(F.col("decision") == INCLUDE), "key", "left_semi").withColumn("terms", terms)
+        scores = rank.build(self.settings.ranker)(inc, eligible, self.provenance, self.vectors)
         self.pending = durable(rank.top(scores, self.settings.top_k))
+        self.manifest.record(self.n, candidates=hash_rows(self.pending.select("rank", "key", F.round("score", 8).alias("score"))))
         self._counts = ready.count(), found.count(), merged.count(), eligible.count()
         self.phase = AWAITING
         if self.pending.isEmpty():
             return self.label(self._empty("key string, decision string"), allow_empty=True)
         return self.pending
 
+    def _merge(self, raw: DataFrame, labels: DataFrame, new: DataFrame) -> None:
+        """Puts the works that resolve to one into the registry as one; edges go by its key from now on."""
+        together = durable(labels.join(new.select("rep").distinct(), "rep", "left_semi").select("key", "rep"))
+        merged = durable(resolve.merge(raw.join(together.select("key"), "key", "left_semi"), together, self.settings.dedup.precedence))
+        self.registry = durable(resolve.upsert(self.registry, merged, new))
+        self.works = durable(resolve.upsert(self.works, merged, new))
+        self.aliases = durable(resolve.flatten_aliases(self.aliases.union(new)).select(F.col("key"), F.col("rep")).where("key <> rep")) if not self.aliases.isEmpty() else new
+        self.edges = durable(resolve.apply_aliases(resolve.apply_aliases(self.edges, new, "src"), new, "dst").distinct())
+
     def label(self, labels: DataFrame, allow_empty: bool = False) -> None:
         """Takes decisions (key, decision) on pending records; of repeated keys any one counts. Then the rules decide."""
         if self.phase != AWAITING:
@@ -187,7 +215,8 @@ class Run:
         if len(arms) < 2:
             return {"method": method or self.settings.stop_method, "estimable": False, "reason": "fewer_than_two_arms"}
         inc = self.decisions.where(F.col("decision") == INCLUDE)
-        h = durable(estimate.capture_histories(self.provenance.where("direction <> 'seed'"), inc, {a.name: estimate.arm_predicate(a) for a in arms}))
+        rows = estimate.with_sets(self.provenance.where("direction <> 'seed'"), self.members)
+        h = durable(estimate.capture_histories(rows, inc, {a.name: estimate.arm_predicate(a, set(self.members)) for a in arms}))
         return estimate.estimate_recall(h, [a.name for a in arms], method or self.settings.stop_method)
 
     def run_to_saturation(self, screen: Callable[[DataFrame], DataFrame]) -> None:
@@ -210,22 +239,27 @@ class Run:
 
     def save(self, path: str) -> None:
         """Everything that ``load`` needs, one table for each collection and one JSON text."""
-        for name in ("decisions", "frontier", "expanded", "aliases", "provenance", "merges"):
+        for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         if self.pending is not None:
             self.pending.write.mode("overwrite").parquet(f"{path}/pending")
         state = {k: getattr(self, k) for k in ("phase", "n", "n_seeds", "rounds", "trail", "rejected", "events", "stopped_by")}
+        state["manifest"] = self.manifest.data
         state["counts"] = list(getattr(self, "_counts", (0, 0, 0, 0)))
         self.spark.createDataFrame([(canonical(state),)], "state string").write.mode("overwrite").json(f"{path}/state")
 
     @classmethod
-    def load(cls, path: str, works: DataFrame, edges: DataFrame, settings: RunSettings = RunSettings()) -> Run:  # noqa: B008
-        run = cls(works, edges, settings)
+    def load(cls, path: str, works: DataFrame, edges: DataFrame, settings: RunSettings = RunSettings(), **more: object) -> Run:  # noqa: B008
+        run = cls(works, edges, settings, **more)
         state = json.loads(run.spark.read.json(f"{path}/state").collect()[0].state)
+        run.manifest.data = state.pop("manifest")
         for k, v in state.items():
             setattr(run, "_counts" if k == "counts" else k, v)
-        for name in ("decisions", "frontier", "expanded", "aliases", "provenance", "merges"):
+        for name in TABLES:
             setattr(run, name, durable(run.spark.read.parquet(f"{path}/{name}")))
+        if not run.aliases.isEmpty():
+            run.works = durable(resolve.upsert(works, run.registry, run.aliases))
+            run.edges = durable(resolve.apply_aliases(resolve.apply_aliases(run.edges, run.aliases, "src"), run.aliases, "dst").distinct())
         if run.phase == AWAITING:
             run.pending = durable(run.spark.read.parquet(f"{path}/pending"))
         return run

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import rank
 
 # Types of works in RIS; others are journal articles.
 RIS_TYPES = {"article": "JOUR", "journal-article": "JOUR", "book": "BOOK", "book-chapter": "CHAP", "proceedings-article": "CPAPER", "dissertation": "THES", "report": "RPRT", "preprint": "UNPB"}
@@ -25,7 +26,7 @@ def _listed(field: str) -> Column:
 
 def candidates(works: DataFrame, scores: DataFrame) -> DataFrame:
     """The candidate list in order of rank, 13 columns of text."""
-    rows = works.join(scores.select("key", "score"), "key").withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 8).desc(), "key")))
+    rows = works.join(rank.positions(scores.select("key", "score")), "key")
     return rows.select(
         "rank",
         "key",
@@ -61,6 +62,7 @@ def ris(works: DataFrame) -> DataFrame:
         line("JO", F.col("venue")),
         line("DO", F.col("doi")),
         line("AB", F.col("abstract")),
+        F.concat(F.lit("ID  - "), "key"),
         F.lit("ER  - "),
     )
     return works.select("key", entry.alias("entry")).orderBy("key")
@@ -76,8 +78,9 @@ def bibtex_keys(works: DataFrame) -> DataFrame:
 def bibtex(works: DataFrame) -> DataFrame:
     field = lambda n, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"  {n} = {{"), c, F.lit("}")))
     rows = works.join(bibtex_keys(works), "key")
+    kind = F.when(F.coalesce("type", F.lit("")).startswith("proceedings"), "inproceedings").otherwise("article")
     fields = F.concat_ws(",\n", field("title", F.col("title")), field("author", F.array_join(_names(), " and ")), field("year", F.col("year").cast("string")), field("journal", F.col("venue")), field("doi", F.col("doi")))
-    return rows.select("key", F.concat(F.lit("@article{"), "bibkey", F.lit(",\n"), fields, F.lit("\n}")).alias("entry")).orderBy("key")
+    return rows.select("key", F.concat(F.lit("@"), kind, F.lit("{"), "bibkey", F.lit(",\n"), fields, F.lit("\n}")).alias("entry")).orderBy("key")
 
 
 def citation_edges(works: DataFrame) -> DataFrame:

@@ -113,3 +113,48 @@ def test_crawl_is_the_same_for_any_partitioning(spark):
         got.add(repr(sorted(map(tuple, Q.QUERIES["snowball_history"](spark, DATA).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(got) == 1
+
+
+def test_two_providers_make_one_work(spark):
+    """Both providers' records of a paper become one work, with the better fields, and its edges are followed from either."""
+    author = [("stone", None, None)]
+    row = lambda key, title, doi, abstract, provider: (key, title, title, doi, abstract, 2020, author, None, "article", "en", False, False, {provider: key}, None, None, [(provider, "backward", "seed", 1, "", "")])
+    title = "a study of citation graphs in the large"
+    rows = [row("seed", "seed", "10.1/s", None, "p1"), row("a1", title, "10.1/a", None, "p1"), row("a2", title, None, "what it says of sampling", "p2"), row("b", "something else altogether", "10.1/b", None, "p2"), row("c", "behind the second record", "10.1/c", None, "p2")]
+    edges = [("seed", "a1", "backward", "p1"), ("seed", "a2", "backward", "p2"), ("seed", "b", "backward", "p2"), ("a2", "c", "backward", "p2")]
+    works, links = spark.createDataFrame(rows, WORKS_DDL), spark.createDataFrame(edges, "src string, dst string, direction string, provider string")
+    core = spark.createDataFrame([("a1",), ("c",)], "key string")
+    arms = (Arm("p1", providers=("p1",)), Arm("core", member_of="core"))
+    with pytest.raises(ValueError, match="membership"):
+        Run(works, links, RunSettings(arms=arms))
+    with pytest.raises(ValueError, match="vectors"):
+        Run(works, links, RunSettings(ranker="embedding"))
+    run = Run(works, links, RunSettings(max_iterations=4, arms=arms), members={"core": core})
+    run.init(spark.createDataFrame([("10.1/s",)], "ident string"))
+    assert {r.key for r in run.step().collect()} == {"a1", "b"}
+    one = run.works.where("key = 'a1'").collect()[0]
+    assert one.doi == "10.1/a" and one.abstract == "what it says of sampling" and {p.provider for p in one.provenance} == {"p1", "p2"}
+    assert run.works.where("key = 'a2'").isEmpty() and run.works.count() == 4
+    run.label(take_all(run.pending))
+    assert {r.key for r in run.step().collect()} == {"c"}  # found by the other record's edge
+    run.label(take_all(run.pending))
+    run.estimate()
+    assert run.manifest.data["rounds"].keys() == {"1", "2"}
+
+
+def test_verify_and_snapshot_verbs(tmp_path):
+    import json
+
+    from citeweft.__main__ import main
+
+    works = {f"doi:10.1/{k}": {"title": f"title {k}", "title_norm": f"title {k}", "doi": f"10.1/{k}", "year": 2020} for k in "sab"}
+    (tmp_path / "graph.json").write_text(json.dumps({"works": works, "references": {"doi:10.1/s": ["doi:10.1/a"], "doi:10.1/a": ["doi:10.1/b"]}, "citations": {}}))
+    (tmp_path / "seeds.txt").write_text("10.1/s\n")
+    folder = str(tmp_path / "run")
+    assert main(["init", folder, "--seeds", str(tmp_path / "seeds.txt"), "--graph", str(tmp_path / "graph.json")]) == 0
+    assert main(["verify", folder]) == 0
+    assert main(["snapshot", folder, str(tmp_path / "run.tar.gz")]) == 0 and (tmp_path / "run.tar.gz").stat().st_size
+    known = json.loads((tmp_path / "run/manifest.json").read_text())
+    known["rounds"]["saved"]["decisions"] = "0" * 64
+    (tmp_path / "run/manifest.json").write_text(json.dumps(known))
+    assert main(["verify", folder]) == 1
