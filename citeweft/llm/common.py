@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: White space between words: blank and the five ASCII controls from tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -28,15 +29,6 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return plain.select(*(one(k, v) for k, v in kinds.items()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="citeweft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read again: cuts the lineage, survives lost executors, prunes columns."""
     spark = df.sparkSession
