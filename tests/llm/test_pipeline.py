@@ -70,3 +70,21 @@ def test_run_is_the_stages(spark, stages):
     got = P.run(spark, DATA)
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset)
     assert sorted(map(key, got.collect()), key=repr) == sorted(map(key, stages["pack_sequences"][1]), key=repr)
+
+
+def test_rows_that_break_things(spark):
+    """Nulls, repeats and clashing columns through all stages, then no rows at all."""
+    good = [" ".join(f"w{k}x{j}" for j in range(80)) for k in range(4)]
+    rows = [(1, good[0], "en", "a", 9), (1, good[0], "en", "a", 9), (1, good[1], "en", None, None), (None, good[2], None, "b", 9), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, good[3], None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", "text as TEXT", "doc_id as size", "lang as k")
+    for name, stage in P.STAGES:
+        df = durable(stage(spark, df, DATA))
+        got = df.collect()
+        assert {r.doc_id for r in got} == {1, None, 4}, name
+        if name == "ngram_jaccard":
+            assert sorted(r.text for r in got) == sorted(good)
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES:
+        none = durable(stage(spark, none, DATA))
+        assert none.count() == 0, name
