@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from . import expand
 
 
-def select_seeds(gold: DataFrame, strategy: str, size: int, seed: int = 0) -> DataFrame:
+def select_seeds(gold: DataFrame, strategy: str, size: int, seed: int = 0, pool: DataFrame | None = None) -> DataFrame:
     """Keys of ``size`` gold works (key, cited_by, year), in order of keys.
 
     random goes by a hash of key and seed, so that every engine draws the same; most_cited counts unknown as 0, oldest
-    unknown as 9999.
+    unknown as 9999. boolean takes gold works that a search found, in the order of pool (key, place); where it found
+    none or there is no pool, the first gold works.
     """
+    if strategy == "boolean":
+        if pool is None:
+            return select_seeds(gold, "first", size)
+        hits = pool.groupBy("key").agg(F.min("place").alias("place"))
+        ranked = gold.join(hits, "key", "left").orderBy(F.col("place").asc_nulls_last(), "key").limit(size).select("key", "place")
+        # unfound works only fill up where there is no hit at all
+        some = ranked.agg(F.count("place").alias("hits"))
+        return ranked.join(F.broadcast(some)).where("place is not null or hits = 0").select("key").orderBy("key")
     order = {
         "most_cited": [F.coalesce("cited_by", F.lit(0)).desc(), F.col("key")],
         "oldest": [F.coalesce("year", F.lit(9999)), F.col("key")],

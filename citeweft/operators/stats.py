@@ -30,10 +30,12 @@ def icc21(scores: DataFrame) -> DataFrame:
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
-    """n, observed agreement, Cohen's kappa and PABAK from rows (a boolean, b boolean)."""
+    """n, observed agreement, Cohen's kappa with its normal 95% interval, and PABAK from rows (a boolean, b boolean)."""
     one = pairs.agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("po"), F.avg(F.col("a").cast("double")).alias("pa"), F.avg(F.col("b").cast("double")).alias("pb"))
-    pe = F.expr("pa * pb + (1 - pa) * (1 - pb)")
-    return one.select("n", "po", F.coalesce(F.try_divide(F.col("po") - pe, 1 - pe), F.lit(1.0)).alias("kappa"), (2 * F.col("po") - 1).alias("pabak"))
+    one = one.withColumn("pe", F.expr("pa * pb + (1 - pa) * (1 - pb)"))
+    one = one.withColumn("kappa", F.coalesce(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")), F.lit(1.0)))
+    half = 1.96 * F.coalesce(F.sqrt(F.expr("try_divide(po * (1 - po), n * (1 - pe) * (1 - pe))")), F.lit(0.0))
+    return one.select("n", "po", "kappa", (F.col("kappa") - half).alias("kappa_low"), (F.col("kappa") + half).alias("kappa_high"), (2 * F.col("po") - 1).alias("pabak"))
 
 
 def pearson(pairs: DataFrame) -> DataFrame:
@@ -99,6 +101,44 @@ def family_agreement(scores: DataFrame, family: Column) -> DataFrame:
     return both.groupBy("kind").agg(F.count("*").alias("n_pairs"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"))
 
 
+def between_families(scores: DataFrame, family: Column) -> DataFrame:
+    """(first, second, n, pearson, icc, mae): the means of two families over the keys that all raters have scored.
+
+    The ICC (two raters, absolute agreement) is in closed form from variances, so that all pairs take one aggregate.
+    """
+    means = common_basis(scores).groupBy("key", family.alias("family")).agg(F.avg("score").alias("s"))
+    a = means.select("key", F.col("family").alias("first"), F.col("s").alias("x"))
+    b = means.select("key", F.col("family").alias("second"), F.col("s").alias("y"))
+    both = a.join(b, "key").where("first < second").groupBy("first", "second").agg(
+        F.count("*").alias("n"),
+        F.corr("x", "y").alias("pearson"),
+        F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"),
+        (2 * F.var_samp((F.col("x") + F.col("y")) / 2)).alias("msr"),
+        (F.var_samp("x") + F.var_samp("y")).alias("within"),
+        (F.avg("x") - F.avg("y")).alias("gap"),
+    )
+    both = both.withColumn("mse", F.col("within") - F.col("msr")).withColumn("msc", F.col("n") * F.col("gap") * F.col("gap") / 2)
+    icc = F.expr("try_divide(msr - mse, msr + mse + 2 * (msc - mse) / n)")
+    return both.select("first", "second", "n", "pearson", icc.alias("icc"), "mae")
+
+
+def blind_controls(rows: DataFrame, tau: float) -> DataFrame:
+    """Known positives among candidates, from rows (score, positive): AUC with and without the lowest tenth of them.
+
+    At least one is left out. n_excluded, positives at ``tau`` or above and the share of candidates there come along. All
+    goes by counts of distinct scores.
+    """
+    by = rows.where("score is not null").groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("before", F.coalesce(F.sum("p").over(w), F.lit(0))).withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    drop = F.greatest(F.lit(1), F.floor(F.sum("p").over(Window.partitionBy()) / 10))
+    by = by.withColumn("drop", drop).withColumn("left", F.col("p") - F.least("p", F.greatest(F.lit(0), F.col("drop") - F.col("before"))))
+    u = F.col("below") + F.col("q") / 2.0
+    area = lambda c: F.try_divide(F.sum(F.col(c) * u), F.sum(c) * F.sum("q").cast("double"))
+    high = F.col("score") >= tau
+    return by.agg(area("p").alias("auc"), area("left").alias("auc_trimmed"), (F.sum("p") - F.sum("left")).alias("n_excluded"), F.sum(F.when(high, F.col("p")).otherwise(0)).alias("positives_at_tau"), F.try_divide(F.sum(F.when(high, F.col("q")).otherwise(0)), F.sum("q")).alias("include_rate"))
+
+
 def bootstrap_mean(values: DataFrame, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
     """mean, low, high of a percentile bootstrap over rows (key, value).
 

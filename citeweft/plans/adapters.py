@@ -93,12 +93,12 @@ SQL_REACH = f"""{SQL_EDGES}, {SQL_GOLD}, {SQL_SEEDS},
 reach(trial, key, n) AS (SELECT trial, key, 0 FROM seeds UNION
   SELECT r.trial, e.dst, r.n + 1 FROM reach r JOIN gold g ON g.key = r.key JOIN edges e ON e.src = r.key WHERE r.n < 25),
 found AS (SELECT trial, key, min(n)::INT AS n, key IN (SELECT key FROM gold) AS included FROM reach GROUP BY trial, key)"""
-SQL_HISTORY = f"""{SQL_REACH},
-rounds AS (SELECT trial, n, count(*)::BIGINT AS n_screened, count(*) FILTER (included)::BIGINT AS n_included FROM found WHERE n > 0 GROUP BY trial, n),
+SQL_ROUNDS = """rounds AS (SELECT trial, n, count(*)::BIGINT AS n_screened, count(*) FILTER (included)::BIGINT AS n_included FROM found WHERE n > 0 GROUP BY trial, n),
 history AS (SELECT r.trial, n, n_screened, n_included, (sum(n_screened) OVER w)::BIGINT AS cumulative_screened,
   ((sum(n_included) OVER w) + (SELECT count(*) FROM found f WHERE f.n = 0 AND f.trial = r.trial))::BIGINT AS cumulative_included,
   n_included AS frontier_size, n_included / n_screened AS yield_rate
   FROM rounds r WINDOW w AS (PARTITION BY r.trial ORDER BY n))"""
+SQL_HISTORY = f"{SQL_REACH},\n{SQL_ROUNDS}"
 SQL_CAPTURES = f"""{SQL_REACH},
 inc AS (SELECT key FROM found WHERE included),
 captures AS (SELECT e.dst AS key, bool_or(provider = 'A') AS a, bool_or(provider = 'N') AS b, bool_or(provider = 'R') AS c
