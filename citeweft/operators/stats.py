@@ -159,9 +159,23 @@ def bootstrap_mean(values: DataFrame, replicates: int = 200, level: float = 0.95
     return values.agg(F.avg("value").alias("mean")).join(ends)
 
 
+# Words that carry no topic when records are screened.
+SCREENING_STOPWORDS = """
+    a an the and or but if of in on at to for with without by from as is are was were be been being this that
+    these those it its their his her our your my we you they he she i not no nor so than then there here when
+    where which who whom whose what how why all any both each few more most other some such only own same too very
+    can will just should now do does did doing have has had having would could may might must about above after
+    again against because before below between during into through under over further once study research paper
+    article analysis based using use used approach method results new toward towards case review effect effects
+    impact role via within among across novel
+""".split()
+
+
 def screening_terms(text: Column) -> Column:
-    """Lower-case terms of three letters or more, hyphens inside."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z\-]{2,})"), 1)
+    """Lower-case terms of three letters or more, hyphens inside, without the stop words; none for a null text."""
+    stop = F.array(*map(F.lit, SCREENING_STOPWORDS))
+    terms = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z][a-z\-]{2,})"), 1)
+    return F.filter(terms, lambda t: ~F.array_contains(stop, t))
 
 
 def tfidf(docs: DataFrame) -> DataFrame:
@@ -182,6 +196,23 @@ def topic_similarity(weights: DataFrame, core: DataFrame) -> DataFrame:
     return weights.select("key").distinct().join(dots, "key", "left").join(F.broadcast(size)).select("key", F.coalesce(F.try_divide("dot", "size"), F.lit(0.0)).alias("similarity"))
 
 
+def seed_leave_one_out(weights: DataFrame, core: DataFrame) -> DataFrame:
+    """(key, similarity): cosine of each core document with the centroid of the others; none for fewer than three.
+
+    weights has unit length (``tfidf``). Taking a document out of the sum is in closed form, so that one centroid does.
+    A document without terms has similarity 0.
+    """
+    keys = core.select("key").distinct()
+    inside = weights.join(keys, "key", "left_semi")
+    centre = inside.groupBy("term").agg(F.sum("w").alias("c"))
+    whole = centre.agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+    dots = inside.join(centre, "term").groupBy("key").agg(F.sum(F.col("w") * F.col("c")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("own"))
+    n = keys.agg(F.count("*").alias("n"))
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.col("cc") - 2 * F.col("dot") + F.col("own")))
+    rows = keys.join(dots, "key", "left").join(F.broadcast(whole)).join(F.broadcast(n)).where("n >= 3")
+    return rows.select("key", F.coalesce(F.try_divide(F.col("dot") - F.col("own"), rest * F.sqrt("own")), F.lit(0.0)).alias("similarity"))
+
+
 def parse_scores(replies: DataFrame) -> DataFrame:
     """(key, score) from replies (reply): the last JSON array of {id, score} in a text; scores from 1 to 10 alone."""
     body = F.regexp_extract("reply", r"(?s)(\[.*\])", 1)

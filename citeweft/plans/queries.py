@@ -834,19 +834,34 @@ def bootstrap_interval(spark, d):
     return longs(stats.bootstrap_mean(A.scores(spark, d).where("rater = 'a1'").select("key", F.col("score").alias("value"))))
 
 
-@query(
-    """WITH dec AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), docs AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '([a-z][a-z\\-]{2,})', 1) AS terms FROM documents),
-    tf AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(terms) AS term FROM docs) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+SQL_STOP = ", ".join(f"'{w}'" for w in stats.SCREENING_STOPWORDS)
+SQL_UNIT = f"""dec AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), docs AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '([a-z][a-z\\-]{{2,}})', 1) AS terms FROM documents),
+    tf AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(terms) AS term FROM docs) WHERE term NOT IN ({SQL_STOP}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     raw AS (SELECT key, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), sz AS (SELECT key, sqrt(sum(w * w)) AS s FROM raw GROUP BY key),
-    unit AS (SELECT key, term, w / s AS w FROM raw JOIN sz USING (key)), cen AS (SELECT term, sum(w) AS c FROM unit JOIN dec ON doc_id = key AND q = 1 GROUP BY term)
-    SELECT key, round(sum(w * c) / (SELECT sqrt(sum(c * c)) FROM cen), 6) AS similarity FROM unit JOIN cen USING (term) GROUP BY key"""
-)
-def tfidf_centroid(spark, d):
+    unit AS (SELECT key, term, w / s AS w FROM raw JOIN sz USING (key)), cen AS (SELECT term, sum(w) AS c FROM unit JOIN dec ON doc_id = key AND q = 1 GROUP BY term)"""
+
+
+def _terms(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("key"), stats.screening_terms(F.col("text")).alias("terms"))
     core = A.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("key"))
+    return docs, core
+
+
+@query(f"WITH {SQL_UNIT} SELECT key, round(sum(w * c) / (SELECT sqrt(sum(c * c)) FROM cen), 6) AS similarity FROM unit JOIN cen USING (term) GROUP BY key")
+def tfidf_centroid(spark, d):
+    docs, core = _terms(spark, d)
     return longs(stats.topic_similarity(stats.tfidf(docs), core).where("similarity > 0"))
 
 
+@query(
+    f"""WITH {SQL_UNIT}, o AS (SELECT key, sum(w * c) AS dot, sum(w * w) AS own FROM unit JOIN dec ON doc_id = key AND q = 1 JOIN cen USING (term) GROUP BY key), a AS (SELECT sum(c * c) AS cc FROM cen)
+    SELECT doc_id AS key, round(coalesce((dot - own) / (sqrt(cc - 2 * dot + own) * sqrt(own)), 0), 6) AS similarity FROM dec LEFT JOIN o ON o.key = doc_id CROSS JOIN a WHERE q = 1"""
+)
+def seed_leave_one_out(spark, d):
+    docs, core = _terms(spark, d)
+    return longs(stats.seed_leave_one_out(stats.tfidf(docs), core))
+
+
 @query("SELECT event_id::VARCHAR AS key, (event_id % 12)::DOUBLE AS score FROM events WHERE event_id % 12 BETWEEN 1 AND 10")
 def parse_score_replies(spark, d):
     e = A.table(spark, d, "events")
@@ -1005,3 +1020,17 @@ def alias_lookup(spark, d):
     names = files.aliases(w)
     asked = w.select(F.concat(F.lit("doi:"), "doi").alias("ident")).union(w.select(F.concat(F.lit("OPENALEX:w"), "key"))).union(spark.range(1).select(F.lit("nobody")))
     return files.resolve_identifiers(asked, names)
+
+
+@query(
+    """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'https://doi.org/10.1000/P' || p_partkey ELSE 'doi:10.1000/p' || p_partkey END AS ident, CASE WHEN p_partkey % 3 = 0 THEN 'a:' || p_partkey WHEN p_partkey % 5 <> 0 THEN 'b:' || p_partkey END AS key,
+    CASE WHEN p_partkey % 3 = 0 THEN 'a' WHEN p_partkey % 5 <> 0 THEN 'b' END AS provider FROM part UNION ALL SELECT 'nobody', NULL, NULL"""
+)
+def seed_resolution(spark, d):
+    """Parts asked for by DOI at two providers, of which the first knows every third."""
+    k = F.col("p_partkey").cast("string")
+    p = A.table(spark, d, "part")
+    idents = p.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/P"), k)).otherwise(F.concat(F.lit("doi:10.1000/p"), k)).alias("ident"))
+    known = p.select(F.concat(F.lit("10.1000/p"), k).alias("ident"), F.array_compact(F.array(F.when(F.col("p_partkey") % 5 != 0, "b"), F.when(F.col("p_partkey") % 3 == 0, "a"))).alias("who"), k.alias("k"))
+    names = known.select("ident", F.explode("who").alias("provider"), "k").select("ident", F.concat("provider", F.lit(":"), "k").alias("key"), "provider")
+    return files.resolve_seeds(idents.union(spark.createDataFrame([("nobody",)], "ident string")), names, ["a", "b"])

@@ -43,6 +43,21 @@ def resolve_identifiers(idents: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(low, "low", "left").select("ident", F.coalesce("key", "low_key").alias("key"))
 
 
+def resolve_seeds(idents: DataFrame, names: DataFrame, order: list[str]) -> DataFrame:
+    """(ident, key, provider): each identifier at the first provider, in order, that knows it; null where none does.
+
+    names (ident, key, provider): what each provider knows a work by. Providers that order leaves out come last, by name.
+    An identifier is looked up in its normal form, with and without its namespace, then as it stands.
+    """
+    asked = idents.select("ident").distinct().withColumn("p", S.parse_identifier(F.col("ident")))
+    forms = F.array(F.col("p.value"), F.concat("p.ns", F.lit(":"), "p.value"), S.strip(F.col("ident")))
+    asked = asked.select("ident", F.posexplode(forms).alias("place", "form"))
+    place = F.array_position(F.array(*map(F.lit, order)).cast("array<string>"), F.col("provider"))
+    known = names.select(F.col("ident").alias("form"), "key", "provider", F.when(place > 0, place).otherwise(len(order) + 1).alias("rank"))
+    best = F.min_by(F.struct("key", "provider"), F.when(F.col("key").isNotNull(), F.struct("rank", "provider", "place", "key")))
+    return asked.join(known, "form", "left").groupBy("ident").agg(best.alias("b")).select("ident", "b.key", "b.provider")
+
+
 def seeds(spark: SparkSession, path: str) -> DataFrame:
     """Identifiers of a seeds file, one a line; comments and blank lines are left out."""
     return spark.read.text(path).select(S.strip(F.col("value")).alias("ident")).where("ident <> '' and ident not like '#%'").distinct()

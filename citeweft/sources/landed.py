@@ -42,13 +42,14 @@ def _ids(**ids: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
-def _works(rows: DataFrame, **c: Column) -> DataFrame:
-    """Rows in the shape of works; what a provider does not know is null."""
+def _works(rows: DataFrame, *keep: str, **c: Column) -> DataFrame:
+    """Rows in the shape of works, with columns to keep; what a provider does not know is null."""
     surname = F.get(c["authors"], F.lit(0))["surname"]
     ids = c["source_ids"]
     key = S.canonical_key(c["doi"], F.try_element_at(ids, F.lit("openalex")), F.try_element_at(ids, F.lit("s2")), c["title"], c["year"], surname)
     null = F.lit(None).cast("string")
     return rows.select(
+        *keep,
         key.alias("key"),
         F.coalesce(c["title"], F.lit("")).alias("title"),
         S.normalize_title(c["title"]).alias("title_norm"),
@@ -130,13 +131,14 @@ def crossref_references(responses: DataFrame) -> DataFrame:
     return _works(works, doi=F.col("d"), title=F.col("t"), year=S.normalize_year(F.col("r.year")), authors=F.col("a"), venue=F.col("r.`journal-title`"), unresolved=F.col("d").isNull(), source_ids=_ids(crossref=F.col("d")))
 
 
-def semantic_scholar(responses: DataFrame) -> DataFrame:
-    """Works from Semantic Scholar papers; the type is the first publication type in lower case."""
-    rows = responses.select(F.from_json("body", SCHOLAR).alias("w")).where("w.paperId is not null or w.title is not null")
+def _scholar(rows: DataFrame, *keep: str) -> DataFrame:
+    """Works from papers in column ``w``, with columns to keep; the type is the first publication type in lower case."""
+    rows = rows.where("w.paperId is not null or w.title is not null")
     null = F.lit(None).cast("string")
     authors = F.transform("w.authors", lambda a: _author(_last(a["name"]), S.present(F.regexp_replace(F.trim(a["name"]), r"\s*\S+$", "")), null))
     return _works(
         rows,
+        *keep,
         doi=F.try_element_at("w.externalIds", F.lit("DOI")),
         title=F.col("w.title"),
         year=F.col("w.year"),
@@ -150,6 +152,24 @@ def semantic_scholar(responses: DataFrame) -> DataFrame:
     )
 
 
+def semantic_scholar(responses: DataFrame) -> DataFrame:
+    """Works from Semantic Scholar papers."""
+    return _scholar(responses.select(F.from_json("body", SCHOLAR).alias("w")))
+
+
+def semantic_scholar_pages(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Works, and edges (src, dst, direction, provider), from pages of references and citations (key, body).
+
+    key is the work that was asked about. A page of references holds its cited papers, one of citations its citing
+    papers; the edge goes from the work asked about to the paper found, as the crawl follows it. All landed pages are
+    read, in any order, and a paper on two of them counts once.
+    """
+    page = f"struct<data:array<struct<citedPaper:{SCHOLAR},citingPaper:{SCHOLAR}>>>"
+    rows = responses.select("key", F.explode(F.from_json("body", page)["data"]).alias("r"))
+    rows = rows.select(F.col("key").alias("asked"), F.coalesce("r.citedPaper", "r.citingPaper").alias("w"), F.when(F.col("r.citedPaper").isNotNull(), "backward").otherwise("forward").alias("direction"))
+    found = _scholar(rows, "asked", "direction")
+    edges = found.where("asked is not null").select(F.col("asked").alias("src"), F.col("key").alias("dst"), "direction", F.lit("semanticscholar").alias("provider")).distinct()
+    return found.drop("asked", "direction").dropDuplicates(["key"]), edges
 
 
 def tei_references(files: DataFrame) -> DataFrame:

@@ -52,6 +52,25 @@ def test_semantic_scholar(spark):
     assert (r.key, r.type, r.venue, r.source_ids) == ("doi:10.1000/z", "journalarticle", None, {"pmid": "12", "s2": "abc"})
 
 
+def test_semantic_scholar_pages(spark):
+    refs = {"offset": 0, "next": 2, "data": [{"citedPaper": {"paperId": "abc", "externalIds": {"DOI": "10.1000/Z"}, "title": "T", "year": 2000}}, {"citedPaper": {"paperId": None, "title": None}}]}
+    more = {"offset": 2, "data": [{"citedPaper": {"paperId": "abc", "externalIds": {"DOI": "10.1000/Z"}, "title": "T", "year": 2000}}]}
+    cits = {"data": [{"citingPaper": {"paperId": "def", "title": "U", "authors": [{"name": "B. Cook"}]}}]}
+    rows = [("w", json.dumps(refs)), ("w", json.dumps(more)), ("w", json.dumps(cits)), ("w", None), ("v", "{}"), ("v", "broken")]
+    works, edges = landed.semantic_scholar_pages(spark.createDataFrame(rows, "key string, body string"))
+    assert sorted((r.key, r.title) for r in works.collect()) == [("doi:10.1000/z", "T"), ("s2:def", "U")]
+    assert sorted(tuple(r) for r in edges.collect()) == [("w", "doi:10.1000/z", "backward", "semanticscholar"), ("w", "s2:def", "forward", "semanticscholar")]
+    assert set(works.columns) == set(landed.semantic_scholar(bodies(spark, {"paperId": "a"})).columns)
+
+
+def test_seeds_go_to_the_first_provider_that_knows_them(spark):
+    names = spark.createDataFrame([("10.1000/x", "k2", "second"), ("10.1000/x", "k1", "first"), ("s2:abc", "k3", "second"), ("10.1000/y", "k5", "zz"), ("10.1000/y", "k4", "aa")], "ident string, key string, provider string")
+    idents = spark.createDataFrame([("https://doi.org/10.1000/X",), ("abc",), ("doi:10.1000/y",), ("none",), ("abc",), (None,)], "ident string")
+    got = {r.ident: (r.key, r.provider) for r in files.resolve_seeds(idents, names, ["first", "second"]).collect()}
+    assert got == {"https://doi.org/10.1000/X": ("k1", "first"), "abc": ("k3", "second"), "doi:10.1000/y": ("k4", "aa"), "none": (None, None), None: (None, None)}
+    assert files.resolve_seeds(idents, names.limit(0), []).where("key is not null").count() == 0
+
+
 TEI = """<TEI><text><listBibl>
 <biblStruct xml:id="b0"><analytic><title level="a">First paper</title><author><persName><surname>Cook</surname></persName></author><idno type="DOI">10.1000/F</idno></analytic><monogr><title level="j">Jour</title><imprint><date type="published" when="2010-03"/></imprint></monogr></biblStruct>
 <biblStruct><monogr><title level="m">A book of things</title><imprint><date type="published" when="1999"/></imprint></monogr></biblStruct>
@@ -135,7 +154,7 @@ def test_exports(spark):
     w = works_row(spark)
     assert {r.key: r.bibkey for r in exports.bibtex_keys(w).collect()} == {"k1": "cook2001title", "k2": "cook2001titleb", "k3": "anonnd"}
     ris = {r.key: r.entry for r in exports.ris(w).collect()}
-    assert ris["k1"].split("\n") == ["TY  - BOOK", "TI  - The Title here", "AU  - Cook, A", "PY  - 2001", "JO  - J", "DO  - 10.1/a", "ER  - "]
+    assert ris["k1"].split("\n") == ["TY  - BOOK", "TI  - The Title here", "AU  - Cook, A", "PY  - 2001", "JO  - J", "DO  - 10.1/a", "ID  - k1", "ER  - "]
     edges = {(r.u, r.v) for r in exports.citation_edges(w).collect()}
     assert edges == {("k0", "k1"), ("k2", "k0")}
     xml = exports.graphml(w, exports.citation_edges(w))

@@ -148,3 +148,17 @@ def test_rule_order_is_the_settings_order(spark):
     rows = [("t", 1, r, True, False) for r in ("budget", "marginal_yield")]
     d = stopping.rule_set(spark.createDataFrame(rows, "trial string, n int, rule string, triggered boolean, advisory boolean"), ["marginal_yield", "budget"]).collect()[0]
     assert d.stop and d.stopped_by == "marginal_yield"
+
+
+def test_leave_one_out_equals_a_centroid_of_the_others(spark):
+    texts = {"a": "graph citation graph search", "b": "citation search recall", "c": "whale ocean the study", "d": None, "z": "graph whale"}
+    docs = spark.createDataFrame(list(texts.items()), "key string, text string").select("key", stats.screening_terms(F.col("text")).alias("terms"))
+    assert {r.key: r.terms for r in docs.collect()}["c"] == ["whale", "ocean"]
+    weights = stats.tfidf(docs)
+    core = spark.createDataFrame([(k,) for k in "abcd"], "key string")
+    got = {r.key: r.similarity for r in stats.seed_leave_one_out(weights, core).collect()}
+    for k in "abc":
+        others = core.where(F.col("key") != k)
+        want = {r.key: r.similarity for r in stats.topic_similarity(weights, others).collect()}[k]
+        assert math.isclose(got[k], want, abs_tol=1e-9)
+    assert got["d"] == 0.0 and stats.seed_leave_one_out(weights, core.limit(2)).count() == 0
