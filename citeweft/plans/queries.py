@@ -841,7 +841,7 @@ SQL_UNIT = f"""dec AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc
     unit AS (SELECT key, term, w / s AS w FROM raw JOIN sz USING (key)), cen AS (SELECT term, sum(w) AS c FROM unit JOIN dec ON doc_id = key AND q = 1 GROUP BY term)"""
 
 
-def _terms(spark, d) -> tuple[DataFrame, DataFrame]:
+def _screening_docs(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("key"), stats.screening_terms(F.col("text")).alias("terms"))
     core = A.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("key"))
     return docs, core
@@ -849,7 +849,7 @@ def _terms(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {SQL_UNIT} SELECT key, round(sum(w * c) / (SELECT sqrt(sum(c * c)) FROM cen), 6) AS similarity FROM unit JOIN cen USING (term) GROUP BY key")
 def tfidf_centroid(spark, d):
-    docs, core = _terms(spark, d)
+    docs, core = _screening_docs(spark, d)
     return longs(stats.topic_similarity(stats.tfidf(docs), core).where("similarity > 0"))
 
 
@@ -858,7 +858,7 @@ def tfidf_centroid(spark, d):
     SELECT doc_id AS key, round(coalesce((dot - own) / (sqrt(cc - 2 * dot + own) * sqrt(own)), 0), 6) AS similarity FROM dec LEFT JOIN o ON o.key = doc_id CROSS JOIN a WHERE q = 1"""
 )
 def seed_leave_one_out(spark, d):
-    docs, core = _terms(spark, d)
+    docs, core = _screening_docs(spark, d)
     return longs(stats.seed_leave_one_out(stats.tfidf(docs), core))
 
 
