@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, pick
+from .common import bounded_batches, durable, pick, release
 from .components import components
 from .hashing import U, WordHashes, mix64, shingles, split, texts
 
@@ -239,6 +239,7 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     sets = rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL)
     # several rows of a document, or several without an id, may be read
     one = durable(sets.join(names, "c", "left_semi").dropDuplicates(["c"]).select("c", "items"))
+    release(spark)
     left = pairs.join(one.select(F.col("c").alias("b"), F.col("items").alias("b_items")), "b")
     met = left.join(one.select(F.col("c").alias("a"), F.col("items").alias("a_items")), "a")
     both = F.size(F.array_intersect("a_items", "b_items"))
@@ -258,15 +259,17 @@ def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     # documents that stand in several rows tie their classes
     ids = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     same = durable(full.select("doc_id", "c").join(ids, "doc_id").where("c <> low").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct())
-    # buckets of equal keys, with a pivot; a key's rows are summed up where they are before they meet
-    keyed = full.select("c", "n", (F.shiftleft("centre", 48) + F.col("c").bitwiseAND((1 << 48) - 1)).alias("w"), F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.max_by("c", "w").alias("pivot"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select("key", "pivot")
-    keyed = keyed.drop("w")
-    buckets = durable(keyed.hint("merge").join(pivots.hint("merge"), "key").select("key", "c", "n", "pivot"))
+    # buckets of equal keys, with a pivot; keys are dealt once, as they take more room than all else
+    keyed, of_key = full.select("c", "n", "centre", F.explode("keys").alias("key")), Window.partitionBy("key")
+    pivot, low, high = F.max(F.struct("centre", "c")).over(of_key), F.min("c").over(of_key), F.max("c").over(of_key)
+    buckets = keyed.select("key", "c", "n", pivot.alias("pivot"), low.alias("low"), high.alias("high")).where("low < high")
+    buckets = durable(buckets.select("key", "c", "n", F.col("pivot.c").alias("pivot")))
+    release(spark)
     met = durable(buckets.where("c <> pivot").groupBy("pivot", "c", "n").agg(F.count("*").alias("shared")))
     pairs = met.hint("merge").join(classes.select(F.col("c").alias("pivot"), F.col("n").alias("m")).hint("merge"), "pivot")
     best = pairs.where(_fits(F.col("m"), F.col("n"))).groupBy("c").agg(F.max(F.struct("shared", "pivot")).alias("x")).select(F.col("x.pivot").alias("a"), F.col("c").alias("b"))
     links = durable(verified(rows, classes, durable(best)))
+    release(spark)
     found = durable(components(links.union(same)))
 
     def of(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -283,6 +286,7 @@ def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     test = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n")) & (9 * apart_bits <= F.col("x.n") + F.col("y.n"))
     more = x.join(y, test).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     links = links.union(durable(verified(rows, classes, durable(more))))
+    release(spark)
     found = durable(components(links.union(same)))
     # a component is called by the smallest doc_id of all its classes
     named = durable(of(classes.select("c", "doc"), "c", "comp"))

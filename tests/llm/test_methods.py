@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -671,6 +672,33 @@ def test_shared_passages_make_no_buckets(spark):
         assert np.intersect1d(ngram_join.block_keys(s, digits), ngram_join.block_keys(t, digits)).size
 
 
+def test_keys_are_dealt_once_and_let_go(spark, docs, monkeypatch):
+    """The blocks' keys, most of what the join writes, go through one shuffle, whose files do not wait for others."""
+    plans, left, durable, release = [], [], ngram_join.durable, ngram_join.release
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(f.getName().endswith(".data") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+
+    def recorded(df):
+        if df.columns == ["key", "c", "n", "pivot"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    def released(session):
+        before = shuffled()
+        release(session)
+        for _ in range(50):
+            if (now := shuffled()) < before:
+                break
+            time.sleep(0.1)
+        left.append((before, now))
+
+    monkeypatch.setattr(ngram_join, "durable", recorded)
+    monkeypatch.setattr(ngram_join, "release", released)
+    ngram_join.near_duplicates(docs)
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+    assert left[0][1] < left[0][0] and left[-1][1] <= left[0][1]
+
+
 def test_rows_with_one_id_and_different_texts_stay(spark):
     far = " ".join(f"z{i}" for i in range(40))
     rows = [(1, far), (1, "other words altogether"), (1, far), (2, far)]
