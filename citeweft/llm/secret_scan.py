@@ -3,11 +3,14 @@
 The fixed patterns (assign, access, hex) give the base spans. The method adds spans of kind ``format``: every run of
 credential characters outside them, or what they leave of one, is a candidate if it is as long as the shortest labelled
 credential, scored by the best automaton's log-likelihood over that of a background of ordinary words, a character. Automata are inferred for each kind of labelled credential: those that the
-caller gives, those drawn from public formats (``public_formats``), and the base matches in a sample of the corpus. The
-threshold lies halfway between most candidates of the sample that no base pattern covers and nearly all labelled
-credentials, at 1 or more, but never so high that it loses more than a twentieth of the latter.
+caller gives, those drawn from public formats (``public_formats``), and the base matches in all texts. The threshold lies
+halfway between most candidates that no base pattern covers and nearly all labelled credentials, at 1 or more, but never
+so high that it loses more than a twentieth of the latter.
 
-Sample: documents whose doc_id hashes below a bound that leaves about ``max_docs``; at most ``max_each`` strings a kind.
+All documents teach, with every distinct match and candidate: tasks count what follows each prefix of a credential, the
+driver merges the tree of the prefixes that enough strings begin with (``least_of``; its size does not grow with the
+corpus), tasks run all strings through the automata and count their steps, and then score all strings for the two
+quantiles, which are read from counts of scores to 1/1024. The kinds of labelled credentials weigh alike in theirs.
 
 Edge cases: null texts are empty and have no spans; offsets are code points; null ids and repeated rows stay; an empty
 table gives no rows.
@@ -20,15 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import ceil, log
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, pick
-from .grammar import Automaton
+from .grammar import Automaton, prefixes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -99,10 +101,16 @@ class Scorer:
     least: int = LEAST
     known: dict[str, bool] = field(default_factory=dict, repr=False, compare=False)
 
+    def __post_init__(self):
+        whole = {a: log(n + 0.5 * 70) for a, n in self.firsts.items()}
+        self.after = {p: log(n + 0.5) - whole[p[0]] for p, n in self.pairs.items()}
+        self.never = {a: log(0.5) - w for a, w in whole.items()}
+
     def background(self, s: str) -> float:
         out = 0.0
         for a, b in zip("\n" + s, s + "\n", strict=True):
-            out += log((self.pairs.get(a + b, 0) + 0.5) / (self.firsts.get(a, 0) + 0.5 * 70))
+            x = self.after.get(a + b)
+            out += self.never.get(a, -log(70)) if x is None else x
         return out
 
     def score(self, s: str) -> float:
@@ -120,59 +128,169 @@ class Scorer:
         return out
 
 
+#: Distinct strings that a task holds before it passes them on.
+HELD = 200_000
+#: Scores are told apart to one in so many.
+FINE = 1024
+
+
+def _rows(kinds: list[str], values: list[str], counts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(counts, pa.int64())], names=["kind", "value", "n"])
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, value, n: base matches and loose candidates of the sample, and the background's character pairs."""
+    """kind, value, n: base matches and loose candidates, each once a while, and the background's character pairs."""
     pairs: Counter = Counter()
+    seen: set[tuple[str, str]] = set()
+    loose: set[str] = set()
+    whole: Counter = Counter()  # runs of texts without base spans: candidates as they are
+    other: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        for words in (whole, other):
+            for word, n in words.items():
+                if not re.search(r"[0-9]{3}", word):
+                    for a, b in zip("\n" + word, word + "\n", strict=True):
+                        pairs[a + b] += n
+        loose.update(x for x in (word.rstrip(".=-") for word in whole) if len(x) >= LEAST)
+        rows = [*seen, *(("loose", x) for x in loose)]
+        for held in (seen, loose, whole, other):
+            held.clear()
+        return _rows([k for k, _ in rows], [v for _, v in rows], [1] * len(rows))
+
     for batch in batches:
-        kinds, values, loose = [], [], set()
         for x in batch.column("text"):
             text = x.as_py() or ""
             base = base_spans(text.encode(), text)
             for a, k, b in base:
-                kinds.append(f"seen {KINDS[k]}")
-                values.append(ASSIGN.match(text, a)[2] if k == 0 else text[a:b])
-            loose.update(word for _, _, word in candidates(text, base, LEAST))
-            for word, n in Counter(re.findall(r"[A-Za-z0-9+/_.=-]{4,}", text)).items():
-                if not re.search(r"[0-9]{3}", word):
-                    for a, b in zip("\n" + word, word + "\n", strict=True):
-                        pairs[a + b] += n
-        kinds += ["loose"] * len(loose)
-        values += sorted(loose)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], names=["kind", "value", "n"])
-    keys = sorted(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([pairs[k] for k in keys], pa.int64())], names=["kind", "value", "n"])
-
-
-def learn(documents: DataFrame, credentials: DataFrame | None = None, max_docs: int = 20_000, max_each: int = 300) -> Scorer:
-    """A scorer from documents (doc_id, text) and labelled credentials (kind, value)."""
-    total = documents.count()
-    part = min(1.0, max_docs / max(1, total))
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    found = durable(sample.select("text").mapInArrow(_examples, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
+                seen.add((f"seen {KINDS[k]}", ASSIGN.match(text, a)[2] if k == 0 else text[a:b]))
+            if base:
+                loose.update(word for _, _, word in candidates(text, base, LEAST))
+            (other if base else whole).update(re.findall(r"[A-Za-z0-9+/_.=-]{4,}", text))
+            if len(seen) + len(loose) + len(whole) + len(other) > HELD:
+                yield out()
+    yield out()
+    yield _rows(["pair"] * len(pairs), list(pairs), list(pairs.values()))
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings to (kind, h, c, n): how often a symbol follows a prefix."""
+
+    def out() -> pa.RecordBatch:
+        keys = list(counts)
+        columns = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["kind", "h", "c", "n"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            counts.update((kind, h, c) for h, c in prefixes(value))
+            if len(counts) > HELD:
+                yield out()
+                counts.clear()
+    yield out()
+
+
+def _steps(automata: object):
+    """Strings to (kind, h, c, n): how often a state, h, of their kind's automaton took a symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                counts.update((kind, k, c) for k, c in automata.value[kind].steps(value))
+        keys = list(counts)
+        columns = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["kind", "h", "c", "n"])
+
+    return run
+
+
+def _scores(scorer: object):
+    """Strings to (kind, score, n): how many have a score, as a whole number of ``FINE`` parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                counts[kind, int(scorer.value.score(value) * FINE // 1)] += 1
+        keys = list(counts)
+        columns = [pa.array([k for k, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["kind", "score", "n"])
+
+    return run
+
+
+def at(weights: dict[int, float], place: float) -> float:
+    """The least score up to which there is more weight than ``place``, or the last; scores in parts of ``FINE``."""
+    for x in sorted(weights):
+        place -= weights[x]
+        if place < 0:
+            break
+    return x / FINE
+
+
+def quantile(counts: dict[int, int], q: float) -> float:
+    """Between the two scores that stand nearest to the share ``q``."""
+    place = q * (sum(counts.values()) - 1)
+    low = at(counts, int(place))
+    return low + (place - int(place)) * (at(counts, int(place) + 1) - low)
+
+
+def least_of(n: int) -> int:
+    """Of n strings, how many have to begin with a prefix to make it a state: so at most 1,024 prefixes of a length do."""
+    return max(8, ceil(n / 1024))
+
+
+def learn(documents: DataFrame, credentials: DataFrame | None = None) -> Scorer:
+    """A scorer from all documents (doc_id, text) and labelled credentials (kind, value)."""
+    spark = documents.sparkSession
+    found = documents.select("text").mapInArrow(_examples, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     if credentials is not None:
         own = pick(credentials, kind="string", value="string").where(f"kind is not null and length(value) >= {LEAST}").select(F.concat(F.lit("own "), "kind").alias("kind"), "value", F.lit(1).cast("bigint").alias("n"))
         found = found.union(own.distinct())
-    kinds = [r.kind for r in found.where("kind not in ('pair', 'loose')").select("kind").distinct().orderBy("kind").collect()]  # a row for each kind
-    strings: dict[str, list[str]] = {}
-    some = lambda rows, most: [r.value for r in rows.orderBy(F.xxhash64("value"), "value").limit(most).collect()]
-    for kind in kinds:
-        strings[kind] = some(found.where(F.col("kind") == kind), max_each)
-    for kind, value in public_formats():
-        strings.setdefault(f"public {kind}", []).append(value)
-    pairs = {r.value: r.n for r in found.where("kind = 'pair'").collect()}  # at most 70 * 70 rows
+    found = durable(found)
+    pairs = {r.value: r.n for r in found.where("kind = 'pair'").collect()}  # at most 71 * 71 rows
     firsts: Counter = Counter()
     for k, n in pairs.items():
         firsts[k[0]] += n
-    # what the base patterns match is no format by itself where values are few
-    automata = {k: Automaton(v) for k, v in strings.items() if len(v) >= 20}
-    taught = found.where(F.col("kind").isin(list(automata))).agg(F.min(F.length("value"))).collect()[0][0]
-    least = min(len(v) for k, v in public_formats())
-    out = Scorer(automata, pairs, dict(firsts), least=least if taught is None else max(LEAST, min(least, taught)))
-    loose = some(found.where((F.col("kind") == "loose") & (F.length("value") >= out.least)), 20 * max_each)
-    good = np.array([out.score(s) for k in automata for s in strings[k]])
-    bad = np.array([out.score(s) for s in loose]) if loose else np.zeros(1)
+    # a row for each kind; what the base patterns match is no format by itself where values are few
+    kinds = found.where("kind not in ('pair', 'loose')").groupBy("kind").agg(F.count("*").alias("n"), F.min(F.length("value")).alias("least"))
+    sizes = {r.kind: r for r in kinds.where("n >= 20").orderBy("kind").collect()}
+    public: dict[str, list[str]] = {}
+    for kind, value in public_formats():
+        public.setdefault(f"public {kind}", []).append(value)
+    automata: dict[str, Automaton] = {}
+    if sizes:
+        taught = found.where(F.col("kind").isin(list(sizes))).select("kind", "value")
+        follow = taught.mapInArrow(_follow, "kind string, h long, c string, n long").groupBy("kind", "h", "c").agg(F.sum("n").alias("n"))
+        follow = follow.groupBy("kind", "h").agg(F.sum("n").alias("n"), F.collect_list(F.struct("c", "n")).alias("to"))
+        enough = spark.createDataFrame([(k, least_of(r.n)) for k, r in sizes.items()], "kind string, enough long")
+        trees: dict[str, dict[int, dict[str, int]]] = {k: {} for k in sizes}
+        for r in follow.join(F.broadcast(enough), "kind").where("n >= enough or h = 0").select("kind", "h", "to").collect():  # bounded by least_of
+            trees[r.kind][r.h] = {x.c: x.n for x in r.to}
+        automata = {k: Automaton.from_prefixes(tree, least=least_of(sizes[k].n)) for k, tree in trees.items()}
+        taken: dict[str, dict[tuple[int, str], int]] = {k: {} for k in sizes}
+        for r in taught.mapInArrow(_steps(spark.sparkContext.broadcast(automata)), "kind string, h long, c string, n long").groupBy("kind", "h", "c").agg(F.sum("n").alias("n")).orderBy("kind", "h", "c").collect():
+            taken[r.kind][r.h, r.c] = r.n  # states by symbols
+        for k, automaton in automata.items():
+            automaton.counted(taken[k])
+    automata |= {k: Automaton(v) for k, v in public.items()}
+    least = min([*(len(v) for values in public.values() for v in values), *(r.least for r in sizes.values())])
+    out = Scorer(automata, pairs, dict(firsts), least=max(LEAST, least))
+    some = found.where(F.col("kind").isin(list(sizes)) | ((F.col("kind") == "loose") & (F.length("value") >= out.least))).select("kind", "value")
+    good: Counter = Counter()
+    bad: dict[int, int] = {}
+    for kind, values in public.items():
+        for v in values:
+            good[int(out.score(v) * FINE // 1)] += 1 / len(values)
+    for r in some.mapInArrow(_scores(spark.sparkContext.broadcast(out)), "kind string, score long, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).orderBy("kind", "score").collect():
+        if r.kind == "loose":
+            bad[r.score] = r.n
+        else:
+            good[r.score] += r.n / sizes[r.kind].n
     # loose candidates may hold real credentials, so that the few highest must not set the threshold
-    low, high = float(np.quantile(bad, 0.75)), float(np.quantile(good, 0.05))
+    low, high = quantile(bad or {0: 1}, 0.75), at(good, 0.05 * sum(good.values()))
     out.threshold = min(high, max(1.0, (low + high) / 2))
     return out
 
@@ -211,11 +329,11 @@ def _scan(shared: object):
     return run
 
 
-def scan(documents: DataFrame, credentials: DataFrame | None = None, **options: int) -> DataFrame:
+def scan(documents: DataFrame, credentials: DataFrame | None = None) -> DataFrame:
     """The spans of every whole text, a row for each document."""
     bounded_batches(documents.sparkSession)
     rows = pick(documents, doc_id="bigint", text="string")
-    shared = documents.sparkSession.sparkContext.broadcast(learn(rows, credentials, **options))
+    shared = documents.sparkSession.sparkContext.broadcast(learn(rows, credentials))
     return rows.mapInArrow(_scan(shared), SPANS_DDL)
 
 
@@ -247,9 +365,9 @@ def _redacted(shared: object):
     return run
 
 
-def redacted_documents(documents: DataFrame, credentials: DataFrame | None = None, **options: int) -> DataFrame:
+def redacted_documents(documents: DataFrame, credentials: DataFrame | None = None) -> DataFrame:
     """The documents with their secrets replaced; whole rows, all kept."""
     bounded_batches(documents.sparkSession)
     rows = pick(documents, doc_id="bigint", text="string", lang="string", source="string", n_chars="bigint")
-    shared = documents.sparkSession.sparkContext.broadcast(learn(rows, credentials, **options))
+    shared = documents.sparkSession.sparkContext.broadcast(learn(rows, credentials))
     return rows.mapInArrow(_redacted(shared), rows.schema)

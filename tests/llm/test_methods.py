@@ -353,6 +353,29 @@ def test_method_adds_spans(spark, docs):
     assert got[90_000] == f"format:4:{4 + len(key)}" and got[90_001] == ""
 
 
+def test_all_documents_teach(spark):
+    """A format in few of very many documents, and automata and thresholds that parts of the texts would not give."""
+    rng = np.random.default_rng(13)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    rows = [(k, f"plain words of document number {draw('abcdefgh', 14)}") for k in range(24_000)]
+    rows += [(24_000 + k, f"token: zq{draw('XQZJKVW', 10)} and more") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = secret_scan.learn(df)
+    words = [w for _, t in rows for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t)]
+    assert sum(got.pairs.values()) == sum(len(w) + 1 for w in words)
+    values = sorted({secret_scan.ASSIGN.search(t)[2] for _, t in rows[24_000:]})
+    want = grammar.Automaton(values)
+    assert got.automata["seen assign"].states == want.states and len(values) > 300
+    loose = {w for _, t in rows[:24_000] for w in re.findall(r"[a-z]{6,}", t)} 
+    kinds = {"seen assign": values}
+    for kind, value in secret_scan.public_formats():
+        kinds.setdefault(kind, []).append(value)
+    good = sorted((got.score(v), 1 / len(vs)) for vs in kinds.values() for v in vs)
+    low = np.quantile([got.score(x) for x in loose if len(x) >= got.least], 0.75)
+    high = good[int(np.searchsorted(np.cumsum([w for _, w in good]), 0.05 * len(kinds), side="right"))][0]
+    assert abs(got.threshold - min(high, max(1.0, (low + high) / 2))) < 2 / 1024
+
+
 # --- language model
 
 
