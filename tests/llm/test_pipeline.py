@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import brute
 import corpus_pipeline as P
+import numpy as np
 import pytest
 from citeweft.llm import secret_scan
 from citeweft.llm.common import durable, table
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -88,3 +90,16 @@ def test_rows_that_break_things(spark):
     for name, stage in P.STAGES:
         none = durable(stage(spark, none, DATA))
         assert none.count() == 0, name
+
+
+def test_formats_of_few_documents_are_redacted(spark):
+    """Thirty of 25,000 documents teach a format, of those that a sample by the hash of ids would leave out."""
+    ids = spark.range(25_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"))
+    late = [r.id for r in ids.where(f"h >= {int(0.9 * (1 << 20))}").orderBy("id").limit(31).collect()]
+    rng = np.random.default_rng(14)
+    key = lambda: "zq" + "".join(rng.choice(list("XQZJKVW"), 10))
+    rows = {k: "extraordinarily straightforward documentation, unquestionably uncontroversial understandings" for k in range(25_000)} | {k: f"token: {key()} and more" for k in late[1:]}
+    rows[late[0]] = f"see {key()} here"
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.without_secrets(spark, docs, "").collect()}
+    assert got[late[0]] == "see [secret] here" and got[late[1]] == "[secret] and more" and len(got) == 25_000
