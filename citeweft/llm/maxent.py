@@ -11,8 +11,8 @@ word before that (skip), and the word before with the class of that before it; a
 that grow with the training tokens up to 2^``most_bits`` weights each. Training: tasks count how often each way was taken
 in each row over all training texts, and the counts are summed over the cluster: the gradient of the log-likelihood at the
 start, observed less expected choices, in closed form. The step along it is a smoothed log ratio, and its length a trust
-for each feature and each doubling of a row's count, learned by gradient updates that tasks make over one in ``every``
-training texts and that are averaged by how often each trust was met.
+for each feature and each doubling of a row's count, learned by gradient updates that tasks make over all training
+texts and that are averaged by how often each trust was met.
 
 Edge cases: null and empty texts are the end token alone; without training texts all counts are 0 and the model is
 uniform over its leaves; null ids count as not held out; repeated rows stay; an empty table gives no rows. Words are told apart by
@@ -340,12 +340,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _update(lex_: object, counts_: object, trust: np.ndarray, rate: float):
     """Texts to (k, w, n): where gradient steps take each trust, and by how many steps it was met.
 
-    A token's own count is taken off the rows that it looks up, so that they speak as for a text not seen.
+    A token's own count is taken off the rows that it looks up, so that they speak as for a text not seen. Rows go by the
+    logs of their smoothed counts: what is the same for all ways changes neither choices nor slopes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, counts = lex_.value, counts_.value.reshape(-1, WAYS)
         reader, model = Reader(lex), Tree(lex)
+        often = counts.sum(1)
         now, squares, met = trust.astype(np.float64), np.full(trust.shape, 1e-3), np.zeros(trust.shape)
         for batch in batches:
             for _, _, slots, starts in reader.chunks(batch):
@@ -360,14 +362,16 @@ def _update(lex_: object, counts_: object, trust: np.ndarray, rate: float):
                     for f, row in enumerate(rows):
                         others = counts.take(row, 0)
                         others[at, way] -= 1
-                        kinds.append(bucket(others.sum(1)))
-                        said.append(logs(others))
-                        z += (now[f][kinds[-1]][:, None] * said[-1]).astype(np.float32)
-                    g = np.exp(np.minimum(z, 80))
-                    g /= -g.sum(1, keepdims=True)
+                        others += np.float32(PRIOR / WAYS)
+                        said.append(np.log(others, out=others))
+                        kinds.append(bucket(often.take(row) - 1))
+                        z += now[f].astype(np.float32).take(kinds[-1])[:, None] * others
+                    z -= z.max(1, keepdims=True)
+                    g = np.exp(z, out=z)
+                    g *= -1 / g.sum(1, keepdims=True)
                     g[at, way] += 1
                     for f in range(len(rows)):
-                        slope = np.bincount(kinds[f], (g * said[f]).sum(1), BUCKETS) / len(way)
+                        slope = np.bincount(kinds[f], np.einsum("ij,ij->i", g, said[f]), BUCKETS) / len(way)
                         squares[f] += slope**2
                         now[f] += rate * slope / np.sqrt(squares[f])
                         met[f] += np.bincount(kinds[f], minlength=BUCKETS)
@@ -376,8 +380,8 @@ def _update(lex_: object, counts_: object, trust: np.ndarray, rate: float):
     return run
 
 
-def train(training: DataFrame, lex: Lexicon, lex_: object, rounds: int, rate: float = 0.1, every: int = 16) -> Tree:
-    """All training texts give the counts; ``rounds`` of updates of the trusts go over one in ``every`` of them, by hash."""
+def train(training: DataFrame, lex: Lexicon, lex_: object, rounds: int, rate: float = 0.1) -> Tree:
+    """All training texts give the counts; ``rounds`` of updates of the trusts go over all of them as well."""
     model = Tree(lex)
     if not lex.total or not lex.odds.size:
         return model
@@ -389,9 +393,8 @@ def train(training: DataFrame, lex: Lexicon, lex_: object, rounds: int, rate: fl
         counts[r.part * PART : (r.part + 1) * PART] = np.frombuffer(bytes(r.w), np.float32)
     trust = np.full((lex.tables, BUCKETS), 0.4)
     sent = training.sparkSession.sparkContext.broadcast(counts)
-    some = training.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     for _ in range(rounds):
-        moved = some.mapInArrow(_update(lex_, sent, trust, rate), "k long, w double, n double").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+        moved = training.mapInArrow(_update(lex_, sent, trust, rate), "k long, w double, n double").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
         for r in moved.where("n > 0").collect():  # features by buckets
             trust[r.k // BUCKETS, r.k % BUCKETS] = r.w / r.n
     sent.unpersist()

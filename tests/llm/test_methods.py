@@ -645,6 +645,22 @@ def test_words_beyond_the_most_frequent_have_features(spark):
         assert (r[0] - r[1]) / r[2] > (1.5 if frequent > 1200 else 0.5)
 
 
+def test_trusts_are_learned_from_all_training_texts(spark, docs, monkeypatch):
+    """The updates go over as many texts as the counts do."""
+    training = docs.select("text").limit(40)
+    lex = maxent.lexicon(maxent.word_counts(training), 300, 22)
+    kind, read = type(training), {}
+    through = kind.mapInArrow
+
+    def recorded(df, run, schema, *more):
+        read[schema] = df.count()
+        return through(df, run, schema, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", recorded)
+    model = maxent.train(training, lex, spark.sparkContext.broadcast(lex), 1)
+    assert read["k long, w double, n double"] == 40 and np.isfinite(model.weights).all()
+
+
 def test_tree_is_a_distribution_and_grows(spark, docs):
     small, large = (maxent.lexicon(maxent.word_counts(docs.where(f"doc_id % 8 < {n}")), 300, 22) for n in (1, 8))
     assert large.groups > small.groups and large.bits > small.bits
