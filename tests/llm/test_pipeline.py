@@ -6,7 +6,7 @@ import brute
 import corpus_pipeline as P
 import numpy as np
 import pytest
-from citeweft.llm import secret_scan
+from citeweft.llm import quality, secret_scan
 from citeweft.llm.common import durable, table
 from pyspark.sql import functions as F
 
@@ -103,3 +103,25 @@ def test_formats_of_few_documents_are_redacted(spark):
     docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in P.without_secrets(spark, docs, "").collect()}
     assert got[late[0]] == "see [secret] here" and got[late[1]] == "[secret] and more" and len(got) == 25_000
+
+
+def test_all_labels_teach_what_is_kept(spark, tmp_path):
+    """Sixty of 52,000 labels are bad, of those that a sample of 50,000 by the hash of ids would leave out."""
+    hashed = spark.range(52_000).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)).desc(), F.col("id").desc())
+    bad = [r.id for r in hashed.limit(60).collect()]
+    text = " ".join(f"w{k}" for k in range(55))
+    docs = spark.range(52_000).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(bad), text + " ##########").otherwise(text).alias("text"))
+    docs.select("doc_id", (~F.col("doc_id").isin(bad)).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id for r in P.keep_quality(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert got == set(range(52_000)) - set(bad)
+
+
+def test_quantiles_go_by_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.random(3000), np.zeros(500), -rng.random(200)))
+    names = quality.FEATURES
+    df = spark.createDataFrame([(k % 3 == 0, *([float(v)] * len(names))) for k, v in enumerate(x)], "bad boolean, " + ", ".join(f"{f} double" for f in names))
+    got = quality.quantiles(df, 24)
+    want = np.concatenate([np.quantile(x[np.arange(len(x)) % 3 != 0], np.arange(25) / 24), np.quantile(x[::3], np.arange(25) / 24)])
+    for f in names:
+        assert np.allclose(got[f], want, rtol=0.003, atol=0)
