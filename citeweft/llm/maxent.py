@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,18 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a string column, A-Z in lower case, and where those of each row start and the last row's end.
+
+    Arrow parts at ASCII white space only, which is the rule; it leaves empty words at the ends of a text.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = parts.flatten()
+    full = pc.not_equal(flat, "")
+    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return flat.filter(full), before[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(counts: Counter) -> pa.RecordBatch:
         h = np.fromiter((END if w == b"\n" else xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts))
@@ -165,28 +178,11 @@ def lexicon(counts: DataFrame, frequent: int, most_bits: int) -> Lexicon:
     return Lexicon(h, c, ids, groups, np.log10(sums), classes, *tree(mass), bits, FEATURES, total, distinct, floor)
 
 
-class _Slots(dict):
-    """word -> its number from 1 on; ``fresh`` has those not looked up yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self) + 1
-        self.fresh.append(word)
-        return out
-
-
 class Reader:
-    """Texts to slots: numbers of words as they come up in a task, with what the lexicon says of each."""
-
-    def __init__(self, lex: Lexicon, most: int = 300_000):
-        self.lex, self.most = lex, most
-        self.clear()
+    """Texts to slots: numbers of words as they come up in a chunk, with what the lexicon says of each."""
 
-    def clear(self) -> None:
-        self.slots = _Slots()
+    def __init__(self, lex: Lexicon):
+        self.lex = lex
         self.hashes = np.array([END], U)
         self.at = self._find(self.hashes)
 
@@ -196,35 +192,27 @@ class Reader:
         at = np.minimum(np.searchsorted(self.lex.hashes, h), len(self.lex.hashes) - 1)
         return np.where(self.lex.hashes[at] == h, at, -1)
 
-    def read(self, text: bytes | None) -> np.ndarray:
-        """The slots of a text's tokens, the end (slot 0) last."""
-        words = split(text)
-        out = np.zeros(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        return out
-
-    def settle(self) -> None:
-        """Looks the new words up."""
-        if fresh := self.slots.fresh:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            self.hashes = np.concatenate((self.hashes, h))
-            self.at = np.concatenate((self.at, self._find(h)))
-            self.slots.fresh = []
-
     def chunks(self, batch: pa.RecordBatch, tokens: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, rows, slots of all, start of each text), a bounded number of tokens or one text at a time."""
-        parts: list[np.ndarray] = []
-        first = size = 0
-        for k, text in enumerate(texts(batch.column("text"))):
-            parts.append(self.read(text))
-            size += len(parts[-1])
-            if size >= tokens or k == batch.num_rows - 1:
-                self.settle()
-                starts = np.cumsum([0, *map(len, parts[:-1])])
-                yield first, len(parts), np.concatenate(parts), starts
-                first, parts, size = k + 1, [], 0
-                if len(self.slots) > self.most:
-                    self.clear()
+        """(first row, rows, slots of all, start of each text), a bounded number of tokens or one text at a time.
+
+        A text's slots are those of its words and the end (slot 0). Each word of a chunk is looked up once.
+        """
+        words, at = _words(batch.column("text"))
+        until = at + np.arange(len(at))  # with the ends
+        first = 0
+        while first < batch.num_rows:
+            last = min(int(np.searchsorted(until, until[first] + tokens)), batch.num_rows)
+            some = words.slice(at[first], at[last] - at[first]).dictionary_encode()
+            known = some.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            self.hashes = np.fromiter((END, *map(xxhash.xxh3_64_intdigest, known)), np.uint64, len(known) + 1)
+            self.at = self._find(self.hashes)
+            places = until[first : last + 1] - until[first]
+            slots = np.zeros(places[-1], np.int64)
+            inside = np.ones(len(slots), bool)
+            inside[places[1:] - 1] = False
+            slots[inside] = some.indices.to_numpy() + 1
+            yield first, last - first, slots, places[:-1]
+            first = last
 
     def leaves(self, slots: np.ndarray) -> np.ndarray:
         group = (self.hashes & U(self.lex.groups - 1)).astype(np.int64)
@@ -337,17 +325,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["part", "w"])
 
 
-def _update(lex_: object, counts_: object, trust: np.ndarray, rate: float):
+def _update(lex_: object, rows_: object, trust: np.ndarray, rate: float):
     """Texts to (k, w, n): where gradient steps take each trust, and by how many steps it was met.
 
-    A token's own count is taken off the rows that it looks up, so that they speak as for a text not seen. Rows go by the
-    logs of their smoothed counts: what is the same for all ways changes neither choices nor slopes.
+    rows_: logs of the smoothed counts, and each row's bucket without one count, as ``prepared`` has them. A token's own
+    count is taken off the rows that it looks up, so that they speak as for a text not seen. Rows go by the logs of their
+    smoothed counts: what is the same for all ways changes neither choices nor slopes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, counts = lex_.value, counts_.value.reshape(-1, WAYS)
-        reader, model = Reader(lex), Tree(lex)
-        often = counts.sum(1)
+        lex, (table, kind) = lex_.value, rows_.value
+        reader, model, ones = Reader(lex), Tree(lex, table), np.ones(WAYS, np.float32)
+        table = table.reshape(-1, WAYS)
         now, squares, met = trust.astype(np.float64), np.full(trust.shape, 1e-3), np.zeros(trust.shape)
         for batch in batches:
             for _, _, slots, starts in reader.chunks(batch):
@@ -357,21 +346,26 @@ def _update(lex_: object, counts_: object, trust: np.ndarray, rate: float):
                     _, rows, node, way = model.choices(context[:, a : a + STEP], leaves[a : a + STEP])
                     if not len(way):
                         continue
-                    at = np.arange(len(way))
-                    z, said, kinds = lex.odds.take(node, 0), [], []
-                    for f, row in enumerate(rows):
-                        others = counts.take(row, 0)
-                        others[at, way] -= 1
-                        others += np.float32(PRIOR / WAYS)
-                        said.append(np.log(others, out=others))
-                        kinds.append(bucket(often.take(row) - 1))
-                        z += now[f].astype(np.float32).take(kinds[-1])[:, None] * others
-                    z -= z.max(1, keepdims=True)
-                    g = np.exp(z, out=z)
-                    g *= -1 / g.sum(1, keepdims=True)
-                    g[at, way] += 1
+                    kinds = [kind.take(row) for row in rows]
+                    by, slopes = now.astype(np.float32), np.zeros(trust.shape)
+                    for first in range(0, len(way), STEP):  # a part fits the processor's cache
+                        part = slice(first, first + STEP)
+                        own = np.arange(len(way[part])) * WAYS + way[part]
+                        z, said = lex.odds.take(node[part], 0), []
+                        for f, row in enumerate(rows):
+                            others = table.take(row[part], 0)
+                            flat = others.ravel()
+                            mine = flat.take(own)
+                            flat[own] = mine + np.log1p(-np.exp(-mine))
+                            said.append(others)
+                            z += by[f].take(kinds[f][part])[:, None] * others
+                        np.exp(np.minimum(z, 80, out=z), out=z)
+                        z *= (-1 / (z @ ones))[:, None]
+                        z.ravel()[own] += 1
+                        for f in range(len(rows)):
+                            slopes[f] += np.bincount(kinds[f][part], np.einsum("ij,ij->i", z, said[f]), BUCKETS)
                     for f in range(len(rows)):
-                        slope = np.bincount(kinds[f], np.einsum("ij,ij->i", g, said[f]), BUCKETS) / len(way)
+                        slope = slopes[f] / len(way)
                         squares[f] += slope**2
                         now[f] += rate * slope / np.sqrt(squares[f])
                         met[f] += np.bincount(kinds[f], minlength=BUCKETS)
@@ -380,6 +374,12 @@ def _update(lex_: object, counts_: object, trust: np.ndarray, rate: float):
     return run
 
 
+def prepared(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``_update``: logs of the smoothed counts, and of each row the bucket that it has without one count."""
+    out = counts + np.float32(PRIOR / WAYS)
+    return np.log(out, out=out), bucket(np.maximum(counts.reshape(-1, WAYS) @ np.ones(WAYS, np.float32) - 1, 0))
+
+
 def train(training: DataFrame, lex: Lexicon, lex_: object, rounds: int, rate: float = 0.1) -> Tree:
     """All training texts give the counts; ``rounds`` of updates of the trusts go over all of them as well."""
     model = Tree(lex)
@@ -392,7 +392,7 @@ def train(training: DataFrame, lex: Lexicon, lex_: object, rounds: int, rate: fl
     for r in durable(seen).toLocalIterator():
         counts[r.part * PART : (r.part + 1) * PART] = np.frombuffer(bytes(r.w), np.float32)
     trust = np.full((lex.tables, BUCKETS), 0.4)
-    sent = training.sparkSession.sparkContext.broadcast(counts)
+    sent = training.sparkSession.sparkContext.broadcast(prepared(counts))
     for _ in range(rounds):
         moved = training.mapInArrow(_update(lex_, sent, trust, rate), "k long, w double, n double").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
         for r in moved.where("n > 0").collect():  # features by buckets

@@ -10,7 +10,9 @@ from fractions import Fraction
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from citeweft.llm import ann, chat, components, grammar, langid, maxent, mixing, ngram_join, packing, quality, secret_scan, url_rules
 from citeweft.llm.hashing import shingles
 from hypothesis import given, settings
@@ -645,6 +647,32 @@ def test_words_beyond_the_most_frequent_have_features(spark):
         assert (r[0] - r[1]) / r[2] > (1.5 if frequent > 1200 else 0.5)
 
 
+def test_trust_updates_take_logs_once_a_row(spark, docs, monkeypatch):
+    """The words of a chunk as split() has them, each looked up once; of the rows that are met, own counts alone are logged anew."""
+    texts_ = ["a B\x0bc  A", None, "", " \t ", "d\x1ce\x85 \u00c9 a\n", "b c d"]
+    held: list[int] = []
+    reader = maxent.Reader(maxent.lexicon(maxent.word_counts(docs.select("text")), 300, 22))
+    words = []
+    for _, rows, slots, starts in reader.chunks(pa.RecordBatch.from_pydict({"text": texts_}), tokens=5):
+        held.append(len(reader.hashes))
+        words += [reader.hashes[x].tolist() for x in np.split(slots, starts[1:])]
+        assert len(starts) == rows
+    assert words == [[*(xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()), maxent.END] for t in texts_]
+    assert max(held) <= 6
+    lex = reader.lex
+    value = lambda x: type("Sent", (), {"value": x})
+    batch = [pa.RecordBatch.from_pydict({"text": [r.text for r in docs.orderBy("doc_id").limit(50).collect()]})]
+    counts = np.zeros(lex.tables << lex.bits, np.float32)
+    for got in maxent._observe(value(lex))(iter(batch)):
+        for part, raw in zip(got["part"].to_pylist(), got["w"].to_pylist(), strict=True):
+            counts[part * maxent.PART : (part + 1) * maxent.PART] = np.frombuffer(raw, np.uint16 if len(raw) == 2 * maxent.PART else np.uint32)
+    sent, taken = value(maxent.prepared(counts)), []
+    log = np.log
+    monkeypatch.setattr(maxent.np, "log", lambda x, *a, **k: taken.append(np.size(x)) or log(x, *a, **k))
+    moved = next(maxent._update(value(lex), sent, np.full((lex.tables, maxent.BUCKETS), 0.4), 0.1)(iter(batch)))
+    assert not taken and counts.sum() == sum(moved["n"].to_pylist())
+
+
 def test_trusts_are_learned_from_all_training_texts(spark, docs, monkeypatch):
     """The updates go over as many texts as the counts do."""
     training = docs.select("text").limit(40)
