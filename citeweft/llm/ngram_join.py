@@ -29,6 +29,7 @@ Equality of sets and shingles is that of their 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +129,10 @@ class _New:
 
 
 def _occurrences(counters: int):
-    """Texts to (part, w): in how many sets shingles occur, by the last bits of their hashes; copies count once a task."""
+    """Texts to (part, w): in how many sets shingles occur, by the last bits of their hashes; copies count once a task.
+
+    Counters are deflated: most are 0, 1 or 2, and every task sends all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, new, counts = WordHashes(), _New(), np.zeros(counters, np.uint32)
@@ -140,7 +144,7 @@ def _occurrences(counters: int):
         for part, a in enumerate(range(0, counters, PART)):
             if (some := counts[a : a + PART]).any():
                 small = np.uint8 if some.max() < 1 << 8 else np.uint16 if some.max() < 1 << 16 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.astype(small).tobytes()], pa.binary())], names=["part", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(some.astype(small).tobytes(), 1)], pa.binary())], names=["part", "w"])
 
     return run
 
@@ -151,7 +155,7 @@ def _digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {PART: np.uint8, 2 * PART: np.uint16, 4 * PART: np.uint32}
     for batch in batches:
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("w"), strict=True):
-            buffer = raw.as_buffer()
+            buffer = zlib.decompress(raw.as_buffer())
             sums.setdefault(part, np.zeros(PART, np.int64))
             sums[part] += np.frombuffer(buffer, kinds[len(buffer)])
     for part, w in sums.items():
@@ -236,9 +240,9 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     got = slots.toPandas()  # at most BITMAP / 64 rows
     bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bits)
-    sets = rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL)
-    # several rows of a document, or several without an id, may be read
-    one = durable(sets.join(names, "c", "left_semi").dropDuplicates(["c"]).select("c", "items"))
+    sets = durable(rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL).select("c", "items"))
+    # several rows of a document, or several without an id, may be read; the shuffle that finds them serves both joins
+    one = sets.join(names, "c", "left_semi").dropDuplicates(["c"])
     release(spark)
     left = pairs.join(one.select(F.col("c").alias("b"), F.col("items").alias("b_items")), "b")
     met = left.join(one.select(F.col("c").alias("a"), F.col("items").alias("a_items")), "a")

@@ -931,3 +931,27 @@ def test_repeats_in_long_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
     for r in quality.statistics(df).collect():
         assert r.n_repeat_words == brute.base_quality(texts_[r.doc_id])["n_repeat_words"]
+
+
+def test_counters_go_out_deflated(spark):
+    """What a task sends of its counters follows the shingles it met; their sums are as before."""
+    texts_ = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(6)] * 2
+    sent = [len(w) for b in ngram_join._occurrences(1 << 14)(iter([pa.RecordBatch.from_pydict({"text": texts_})])) for w in b["w"].to_pylist()]
+    assert len(sent) == 4 and max(sent) < 1024
+    got = ngram_join.occurrences(spark.createDataFrame([(t,) for t in texts_], "text string").coalesce(1), 1 << 12)
+    want = np.zeros(len(got), np.int64)
+    for t in texts_[:6]:
+        s = shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in t.encode().split()], np.uint64))
+        np.add.at(want, (s & np.uint64(len(got) - 1)).astype(np.int64), 1)
+    assert (got == np.ceil(np.log2(want + 1.0))).all()
+
+
+def test_verified_gives_a_pair_once(spark):
+    """Sets that several rows have, rows without an id among them, neither repeat a pair nor lose one."""
+    base = [f"w{j}" for j in range(60)]
+    a, b = " ".join(base), " ".join([*base, "x"])
+    rows = spark.createDataFrame([(None, a), (None, a), (None, b), (5, b), (5, "no pair of these words at all")], "doc_id long, text string").repartition(3)
+    name = {t: ngram_join._named(shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in t.encode().split()], np.uint64))) for t in (a, b)}
+    classes = spark.createDataFrame([(name[a], None), (name[b], 5)], "c long, doc long")
+    pairs = spark.createDataFrame([(name[a], name[b])], "a long, b long")
+    assert [tuple(r) for r in ngram_join.verified(rows, classes, pairs).collect()] == [(name[a], name[b])]
