@@ -196,27 +196,29 @@ def _sketches(counts: object):
 
 
 def _sets(bitmap: object):
-    """For the second pass: the whole sets of the documents that the bitmap, a broadcast, does not rule out."""
+    """For the second pass: the whole sets of the documents that the bitmap, a broadcast, does not rule out; copies once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bits = WordHashes(), bitmap.value
+        cache, new, bits = WordHashes(), _New(), bitmap.value
         for batch in batches:
             ids = batch.column("slot").to_numpy(zero_copy_only=False)
             wanted = np.flatnonzero((bits[ids >> 6] >> (ids & 63)) & 1)
             if not len(wanted):
                 continue
             part = batch.take(pa.array(wanted))
-            sets: list[np.ndarray] = []
-            first = size = 0
+            sets: list[tuple[int, int, np.ndarray]] = []
+            size = 0
             for k, text in enumerate(texts(part.column("text"))):
-                sets.append(shingles(cache.of(split(text))))
-                size += len(sets[-1])
-                if size >= 1 << 17 or k == part.num_rows - 1:  # sets go out in small batches, too
-                    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                    items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                    ids_ = part.column("doc_id").slice(first, len(sets))
-                    yield pa.RecordBatch.from_arrays([ids_, pa.array([_named(s) for s in sets], pa.int64()), items], names=["doc_id", "c", "items"])
-                    first, sets, size = k + 1, [], 0
+                s = shingles(cache.of(split(text)))
+                if new(name := _named(s)):
+                    sets.append((k, name, s))
+                    size += len(s)
+                if sets and (size >= 1 << 17 or k == part.num_rows - 1):  # sets go out in small batches, too
+                    ends = np.concatenate(([0], np.cumsum([len(s) for *_, s in sets]))).astype(np.int32)
+                    items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for *_, s in sets]).view(np.int64)))
+                    ids_ = part.column("doc_id").take(pa.array([k for k, *_ in sets]))
+                    yield pa.RecordBatch.from_arrays([ids_, pa.array([n for _, n, _ in sets], pa.int64()), items], names=["doc_id", "c", "items"])
+                    sets, size = [], 0
 
     return run
 
@@ -241,14 +243,16 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bits)
     sets = durable(rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL).select("c", "items"))
-    # several rows of a document, or several without an id, may be read; the shuffle that finds them serves both joins
+    # several rows of a document, or several without an id, may be read; the shuffle that finds them serves the first join
     one = sets.join(names, "c", "left_semi").dropDuplicates(["c"])
+    # many pairs may share a pivot: sets as they are, so that Spark can split the join, and pairs made one afterwards
+    pivots = sets.join(pairs.select(F.col("a").alias("c")).distinct(), "c", "left_semi")
     release(spark)
     left = pairs.join(one.select(F.col("c").alias("b"), F.col("items").alias("b_items")), "b")
-    met = left.join(one.select(F.col("c").alias("a"), F.col("items").alias("a_items")), "a")
+    met = left.join(pivots.select(F.col("c").alias("a"), F.col("items").alias("a_items")), "a")
     both = F.size(F.array_intersect("a_items", "b_items"))
     met = met.select("a", "b", both.alias("both"), (F.size("a_items") + F.size("b_items")).alias("sizes"))
-    return met.where("100L * both >= 80L * (sizes - both)").select("a", "b")
+    return met.where("100L * both >= 80L * (sizes - both)").select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
