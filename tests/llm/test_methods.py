@@ -955,3 +955,59 @@ def test_verified_gives_a_pair_once(spark):
     classes = spark.createDataFrame([(name[a], None), (name[b], 5)], "c long, doc long")
     pairs = spark.createDataFrame([(name[a], name[b])], "a long, b long")
     assert [tuple(r) for r in ngram_join.verified(rows, classes, pairs).collect()] == [(name[a], name[b])]
+
+
+def test_keys_are_dealt_packed_and_tables_go(spark, monkeypatch):
+    """A key takes few bytes of the shuffle, however many partitions there are; large tables go once they are read."""
+    rng = np.random.default_rng(21)
+    texts_ = [" ".join(rng.choice([f"w{k}" for k in range(5000)], 400)) for _ in range(300)]
+    rows = [*enumerate([*texts_, *(t + " x" for t in texts_[:40])])]
+    durable, tables, seen = ngram_join.durable, [], []
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written = lambda: {f.getName(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().endswith(".data")}
+
+    def recorded(df):
+        before = written()
+        out = durable(df)
+        tables.append(out)
+        if df.columns == ["key", "c", "n", "pivot"]:
+            seen.append(sum(size for name, size in written().items() if name not in before))
+        return out
+
+    monkeypatch.setattr(ngram_join, "durable", recorded)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(rows)
+    sets = [shingles(np.array([xxhash.xxh3_64_intdigest(w) for w in t.encode().split()], np.uint64)) for _, t in rows]
+    assert 0 < seen[0] < 11 * sum(len(ngram_join.block_keys(s)) for s in sets)
+    left = [t.columns for t in tables if spark._jvm.java.io.File(t.inputFiles()[0].replace("file://", "")).exists()]
+    assert left and not {"keys", "blob", "items"} & {name for columns in left for name in columns}
+
+
+def test_packed_keys_make_the_same_buckets(spark, monkeypatch):
+    """Packed keys come back as they were; buckets are those of plain grouping, at one go or in spans, in any batches."""
+    rng = np.random.default_rng(22)
+    plain: dict = {}
+    blobs = []
+    for task in (0, 3, 70_000):
+        n = 3000
+        keys = np.sort(rng.choice(np.concatenate((rng.integers(0, 2**48, 4000), [0, 2**48 - 1])), n).astype(np.uint64) // np.uint64(1 + (task > 0)))
+        at, common = rng.integers(0, 90, n), rng.integers(0, 65536, 90)
+        blobs.append(ngram_join.packed(task, keys, at, common[at]))
+        for got, want in zip(ngram_join.unpacked(blobs[-1]), (keys, at + (task << 32), common[at]), strict=True):
+            assert (got == want).all()
+        for k, x in zip(keys.tolist(), at.tolist(), strict=True):
+            plain.setdefault(k, []).append((int(common[x]), -(x + (task << 32))))
+    want = {k: (sorted(-no for _, no in v), -max(v)[1]) for k, v in plain.items() if len(v) > 1}
+    for grouped, members in ((1 << 22, 1 << 17), (1000, 50)):
+        monkeypatch.setattr(ngram_join, "GROUPED", grouped)
+        monkeypatch.setattr(ngram_join, "MEMBERS", members)
+        batches = [pa.RecordBatch.from_pydict({"part": pa.array([5], pa.int64()), "blob": pa.array([b], pa.binary())}) for b in blobs]
+        got = [r for b in ngram_join._buckets(iter(batches)) for r in b.to_pylist()]
+        assert {r["key"]: (sorted(r["c"]), r["pivot"]) for r in got} == want and len(got) == len(want)
+        assert all(r["n"] == len(r["c"]) for r in got)
+    assert sorted(r.at for r in spark.createDataFrame([(int(x),) for x in ngram_join._dealt(spark, 37)], "id long").select(F.pmod(F.hash("id"), F.lit(37)).alias("at")).collect()) == list(range(37))
