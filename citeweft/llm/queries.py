@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, maxent, mixing, ngram_join, packing, quality, secret_scan, url_rules
+from . import ann, chat, langid, maxent, mixing, ngram_join, packing, quality, resampling, secret_scan, simhash, spelling, url_rules
 from .common import pick, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op4: its counts and base verdict, through the operator."""
     return op4_quality_rules(spark, sf_dir).drop("kept", "rule")
@@ -101,6 +113,9 @@ QUERIES: dict[str, Query] = {
     "op8_maxent_score": op8_maxent_score,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_url_filter": op10_url_filter,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_simhash_near": op13_simhash_near,
     "base_languages": base_languages,
     "base_quality": base_quality,
     "base_secrets": base_secrets,
@@ -112,6 +127,10 @@ QUERIES: dict[str, Query] = {
 CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
     lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)"""
 
+#: CRC-32 by a table of 256 steps, each of them eight shifts; {0} is a string.
+STEPS = """steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda r, x: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS step)"""
+CRC_OF = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hex(encode({0}))), 2), lambda i: ('0x' || substr(hex(encode({0})), i, 2))::BIGINT)), lambda r, b: xor(r >> 8, step[(xor(r, b) & 255) + 1])))"""
+
 SQL: dict[str, str] = {
     "op1_chat_format": r"""
 WITH rows AS (
@@ -192,6 +211,42 @@ got AS (
 )
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken, g.first_shard, g.last_shard
 FROM placed p LEFT JOIN got g ON g.beg = p.beg AND g.source IS NOT DISTINCT FROM p.source AND p.size > 0
+""",
+    "op11_importance_resample": f"""
+WITH {STEPS},
+texts AS (SELECT true AS own, doc_id AS id, doc_id, text FROM documents UNION ALL SELECT false, item_id, NULL, text FROM benchmark),
+w AS (SELECT own, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+runs AS (SELECT own, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run FROM w),
+counted AS (SELECT own, id, run, count(*) AS c FROM runs GROUP BY own, id, run),
+hashed AS (SELECT run, {CRC_OF.format("run")} % 10000 AS bucket FROM (SELECT DISTINCT run FROM counted), steps),
+placed AS (SELECT own, id, bucket, sum(c) AS c FROM counted JOIN hashed USING (run) GROUP BY own, id, bucket),
+sums AS (SELECT bucket, coalesce(sum(c) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (NOT own), 0)::DOUBLE AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM sums),
+weights AS (SELECT id AS doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE own GROUP BY id),
+scored AS (
+  SELECT d.id AS doc_id, len(w) >= 20 AS may, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w d LEFT JOIN weights ON weights.doc_id = d.id WHERE own
+), placed_ AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER (PARTITION BY may) // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= most THEN place END::BIGINT AS rank FROM placed_
+""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE {STEPS},
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS c FROM found WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {CRC_OF.format("(doc_id || ':' || run)")} AS h FROM runs, steps),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5
+), less AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*)::BIGINT AS n_near, arg_min(struct_pack(form := other, m := m), struct_pack(a := -m, b := other)) AS x FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN x.m >= 5 * w.n THEN x.form END AS form, CASE WHEN x.m >= 5 * w.n THEN x.m END::BIGINT AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS now, 0 AS step FROM forms UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON f.word = w.now WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(now, step) AS root FROM walk GROUP BY word) USING (word)
 """,
     "base_languages": f"""
 SELECT doc_id, coalesce(xor({CRC}, 4294967295) % 4 = 2, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS no_letter, true AS score_fits FROM documents
