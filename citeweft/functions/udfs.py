@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,18 +33,22 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1, longest: int = 4, boost: f
     if not a or not b:
         return 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = [True] * len(b)
-    left = []
+    # the places of each letter in b that are neither taken nor out of reach: a place too far back stays so
+    free: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        free.setdefault(c, deque()).append(j)
+    left, taken = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                left.append(c)
-                break
+        places = free.get(c)
+        while places and places[0] < i - reach:
+            places.popleft()
+        if places and places[0] <= i + reach:
+            taken.append(places.popleft())
+            left.append(c)
     m = len(left)
     if not m:
         return 0.0
-    right = [c for c, x in zip(b, free, strict=True) if not x]
+    right = [b[j] for j in sorted(taken)]
     swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if jaro <= boost:

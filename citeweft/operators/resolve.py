@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from ..functions.udfs import similarity
 from ..model import DedupSettings
 from .graph import clusters
+from .pairs import block_pairs
+from .similar import possible
 
 RECORD = ("key", "title_norm", "year", "surname", "doi")
 
@@ -25,11 +27,11 @@ def doi_pairs(records: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
-    """Pairs a < b that share a block, once each, with both records' fields; records without a title match nothing."""
-    each = blocks(records.select(*RECORD).where("title_norm <> ''"))
-    x = each.select("block", *(F.col(c).alias(f"a_{c}") for c in RECORD))
-    y = each.select("block", *(F.col(c).alias(f"b_{c}") for c in RECORD))
-    return _once(x.join(y, "block").where("a_key < b_key"))
+    """Pairs a < b that share a block, once each, with both records' fields; records without a title match nothing.
+
+    For a look at the blocks: what no tier could take is among them. Matching goes by ``likely_pairs``.
+    """
+    return _once(block_pairs(blocks(records.select(*RECORD).where("title_norm <> ''")), "key", RECORD))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -47,18 +49,14 @@ def _could(a: str, b: str) -> Column:
 
 
 def likely_pairs(records: DataFrame) -> DataFrame:
-    """The candidate pairs that a tier could take; the others never leave the join."""
-    each = blocks(records.select(*RECORD).where("title_norm <> ''"))
-    x = each.select("block", *(F.col(c).alias(f"a_{c}") for c in RECORD))
-    y = each.select(F.col("block").alias("b_block"), *(F.col(c).alias(f"b_{c}") for c in RECORD))
-    met = x.join(y, (F.col("block") == F.col("b_block")) & (F.col("a_key") < F.col("b_key")) & _could("a", "b"))
-    return _once(met.drop("b_block"))
+    """The candidate pairs that a tier could take; the others never leave the join, however large their block is."""
+    return _once(block_pairs(blocks(records.select(*RECORD).where("title_norm <> ''")), "key", RECORD, _could("a", "b")))
 
 
 def tiered(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(a, b, tier, score): the first of T2, T3, T4 that holds; unlike DOIs and empty titles match nothing.
 
-    The similarity is worked out for the pairs alone that need it.
+    The similarity is worked out for the pairs alone that need it and whose lengths, heads and letters allow it.
     """
     titles = (F.col("a_title_norm") != "") & (F.col("b_title_norm") != "")
     apart = F.coalesce((F.col("a_doi") != "") & (F.col("b_doi") != "") & (F.col("a_doi") != F.col("b_doi")), F.lit(False))
@@ -68,6 +66,7 @@ def tiered(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     t4 = same_title & F.coalesce(F.col("a_year") == F.col("b_year"), F.lit(False)) & missing
     open_ = pairs.where(titles & ~apart).withColumn("kind", F.when(same_title & near, "T2").when(near, "T3").when(t4, "T4")).where("kind is not null")
     need = F.col("kind") == "T3"
+    open_ = open_.where(~need | possible(F.col("a_title_norm"), F.col("b_title_norm"), threshold))
     scored = open_.withColumn("score", similarity(F.when(need, F.col("a_title_norm")), F.when(need, F.col("b_title_norm"))))
     scored = scored.withColumn("score", F.when(need, F.col("score")).otherwise(F.lit(1.0)))
     return scored.where(~need | (F.col("score") >= threshold)).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), F.col("kind").alias("tier"), "score")

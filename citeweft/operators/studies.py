@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import estimate, simulate, stopping
+from . import estimate, loglinear, simulate, stopping
 
 
 def first_captures(found: DataFrame, edges: DataFrame, arms: dict[str, Column]) -> DataFrame:
@@ -85,20 +85,12 @@ def coverage_rows(counts: DataFrame, history: DataFrame, depth: int = 6, least:
 
 
 def coverage_loglinear(histories: DataFrame, history: DataFrame, arms: list[str], depth: int = 6, least: int = 4) -> DataFrame:
-    """As ``coverage_rows`` for the log-linear model, which has no interval; a group holds a row for each pattern."""
+    """As ``coverage_rows`` for the log-linear model, which has no interval; all models of all rounds are fitted at once."""
     bits = F.concat(*(F.when(F.col(a), "1").otherwise("0") for a in arms))
     cells = _deep_enough(histories.groupBy("trial", "n", bits.alias("pattern")).agg(F.sum("works").alias("works")), history, depth, least)
-    every = [format(i, f"0{len(arms)}b") for i in range(1, 1 << len(arms))]
-
-    def fit(rows):
-        import pandas as pd
-
-        seen = dict(zip(rows["pattern"], rows["works"], strict=True))
-        got = estimate.loglinear({p: int(seen.get(p, 0)) for p in every})
-        return pd.DataFrame([(rows["trial"].iloc[0], int(rows["n"].iloc[0]), "loglinear", got["estimable"], got["n_hat"], None, None)], columns=["trial", "n", "estimator", "estimable", "n_hat", "n_hat_low", "n_hat_high"])
-
-    slim = cells.select(F.col("trial").cast("string").alias("trial"), F.col("n").cast("int").alias("n"), "pattern", "works")
-    return slim.groupBy("trial", "n").applyInPandas(fit, "trial string, n int, estimator string, estimable boolean, n_hat double, n_hat_low double, n_hat_high double")
+    got = loglinear.select(loglinear.table_of(cells, len(arms), ("trial", "n"), "works"), len(arms))
+    none = F.lit(None).cast("double")
+    return got.select("trial", "n", F.lit("loglinear").alias("estimator"), "estimable", "n_hat", none.alias("n_hat_low"), none.alias("n_hat_high"))
 
 
 def coverage_summary(rows: DataFrame, truth: int) -> DataFrame:

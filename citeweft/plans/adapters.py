@@ -112,3 +112,24 @@ SQL_SCORES = """raw AS (SELECT o_orderkey AS key, o_totalprice % 10 AS base, o_o
 scores AS (SELECT key, 'a1' AS rater, (1 + floor(base * 0.9))::DOUBLE AS score, actual FROM raw UNION ALL
   SELECT key, 'a2', (1 + floor((base * 0.7 + (key % 7) * 0.4) * 0.9))::DOUBLE, actual FROM raw UNION ALL
   SELECT key, 'b1', CASE WHEN key % 11 <> 0 THEN (1 + floor((base * 0.5 + (key % 5) * 0.8) * 0.9))::DOUBLE END, actual FROM raw)"""
+
+
+def sql_loglinear(tables: str, by: str) -> str:
+    """Expressions that end in ``chosen``: the log-linear model of least AIC for each row of tables (by, y[7]), three arms.
+
+    One step of the recursion sets one of a model's sums right; 300 rounds of them.
+    """
+    same = "list_sum(list_transform(range(1, 8), lambda q: CASE WHEN (q & {0}) = (p & {0}) THEN {1}[q] ELSE 0 END))"
+    names = f"{by}, " if by else ""
+    return f"""mods AS (SELECT * FROM (VALUES (0, '', 4, [4, 2, 1]), (1, '0:1', 5, [6, 1]), (2, '0:2', 5, [5, 2]), (3, '1:2', 5, [3, 4]), (4, '0:1,0:2', 6, [6, 5]), (5, '0:1,1:2', 6, [6, 3]), (6, '0:2,1:2', 6, [5, 3]), (7, '0:1,0:2,1:2', 7, [6, 5, 3])) m(model, terms, params, masks)),
+begun AS (SELECT {names}y, model, params, masks, len(masks) AS sums, CASE WHEN params = 7 THEN list_transform(y, lambda x: greatest(x, 1e-8)) ELSE [1, 1, 1, 1, 1, 1, 1]::DOUBLE[] END AS cells FROM {tables} CROSS JOIN mods),
+fit AS (SELECT *, 0 AS r FROM begun UNION ALL
+  SELECT {names}y, model, params, masks, sums, list_transform(range(1, 8), lambda p: cells[p] * greatest({same.format("g", "y")}, 1e-8) / {same.format("g", "cells")}), r + 1
+  FROM (SELECT *, masks[r % sums + 1] AS g FROM fit WHERE params < 7 AND r < 300 * sums)),
+fitted AS (SELECT {names}y, model, terms, list_sum(y) AS seen, cells[4] * cells[2] * cells[1] * cells[7] / (cells[6] * cells[5] * cells[3]) AS unseen,
+  2 * f.params - 2 * list_sum(list_transform(range(1, 8), lambda p: CASE WHEN y[p] > 0 THEN y[p] * ln(cells[p]) ELSE 0 END - cells[p] - lgamma(y[p] + 1))) AS aic
+  FROM fit f JOIN mods USING (model) WHERE r = CASE WHEN f.params = 7 THEN 0 ELSE 300 * sums END),
+best AS (SELECT * FROM fitted QUALIFY row_number() OVER (PARTITION BY {names}1 ORDER BY round(aic, 8), model) = 1),
+judged AS (SELECT *, CASE WHEN seen = 0 THEN 'no_records' WHEN y[4] + y[5] + y[6] + y[7] = 0 OR y[2] + y[3] + y[6] + y[7] = 0 OR y[1] + y[3] + y[5] + y[7] = 0 THEN 'empty_arm'
+  WHEN terms <> '' AND (y[3] = 0 OR y[5] = 0 OR y[6] = 0) THEN 'empty_pair_cell' WHEN seen + unseen <= 3 * seen THEN NULL ELSE 'implausible' END AS reason FROM best),
+chosen AS (SELECT {names}seen::BIGINT AS n_observed, reason IS NULL AS estimable, reason, CASE WHEN reason IS NULL THEN seen + unseen END AS n_hat, CASE WHEN reason IS NULL THEN seen / (seen + unseen) END AS recall, CASE WHEN seen > 0 THEN terms END AS terms, CASE WHEN seen > 0 THEN aic END AS aic FROM judged)"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.udfs import canonical_json
 from ..model import Eligibility
-from ..operators import eligibility, estimate, expand, prisma, rank, resolve, simulate, stats, stopping, verify
+from ..operators import eligibility, estimate, expand, loglinear, prisma, rank, resolve, simulate, stats, stopping, verify
 from ..sinks import exports
 from ..sources import files
 from . import adapters as A
@@ -507,12 +507,14 @@ def chao1_estimate(spark, d):
     return x.select("s_obs", "f1", "f2", *(F.round(c, 4).alias(c) for c in ("n_hat", "n_hat_low", "n_hat_high")), r6("recall").alias("recall"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {A.SQL_CAPTURES}, tabled AS (SELECT list_transform(range(1, 8), lambda p: len(list_filter(l, lambda x: x = p)))::DOUBLE[] AS y FROM (SELECT list(4 * a::INT + 2 * b::INT + c::INT) AS l FROM captures)),
+    {A.sql_loglinear("tabled", "")} SELECT n_observed, estimable, reason, round(n_hat, 4) AS n_hat, round(recall, 6) AS recall, terms, round(aic, 4) AS aic FROM chosen"""
+)
 def loglinear_estimate(spark, d):
-    """No SQL: iteratively reweighted least squares over seven counts, on the driver."""
-    out = estimate.loglinear({r.pattern: r.n for r in estimate.cells(histories(spark, d), list("abc")).collect()})
-    row = (out["n_observed"], out["estimable"], out["reason"], out["n_hat"], out["recall"], ",".join(out["terms"] or []), out["aic"])
-    return longs(spark.createDataFrame([row], "n_observed long, estimable boolean, reason string, n_hat double, recall double, terms string, aic double"))
+    tables = loglinear.table_of(estimate.cells(histories(spark, d), list("abc")), 3)
+    out = loglinear.select(tables, 3)
+    return out.withColumns({c: F.round(c, p) for c, p in (("n_hat", 4), ("recall", 6), ("aic", 4))})
 
 
 def _odds_sql() -> str:

@@ -107,11 +107,15 @@ def coverage_study(spark, d):
     return longs(studies.coverage_summary(rows, n))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_COUNTS}, deep AS (SELECT trial, n FROM history WHERE n <= 6 AND cumulative_included >= 4),
+    tabled AS (SELECT trial, n, list_transform(range(1, 8), lambda p: len(list_filter(l, lambda x: x = p)))::DOUBLE[] AS y FROM (SELECT trial, n, list(4 * a::INT + 2 * b::INT + c::INT) AS l FROM cap JOIN deep USING (trial, n) GROUP BY trial, n)),
+    {A.sql_loglinear("tabled", "trial, n")} SELECT trial, n::BIGINT AS n, 'loglinear' AS estimator, estimable, round(n_hat, 4) AS n_hat, NULL::DOUBLE AS n_hat_low, NULL::DOUBLE AS n_hat_high FROM chosen"""
+)
 def coverage_loglinear(spark, d):
-    """No SQL: iteratively reweighted least squares over seven counts for each trial and round."""
     found, curve, e, n = _trials(spark, d)
-    return longs(studies.coverage_loglinear(_histories(found, curve, e), curve, list("abc")))
+    rows = studies.coverage_loglinear(_histories(found, curve, e), curve, list("abc"))
+    return rows.withColumn("n", F.col("n").cast("long")).withColumn("n_hat", F.round("n_hat", 4))
 
 
 # --- stops ---------------------------------------------------------------------------------------------------------

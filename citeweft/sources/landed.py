@@ -217,3 +217,12 @@ def tei_works(references: DataFrame) -> DataFrame:
     null = F.lit(None).cast("string")
     authors = F.transform("surnames", lambda x: _author(x, null, null))
     return _works(references, doi=F.col("doi"), title=F.col("title"), year=F.col("year"), authors=authors, venue=F.col("journal"), unresolved=F.col("doi").isNull(), source_ids=_ids(grobid_confidence=F.format_string("%.1f", "confidence")))
+
+
+def with_own_candidates(references: DataFrame, works: DataFrame, least_similarity: float = 0.90) -> DataFrame:
+    """As ``match_references``, with candidates from works (key, title_norm, title, doi, year) by an index of their titles."""
+    from ..operators.similar import match_bibliographic
+
+    named = references.withColumn("title_norm", S.normalize_title(F.col("title")))
+    found = match_bibliographic(named.where("doi is null").select("path", "ord", "title_norm"), works, least_similarity)
+    return match_references(references, found, 0, least_similarity)

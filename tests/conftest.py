@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-for p in (str(ROOT), str(ROOT / "tests" / "llm")):
+for p in (str(ROOT), str(ROOT / "tests"), *(str(f) for f in (ROOT / "tests").iterdir() if f.is_dir())):
     if p not in sys.path:
         sys.path.insert(0, p)
 

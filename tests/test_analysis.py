@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import plain
 import pytest
 from citeweft.model import Arm, Eligibility
-from citeweft.operators import eligibility, estimate, expand, rank, simulate, stats, stopping
+from citeweft.operators import eligibility, estimate, expand, loglinear, rank, simulate, stats, stopping
 from pyspark.sql import functions as F
 
 H = "trial string, n int, n_screened long, n_included long, cumulative_screened long, cumulative_included long, frontier_size long, yield_rate double"
@@ -57,18 +58,47 @@ def test_chao(spark, s, f1, f2, reason):
         ({p: 0 for p in ("100", "010", "001", "110", "101", "011", "111")}, "no_records"),
     ],
 )
-def test_loglinear(cells, reason):
-    assert estimate.loglinear(cells)["reason"] == reason
+def test_loglinear(spark, cells, reason):
+    assert fitted(spark, [cells])[0].reason == reason == plain.loglinear(cells)["reason"]
 
 
-def test_loglinear_of_independent_arms():
+def fitted(spark, tables):
+    """What the operator says of tables of counts by pattern, all at once."""
+    k = len(next(iter(tables[0])))
+    rows = [(t, p, n) for t, counts in enumerate(tables) for p, n in counts.items()]
+    cells = spark.createDataFrame(rows, "t int, pattern string, n long")
+    return sorted(loglinear.select(loglinear.table_of(cells, k, ("t",)), k).collect(), key=lambda r: r.t)
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_loglinear_fits_are_those_of_least_squares(spark, k):
+    """Many tables in one pass against a solver of one at a time."""
+    rng = np.random.default_rng(k)
+    tables = [{format(p, f"0{k}b"): int(n) for p, n in enumerate(rng.poisson(np.exp(rng.normal(3.5, 0.6, (1 << k) - 1))) + 1, 1)} for _ in range(12 if k == 3 else 2)]
+    for got, counts in zip(fitted(spark, tables), tables, strict=True):
+        want = plain.loglinear(counts)
+        assert (got.n_observed, got.reason, got.terms) == (want["n_observed"], want["reason"], ",".join(want["terms"]))
+        assert math.isclose(got.aic, want["aic"], rel_tol=1e-8)
+        if got.estimable:
+            assert math.isclose(got.n_hat, want["n_hat"], rel_tol=1e-6) and math.isclose(got.recall, want["recall"], rel_tol=1e-6)
+
+
+def test_loglinear_of_odd_tables(spark):
+    """Missing and null patterns count 0; two arms have the one model; no tables give no rows."""
+    cells = spark.createDataFrame([(0, "10", 30), (0, "01", 20), (0, "11", None), (1, "10", 30), (1, "01", 20), (1, "11", 10)], "t int, pattern string, n long")
+    a, b = sorted(loglinear.select(loglinear.table_of(cells, 2, ("t",)), 2).collect(), key=lambda r: r.t)
+    assert a.reason == "implausible" and b.estimable and math.isclose(b.n_hat, 120)
+    assert loglinear.select(loglinear.table_of(cells.limit(0), 2, ("t",)), 2).count() == 0
+
+
+def test_loglinear_of_independent_arms(spark):
     p, n = (0.5, 0.4, 0.3), 10000
     cells = {}
     for k in range(1, 8):
         bits = f"{k:03b}"
         cells[bits] = round(n * math.prod(q if b == "1" else 1 - q for q, b in zip(p, bits, strict=True)))
-    out = estimate.loglinear(cells)
-    assert out["estimable"] and abs(out["n_hat"] - n) < 60
+    out = fitted(spark, [cells])[0]
+    assert out.estimable and abs(out.n_hat - n) < 60
 
 
 def test_cells_and_overlap(spark):
