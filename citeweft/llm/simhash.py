@@ -7,7 +7,7 @@ or fewer differing bits.
 Equal fingerprints are one from the start. The 64 bits are cut into blocks; whatever DISTANCE blocks the differing bits
 are in, the other blocks agree, so each choice of blocks that agree deals the fingerprints into groups: five blocks and
 five choices of one block, or, as fingerprints grow more, more blocks and longer keys, so that groups stay small. A group
-beyond ``MOST`` fingerprints is dealt again, by blocks of the bits that its key does not hold; no link is lost on the way.
+beyond ``MOST`` fingerprints is cut into chunks, and every two of them are a tile that is joined by itself.
 
 A task holds the tries of its groups: sorted fingerprints, where a node is a range, its bits above the first that differs
 within are common to all in it, and it splits at that bit. Pairs of nodes are traversed together, from each root with
@@ -43,8 +43,10 @@ DISTANCE, SHINGLE, SEED = 4, 4, 42
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes from which a text is read in blocks, and words of a block.
 LARGE, WORDS = 1 << 20, 1 << 16
-#: Fingerprints of a group; of a group on average; of a task's groups together.
+#: Fingerprints of a group that one task joins; of a group on average; of a task's groups together.
 MOST, USUAL, TASK = 1 << 20, 1 << 11, 1 << 21
+#: Large groups whose sizes go to every task; more of them are joined.
+FEW = 100_000
 #: Pairs of nodes that are worked on at a time, and links that wait to be joined.
 PAIRS, LINKS = 1 << 18, 1 << 17
 
@@ -103,35 +105,39 @@ def choices(n: int) -> list[int]:
     return [sum(c) for c in combinations(cut(2**64 - 1, blocks), blocks - DISTANCE)]
 
 
-def _key(fp: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    return mix64(mix64(fp & mask) ^ mix64(mask + U(0x9E3779B97F4A7C15))).view(np.int64)
+def _key(fp: np.ndarray, mask: np.uint64) -> np.ndarray:
+    return mix64(mix64(fp & mask) ^ mix64(np.array([mask]) + U(0x9E3779B97F4A7C15))).view(np.int64)
 
 
-GROUPS = "key long, mask long, fp long"
+GROUPS = "key long, fp long"
 
 
-def _first(masks: list[int]):
+def _grouped(masks: list[int]):
     """Fingerprints to their groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array(batch.column("fp"), np.int64).view(U)
-            for m in masks:
-                mask = np.full(len(fp), m, U)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_key(fp, mask), mask.view(np.int64), fp.view(np.int64))], names=["key", "mask", "fp"])
+            fp = np.array(batch.column("fp"), np.int64)
+            for mask in masks:
+                yield pa.RecordBatch.from_arrays([pa.array(_key(fp.view(U), U(mask))), pa.array(fp)], names=["key", "fp"])
 
     return run
 
 
-def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of a large group to groups that agree on one more of the blocks that are left."""
-    for batch in batches:
-        mask, fp = (np.array(batch.column(k), np.int64).view(U) for k in ("mask", "fp"))
-        for m in np.unique(mask).tolist():
-            own = fp[mask == U(m)]
-            for more in cut(~m & (2**64 - 1), DISTANCE + 1):
-                longer = np.full(len(own), m | more, U)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_key(own, longer), longer.view(np.int64), own.view(np.int64))], names=["key", "mask", "fp"])
+def _tiled(groups: DataFrame, most: int) -> DataFrame:
+    """Groups (key, fp) with those beyond ``most`` fingerprints in tiles of two chunks each, under keys of their own."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = durable(sizes.select("key", F.ceil(2 * F.col("n") / most).cast("int").alias("chunks")))
+    n = large.count()
+    if not n:
+        return groups
+    large = F.broadcast(large) if n <= FEW else large
+    chunk = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
+    rows = groups.join(large, "key", "left").withColumn("chunk", chunk)
+    other = F.when(F.col("chunks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.select("key", "fp", "chunk", F.explode(other).alias("other"))
+    tile = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return rows.select(F.when(F.col("other").isNull(), F.col("key")).otherwise(tile).alias("key"), "fp")
 
 
 class Tries:
@@ -250,21 +256,9 @@ def links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
     n = fingerprints.count()
     if not n:
         return fingerprints.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    now = fingerprints.mapInArrow(_first(choices(n)), GROUPS)
-    settled = None
-    while True:
-        now = durable(now)
-        sizes = now.groupBy("key").agg(F.count("*").alias("n"))
-        large = durable(sizes.where(F.col("n") > most).select("key"))
-        some = large.count()
-        small = now.join(large, "key", "left_anti") if some else now
-        settled = small if settled is None else settled.union(small)
-        if not some:
-            break
-        now = now.join(large, "key", "left_semi").mapInArrow(_again, GROUPS)
+    groups = _tiled(durable(fingerprints.mapInArrow(_grouped(choices(n)), GROUPS)), most)
     parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = settled.count()
-    return durable(settled.select("key", "fp").repartition(max(parts, -(-rows // TASK)), "key").mapInArrow(_links, "a long, b long"))
+    return durable(groups.repartition(max(parts, -(-len(choices(n)) * n // TASK)), "key").mapInArrow(_links, "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, most: int = MOST) -> DataFrame:
