@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +48,19 @@ def drop(table: DataFrame) -> None:
     where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets shuffle files of finished jobs go now: Spark deletes them once the driver's collector finds them unused.
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Within, a job's shuffle files go as it ends, not when the driver's collector happens to find them unused.
 
-    Python's collector goes first, as its objects keep those of the driver.
+    The session's setting is put back afterwards; a DataFrame that is executed twice shuffles twice.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:

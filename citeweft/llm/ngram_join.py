@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop, durable, pick, release
+from .common import bounded_batches, drop, durable, pick, shuffles_let_go
 from .components import components
 from .hashing import U, WordHashes, mix64, shingles, split, texts
 
@@ -384,7 +384,6 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     sets = durable(rows.withColumn("slot", _slot(F.col("doc_id"))).mapInArrow(_sets(shared), SETS_DDL).select("c", "items"))
     # several rows of a document, or several without an id, may be read; the shuffle that finds them serves both joins
     one = sets.join(names, "c", "left_semi").dropDuplicates(["c"])
-    release(spark)
     left = pairs.join(one.select(F.col("c").alias("b"), F.col("items").alias("b_items")), "b")
     met = left.join(one.select(F.col("c").alias("a"), F.col("items").alias("a_items")), "a")
     both = F.size(F.array_intersect("a_items", "b_items"))
@@ -395,7 +394,15 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``documents``."""
+    """doc_id, n_shingles, component_id for each row of ``documents``.
+
+    Shuffles go as the jobs that wrote them end. Arrow batches are bounded by bytes, a setting of the session that stays.
+    """
+    with shuffles_let_go(documents.sparkSession):
+        return _near_duplicates(documents, counters)
+
+
+def _near_duplicates(documents: DataFrame, counters: int) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
     rows = pick(documents, doc_id="bigint", text="string")
@@ -406,7 +413,6 @@ def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     # buckets of equal keys, with a pivot; keys are dealt once, as they take more room than all else
     buckets = durable(first.where("part is not null").select("part", "blob").repartition(parts, "part").mapInArrow(_buckets, BUCKETS_DDL))
     drop(first)
-    release(spark)
     full = docs.where("n > 0")
     classes = durable(full.groupBy("c").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("no").alias("no")))
     # documents that stand in several rows tie their classes
@@ -419,7 +425,6 @@ def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     met = durable(met.where("c <> p"))
     best = met.where(_fits(F.col("m"), F.col("n"))).groupBy("c").agg(F.max(F.struct("shared", "p")).alias("x")).select(F.col("x.p").alias("a"), F.col("c").alias("b"))
     links = verified(rows, classes, durable(best))
-    release(spark)
     found = durable(components(links.union(same)))
 
     def of(df: DataFrame, node: str, name: str) -> DataFrame:
@@ -432,13 +437,11 @@ def near_duplicates(documents: DataFrame, counters: int = 1 << 22) -> DataFrame:
     own = classes.select("no", "c", "n", *(F.get("sketch", F.lit(k)).alias(f"k{k}") for k in range(8)))
     open_ = durable(of(open_.hint("merge").join(own.hint("merge"), "no").drop("no"), "c", "comp"))
     drop(buckets)
-    release(spark)
     x, y = open_.alias("x"), open_.alias("y")
     apart_bits = sum((F.bit_count(F.col(f"x.k{k}").bitwiseXOR(F.col(f"y.k{k}"))) for k in range(1, 8)), F.bit_count(F.col("x.k0").bitwiseXOR(F.col("y.k0"))))
     test = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n")) & (9 * apart_bits <= F.col("x.n") + F.col("y.n"))
     more = x.join(y, test).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     links = links.union(verified(rows, classes, durable(more)))
-    release(spark)
     found = durable(components(links.union(same)))
     # a component is called by the smallest doc_id of all its classes
     named = durable(of(classes.select("c", "doc"), "c", "comp"))

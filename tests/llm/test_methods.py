@@ -740,30 +740,29 @@ def test_shared_passages_make_no_buckets(spark):
 
 
 def test_keys_are_dealt_once_and_let_go(spark, docs, monkeypatch):
-    """The blocks' keys, most of what the join writes, go through one shuffle, whose files do not wait for others."""
-    plans, left, durable, release = [], [], ngram_join.durable, ngram_join.release
+    """The blocks' keys, most of what the join writes, go through one shuffle; no job's shuffle outlives the job."""
+    plans, left, durable = [], [], ngram_join.durable
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    shuffled = lambda: sum(f.getName().endswith(".data") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().endswith(".data")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, known = spark.conf.get(setting), shuffled()
 
     def recorded(df):
         if df.columns == ["key", "c", "n", "pivot"]:
             plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return durable(df)
-
-    def released(session):
-        before = shuffled()
-        release(session)
-        for _ in range(50):
-            if (now := shuffled()) < before:
+        out = durable(df)
+        for _ in range(100):
+            if not (now := shuffled() - known):
                 break
             time.sleep(0.1)
-        left.append((before, now))
+        left.append(now)
+        return out
 
     monkeypatch.setattr(ngram_join, "durable", recorded)
-    monkeypatch.setattr(ngram_join, "release", released)
     ngram_join.near_duplicates(docs)
     assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
-    assert left[0][1] < left[0][0]
+    assert len(left) > 8 and not any(left)
+    assert spark.conf.get(setting) == before
 
 
 def test_rows_with_one_id_and_different_texts_stay(spark):
