@@ -24,7 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +98,21 @@ def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads pieces back, sorted by conversation; holds hash states, never a conversation."""
+DIGESTED = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads pieces back, sorted by conversation; holds hash states, never a conversation. Ids stay whole numbers or null."""
     now: object = batches  # equals no conv_id
     state: list = []
-    for rows in batches:
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(DIGESTED)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, DIGESTED.types, strict=True)], schema=DIGESTED)
+
+    for batch in batches:
         done = []
-        for conv, piece, a, b in zip(rows["conv_id"], rows["piece"], rows["loss_start"], rows["loss_end"], strict=True):
-            conv = None if pd.isna(conv) else int(conv)
+        for conv, piece, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
             if conv != now:
                 if state:
                     done.append(_row(now, state))
@@ -113,28 +120,23 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             role, text = PIECE.fullmatch(piece).groups()
             state[0] += 1
             state[1].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-            if not pd.isna(a):
-                learnt = unescape(piece[int(a) : int(b)])
+            if a is not None:
+                learnt = unescape(piece[a:b])
                 state[2] += len(learnt)
                 state[3].update(learnt.encode())
             state[4] += len(piece)
-        yield _frame(done)
+        yield out(done)
     if state:
-        yield _frame([_row(now, state)])
+        yield out([_row(now, state)])
 
 
 def _row(conv: object, state: list) -> tuple:
     return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-    return out.astype({"conv_id": "Int64"})
-
-
 def digest(pieces: DataFrame) -> DataFrame:
     """What can be read back from the formatted conversations, a row each."""
-    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "message_id").mapInPandas(_digest, DIGEST)
+    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "message_id").mapInArrow(_digest, DIGEST)
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
