@@ -37,19 +37,19 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str) -> Callable[[str], np.ndarray]:
+def encoder(name: str, specials: bool = True) -> Callable[[str], np.ndarray]:
     """text -> ids of a byte-level BPE in a tokenizers file, worked out by tiktoken from the same vocabulary.
 
     A byte-level BPE whose merges have their ids in order, whose pre-tokenizer is the usual byte-level split and
     which normalises nothing, is what tiktoken runs, at several times the speed; any other file goes to tokenizers itself. Strings of
-    special tokens in a text are ordinary text.
+    special tokens in a text are their ids, as in a plain call, or ordinary text without ``specials``.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(name)
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = not specials
 
     def plain(text: str) -> np.ndarray:
         return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -71,7 +71,11 @@ def encoder(name: str) -> Callable[[str], np.ndarray]:
     ranks = {bytes(byte_of[c] for c in token): k for token, k in vocab.items() if k < 256 + len(merges)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    added = [t["content"] for t in whole.get("added_tokens") or ()] if specials else []
+
     def encode(text: str) -> np.ndarray:
+        if any(t in text for t in added):
+            return plain(text)
         try:
             return fast.encode_to_numpy(text, disallowed_special=())
         except BaseException as e:  # its engine panics on some very long runs; that type has no importable name
@@ -85,9 +89,9 @@ def encoder(name: str) -> Callable[[str], np.ndarray]:
 TOKENS_DDL = "doc_id long, source string, n long, ids binary, pid int, ahead long"
 
 
-def _tokenize(name: str):
+def _tokenize(name: str, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid = encoder(name), TaskContext.get().partitionId()
+        encode, pid = encoder(name, specials), TaskContext.get().partitionId()
         sums: dict[str | None, int] = {}
         for batch in batches:
             sources, n, ids, ahead = batch.column("source").to_pylist(), [], [], []
@@ -216,7 +220,7 @@ def _cut(queues: object, window: int, length: int, with_ids: bool):
     return run
 
 
-def pack(documents: DataFrame, length: int = 1024, window_sequences: int = 32, weights: dict[str | None, float] | tuple[float, ...] | None = None, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, length: int = 1024, window_sequences: int = 32, weights: dict[str | None, float] | tuple[float, ...] | None = None, tokenizer: str = TOKENIZER, with_ids: bool = False, specials: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and ids if asked for).
 
     ``weights``: target token proportions of the sources, by name, or in turn for sources by code point, null last;
@@ -224,7 +228,7 @@ def pack(documents: DataFrame, length: int = 1024, window_sequences: int = 32, w
     """
     bounded_batches(documents.sparkSession)
     rows = pick(documents, doc_id="bigint", text="string", source="string")
-    tokens = durable(rows.mapInArrow(_tokenize(tokenizer), TOKENS_DDL))
+    tokens = durable(rows.mapInArrow(_tokenize(tokenizer, specials), TOKENS_DDL))
     sums = durable(tokens.groupBy("source", "pid").agg(F.sum("n").alias("n")))
     before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("source").alias("b_source"), F.col("pid").alias("b_pid"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
