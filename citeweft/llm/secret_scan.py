@@ -237,6 +237,10 @@ def quantile(counts: dict[int, int], q: float) -> float:
     return low + (place - int(place)) * (at(counts, int(place) + 1) - low)
 
 
+#: Values of a kind from which its prefix tree is counted by the tasks.
+WHOLE = 20
+
+
 def least_of(n: int) -> int:
     """Of n strings, how many have to begin with a prefix to make it a state: so at most 1,024 prefixes of a length do."""
     return max(8, ceil(n / 1024))
@@ -254,12 +258,17 @@ def learn(documents: DataFrame, credentials: DataFrame | None = None) -> Scorer:
     firsts: Counter = Counter()
     for k, n in pairs.items():
         firsts[k[0]] += n
-    # a row for each kind; what the base patterns match is no format by itself where values are few
+    # a row for each kind
     kinds = found.where("kind not in ('pair', 'loose')").groupBy("kind").agg(F.count("*").alias("n"), F.min(F.length("value")).alias("least"))
-    sizes = {r.kind: r for r in kinds.where("n >= 20").orderBy("kind").collect()}
+    known = kinds.orderBy("kind").collect()
+    sizes = {r.kind: r for r in known if r.n >= WHOLE}
     public: dict[str, list[str]] = {}
     for kind, value in public_formats():
         public.setdefault(f"public {kind}", []).append(value)
+    # kinds of a few values are learned from the values as they stand, fewer than WHOLE of a kind
+    few = [r.kind for r in known if r.n < WHOLE]
+    for r in found.where(F.col("kind").isin(few)).orderBy("kind", "value").collect() if few else ():
+        public.setdefault(r.kind, []).append(r.value)
     automata: dict[str, Automaton] = {}
     if sizes:
         taught = found.where(F.col("kind").isin(list(sizes))).select("kind", "value")
