@@ -7,7 +7,8 @@ dropping those that a shorter rule already covers. Rules are matched through an
 
 Explicit domain rules come first: the longest rule that fits decides, and what they decide is the labelled data
 from which the method learns a verdict for the other URLs. What such a rule itself asks for, host endings and parts of the
-path, is no evidence for its verdict: those tokens are left out of the rows that it labelled. A confidence counts by its
+path, is no evidence: with its own rows it only restates the rule, and with those of the others it stands under their label
+alone. Those tokens are left out of all rows. A confidence counts by its
 lower bound (Wilson's, ``z`` standard errors), so that few rows must agree more fully than many.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, no token but ``none``, and the default
@@ -157,9 +158,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
     rows = rows.withColumn("said", said)
     if labels is None:
-        own_tokens = F.array().cast("array<string>")
-        for rule in sorted(of):
-            own_tokens = F.when(F.col("rule") == rule, F.array(*map(F.lit, implied(rule)))).otherwise(own_tokens)
+        # what a rule asks for says nothing about the others' rows either: there it stands under their label alone
+        asked = sorted({t for rule in of for t in implied(rule)})
+        own_tokens = F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")
         taught = rows.where(F.col("said").isNotNull()).select(F.array_except("tokens", own_tokens).alias("tokens"), F.col("said").alias("verdict"))
         mining = {"z": 1.645, **mining}
     else:
