@@ -116,6 +116,15 @@ def test_chat_digest(spark):
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in op1_chat_format(spark, DATA).collect()} == want
 
 
+def test_digest_of_large_ids_beside_a_null(spark):
+    """Ids beyond 2**53 stay whole numbers in a batch that holds a null one."""
+    rows = [((1 << 60) + 1, 0, "user", "a"), ((1 << 60) + 3, 0, "assistant", "b"), (None, 0, "user", "c"), (-(1 << 62), 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.digest(chat.render(chat.fold_events(chat.conversation_events(df)))).coalesce(1).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert {(r.conv_id, r.n_turns, r.turns_sha256) for r in got} == {(c, 1, sha(f"{role}\n{text or ''}\n")) for c, _, role, text in rows}
+
+
 # --- language
 
 
@@ -534,10 +543,23 @@ def test_encoder_is_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     t = test_encoder_is_the_tokenizer.__dict__.setdefault("t", Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)))
-    t.encode_special_tokens = True
     assert packing.encoder(packing.TOKENIZER)(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_texts():
+    """A text that holds a special token's string has its id, as in a call without settings; or plain text if asked for."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    text = "before <|endoftext|> after<|endoftext|>"
+    ids = packing.encoder(packing.TOKENIZER)(text).tolist()
+    assert ids == t.encode(text, add_special_tokens=False).ids and ids.count(50256) == 2
+    t.encode_special_tokens = True
+    assert packing.encoder(packing.TOKENIZER, False)(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 not in packing.encoder(packing.TOKENIZER, False)(text).tolist()
+
+
 # --- URLs
 
 
@@ -895,6 +917,26 @@ def test_filters_of_tasks_are_one(spark):
     assert inside.mean() > 0.9
 
 
+def test_rules_ask_for_no_explicit_rules_tokens(spark):
+    """The only rows with dir=fr that another rule labels are blocked ones; that is no reason to block dir=fr elsewhere."""
+    from citeweft.llm.queries import URL_RULES
+
+    urls = [f"http://h{k}.org/fr/{k}" for k in range(80)] + [f"http://h{k}.net/fr/{k}" for k in range(80)] + ["http://x.com/fr/1", "http://y.com/ads/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(df, URL_RULES).collect()}
+    assert got[0] == ("org/fr/", "allow") and got[80] == ("net/", "block")
+    assert got[160] == got[161] == (None, "allow")
+
+
+def test_three_credentials_of_a_kind_are_learned(spark):
+    """A kind with three labelled values has an automaton: others of its format are found, words are not."""
+    own = spark.createDataFrame([("badge", v) for v in ("zq-4471-8830-2219-xv", "zq-9038-1127-5564-xv", "zq-2750-6648-9913-xv")], "kind string, value string")
+    clean = "An understanding of internationalisation, well-known for counterrevolutionaries"
+    rows = [(1, "see zq-8123-4970-3356-xv here"), (2, clean)] + [(k, f"plain text number {k} with ordinary words and identifiers") for k in range(3, 60)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()}
+    assert got[1] and not got[2]
+
+
 def test_rules_do_not_restate_their_labels(spark):
     """What an explicit rule asks for is left out of the rows that it labels; few rows do not make a rule."""
     from citeweft.llm.queries import URL_RULES
