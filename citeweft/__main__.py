@@ -128,12 +128,13 @@ def _do(spark: SparkSession, a: argparse.Namespace) -> int:
         (Path(a.folder) / "flow.svg").write_text(exports.flow_svg(run.counts()), encoding="utf-8")
     elif a.verb == "export":
         inc = run.works.join(run.decisions.where("decision = 'include'"), "key", "left_semi")
-        for name, text in (("ris", "\n\n".join(r.entry for r in exports.ris(inc).toLocalIterator())), ("bib", "\n\n".join(r.entry for r in exports.bibtex(inc).toLocalIterator()))):
-            (Path(a.folder) / f"included.{name}").write_text(text + "\n", encoding="utf-8")
+        folder = Path(a.folder).absolute().as_uri()
+        for name, entries in (("ris", exports.ris(inc)), ("bib", exports.bibtex(inc))):
+            exports.write_ordered(entries.select("key", F.concat("entry", F.lit("\n")).alias("line")), ["key"], f"{folder}/included.{name}")
         ways = run.provenance.where("parent is not null")
         back = F.col("direction") == "backward"
         edges = ways.select(F.when(back, F.col("parent")).otherwise(F.col("key")).alias("u"), F.when(back, F.col("key")).otherwise(F.col("parent")).alias("v"), "provider").groupBy("u", "v").agg(F.max("provider").alias("provider"))
-        (Path(a.folder) / "graph.graphml").write_text(exports.graphml(run.works, edges), encoding="utf-8")
+        exports.write_graphml(run.works, edges, f"{folder}/graph.graphml")
     return DONE
 
 

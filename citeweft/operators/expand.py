@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import durable, durable_counted
+from ..storage import Bucketed
 
 
 def neighbours(edges: DataFrame, frontier: DataFrame, works: DataFrame | None = None, directions: tuple[str, ...] | None = None) -> DataFrame:
@@ -23,22 +23,24 @@ def snowball(edges: DataFrame, seeds: DataFrame, included: DataFrame, max_rounds
     """(trial, key, n, included): when each key was first found; seeds have n 0.
 
     edges (src, dst), seeds (trial, key), included (key): what the screener takes. The frontier is the round's new
-    includes; all trials go through one crawl, and a trial is over when its frontier is empty.
+    includes; all trials go through one crawl, and a trial is over when its frontier is empty. Edges lie in buckets by src,
+    with whether dst would be included, and what is found in buckets by (trial, key): a round moves its own finds alone.
     """
-    gold = durable(included.select("key").distinct())
-    step = durable(edges.select("src", "dst").distinct())  # every round reads it
-    found = durable(seeds.select("trial", "key").distinct().withColumn("n", F.lit(0)).withColumn("included", F.lit(True)))
-    frontier = found
+    gold = included.select(F.col("key").alias("dst")).distinct().withColumn("included", F.lit(True))
+    step = Bucketed(edges.select("src", "dst").distinct().join(gold, "dst", "left").select("src", "dst", F.coalesce("included", F.lit(False)).alias("included")), "src")
+    found = Bucketed(seeds.select("trial", "key").distinct().select("trial", "key", F.lit(0).alias("n"), F.lit(True).alias("included")), "trial", "key")
     for n in range(1, max_rounds + 1):
-        near = step.join(frontier.select("trial", F.col("key").alias("src")), "src").select("trial", F.col("dst").alias("key")).distinct()
-        fresh = near.join(found, ["trial", "key"], "left_anti")
-        marked = fresh.join(gold.withColumn("included", F.lit(True)), "key", "left")
-        new, count = durable_counted(marked.select("trial", "key", F.lit(n).alias("n"), F.coalesce("included", F.lit(False)).alias("included")))
-        if not count:
+        if not found.append(one_round(step.read(), found.read(), n)):
             break
-        found = durable(found.union(new)) if n % 8 == 0 else found.union(new)
-        frontier = new.where("included")
-    return found
+    step.close()
+    return found.close()
+
+
+def one_round(step: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """What round n finds: step (src, dst, included) in buckets by src, found (trial, key, n, included) by (trial, key)."""
+    frontier = found.where((F.col("n") == n - 1) & F.col("included")).select("trial", F.col("key").alias("src"))
+    near = step.join(frontier, "src").groupBy("trial", F.col("dst").alias("key")).agg(F.first("included").alias("included"))
+    return near.join(found.select("trial", "key"), ["trial", "key"], "left_anti").select("trial", "key", F.lit(n).alias("n"), "included")
 
 
 def history(found: DataFrame, max_rounds: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,10 @@ def network_features(provenance: DataFrame, candidates: DataFrame, included: Dat
     inc = included.select("key").distinct()
     own = provenance.select("key", "parent").where("parent is not null").distinct().join(candidates.select("key"), "key", "left_semi")
     parents = own.join(inc.withColumnRenamed("key", "parent"), "parent", "left_semi").groupBy("key").agg(F.count("*").alias("n_parents"))
-    theirs = provenance.join(inc, "key", "left_semi").select(F.col("key").alias("other"), "parent").where("parent is not null").distinct()
-    shared = own.join(theirs, "parent").where("key <> other").groupBy("key").agg(F.count("*").alias("cocitation"))
+    # each parent's included works, less the candidate itself where it is one of them
+    theirs = provenance.join(inc, "key", "left_semi").select("key", "parent").where("parent is not null").distinct().groupBy("parent").agg(F.count("*").alias("n"))
+    sums = own.join(theirs, "parent").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("self"))
+    shared = sums.join(inc.withColumn("in", F.lit(True)), "key", "left").select("key", (F.col("n") - F.when(F.col("in"), F.col("self")).otherwise(0)).alias("cocitation"))
     ways = provenance.groupBy("key").agg((F.countDistinct(F.when(F.col("direction").isin("backward", "forward"), F.col("direction"))) == 2).cast("int").alias("both_directions"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     rows = candidates.select("key").join(parents, "key", "left").join(shared, "key", "left").join(ways, "key", "left")
@@ -111,15 +115,45 @@ def top(scores: DataFrame, k: int | None = None) -> DataFrame:
     return scores.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
-def build(name: str):
-    """A ranker by its name: f(included, candidates, provenance, vectors) -> (key, score)."""
-    rankers = {
-        "none": lambda inc, cand, prov, vec: null_score(cand),
-        "bm25": lambda inc, cand, prov, vec: bm25(inc, cand),
-        "network": lambda inc, cand, prov, vec: network_score(network_features(prov, cand, inc)),
-        "embedding": lambda inc, cand, prov, vec: centroid_score(vec, inc).join(cand.select("key"), "key", "left_semi"),
-        "fusion": lambda inc, cand, prov, vec: fuse({"bm25": bm25(inc, cand), "network": network_score(network_features(prov, cand, inc))}),
-    }
-    if name not in rankers:
-        raise ValueError(f"no ranker {name!r}; there are {', '.join(sorted(rankers))}")
-    return rankers[name]
+#: A ranker is f(included, candidates, provenance, vectors) -> (key, score).
+Ranker = Callable[[DataFrame, DataFrame, DataFrame, DataFrame | None], DataFrame]
+RANKERS: dict[str, Ranker] = {
+    "none": lambda inc, cand, prov, vec: null_score(cand),
+    "bm25": lambda inc, cand, prov, vec: bm25(inc, cand),
+    "network": lambda inc, cand, prov, vec: network_score(network_features(prov, cand, inc)),
+    "embedding": lambda inc, cand, prov, vec: centroid_score(vec, inc).join(cand.select("key"), "key", "left_semi"),
+    "fusion": lambda inc, cand, prov, vec: fuse({"bm25": bm25(inc, cand), "network": network_score(network_features(prov, cand, inc))}),
+}
+OWN = frozenset(RANKERS)
+
+
+class RankerError(ValueError):
+    """A ranker that is not there, or does not give a score for each candidate."""
+
+
+def register(name: str, ranker: Ranker) -> None:
+    """Adds a ranker under a name that settings can ask for; the library's own cannot be replaced."""
+    if not name or name in OWN:
+        raise RankerError(f"{name!r} is a ranker of the library's own" if name else "a ranker needs a name")
+    RANKERS[name] = ranker
+
+
+def _checked(name: str, ranker: Ranker) -> Ranker:
+    """A registered ranker's scores, of candidates alone and of each one: those it leaves out, or scores null or NaN, get 0."""
+
+    def run(inc: DataFrame, cand: DataFrame, prov: DataFrame, vec: DataFrame | None) -> DataFrame:
+        got = ranker(inc, cand, prov, vec)
+        lost = [c for c in ("key", "score") if c not in got.columns]
+        if lost:
+            raise RankerError(f"ranker {name!r} gives no {' and no '.join(lost)}")
+        best = got.groupBy("key").agg(F.max(F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))).alias("score"))
+        return cand.select("key").distinct().join(best, "key", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    return run
+
+
+def build(name: str) -> Ranker:
+    """A ranker by its name."""
+    if name not in RANKERS:
+        raise RankerError(f"no ranker {name!r}; there are {', '.join(sorted(RANKERS))}")
+    return RANKERS[name] if name in OWN else _checked(name, RANKERS[name])

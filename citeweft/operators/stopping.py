@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DECISION = ("trial", "n", "rule", "triggered", "value", "threshold", "rationale", "advisory")
@@ -135,3 +136,79 @@ def rule_set(decisions: DataFrame, order: list[str], combine: str = "any_of") ->
     name = F.min_by("rule", F.when(F.col("triggered") & ~F.col("advisory"), place))
     rows = decisions.groupBy("trial", "n").agg(F.greatest(F.coalesce(over, F.lit(0)), F.coalesce(rest, F.lit(0))).alias("s"), name.alias("name"))
     return rows.select("trial", "n", (F.col("s") == 1).alias("stop"), F.when(F.col("s") == 1, F.col("name")).alias("stopped_by"))
+
+
+# --- rules by name -------------------------------------------------------------------------------------------------
+
+#: A rule is made from the history, the trail of estimates, and the options of the settings.
+Make = Callable[..., DataFrame]
+RULES: dict[str, Make] = {
+    "marginal_yield": lambda history, trail, **k: marginal_yield(history, **k),
+    "budget": lambda history, trail, **k: budget(history, **k),
+    "exhaustion": lambda history, trail, **k: exhaustion(history, **k),
+    "estimated_recall": lambda history, trail, **k: recall_stability(trail, **k),
+    "asymptotic_coverage": lambda history, trail, **k: asymptotic_coverage(history, **k),
+}
+OWN = frozenset(RULES)
+
+
+class RuleError(ValueError):
+    """A rule that does not keep to what a rule has to give."""
+
+
+def register(name: str, make: Make) -> None:
+    """Adds a rule under a name that settings can ask for: make(history, trail, **options) gives a DataFrame of decisions.
+
+    Decisions have the columns of ``DECISION``, and one row for each trial and round of the history. The library's own rules
+    cannot be replaced; a name that was registered before can.
+    """
+    if not name or name in OWN:
+        raise RuleError(f"{name!r} is a rule of the library's own" if name else "a rule needs a name")
+    RULES[name] = make
+
+
+def window_rule(name: str, measure: Callable[[WindowSpec], Column], fires: Callable[[Column], Column], threshold: float, rounds: int | None = None, least: int = 1, advisory: bool = False) -> Make:
+    """A rule from an aggregate over each trial's last rounds, all of them if ``rounds`` is None.
+
+    measure: a window to a column, so any aggregate there is, a pandas function of groups too; fires: the measure to a
+    condition. With fewer than ``least`` rounds the rule has no value and does not fire.
+    """
+
+    def make(history: DataFrame, trail: DataFrame | None = None, threshold: float = threshold) -> DataFrame:
+        w = _by_round().rowsBetween(Window.unboundedPreceding if rounds is None else 1 - rounds, 0)
+        rows = history.withColumn("_value", measure(w).cast("double")).withColumn("_have", F.count("*").over(w))
+        rows = rows.withColumn("_value", F.when(F.col("_have") >= least, F.col("_value")))
+        said = F.when(F.col("_value").isNull(), F.lit(f"{name} has no value yet.")).otherwise(F.format_string(f"{name} is %.4f; the limit is {threshold:.4f}.", F.col("_value")))
+        return _decide(rows, name, fires(F.col("_value")), F.col("_value"), threshold, said, advisory)
+
+    return make
+
+
+def checked(name: str, decisions: DataFrame, history: DataFrame) -> DataFrame:
+    """The decisions of a registered rule, if they are what a rule has to give; rounds are few, so they are looked at."""
+    kinds = {"rule": "string", "triggered": "boolean", "value": "double", "threshold": "double", "rationale": "string", "advisory": "boolean"}
+    found = dict(decisions.dtypes)
+    wrong = [c for c in DECISION if c not in found or found[c] != kinds.get(c, found[c])]
+    if wrong:
+        raise RuleError(f"rule {name!r}: columns {', '.join(wrong)} are missing or of another type")
+    rows = decisions.select(*DECISION)
+    each = rows.groupBy("trial", "n").agg(F.count("*").alias("k"), F.bool_and(F.col("triggered").isNotNull() & (F.col("rule") == name)).alias("ok"))
+    odd = history.select("trial", "n").distinct().withColumn("there", F.lit(True)).join(each, ["trial", "n"], "full_outer").where("there is null or k is null or k <> 1 or not ok").limit(1).collect()
+    if odd:
+        raise RuleError(f"rule {name!r}: not one decision of its own in trial {odd[0].trial}, round {odd[0].n}")
+    return rows
+
+
+def evaluate(history: DataFrame, trail: DataFrame | None, rules: dict[str, dict]) -> DataFrame:
+    """The decisions of the named rules, with their options, for all rounds of all trials."""
+    out = None
+    for name, options in rules.items():
+        if name not in RULES:
+            raise RuleError(f"no rule {name!r}; there are {', '.join(sorted(RULES))}")
+        one = RULES[name](history, trail, **options)
+        if name not in OWN:
+            one = checked(name, one, history)
+        out = one.select(*DECISION) if out is None else out.union(one.select(*DECISION))
+    if out is None:
+        raise RuleError("there are no rules")
+    return out

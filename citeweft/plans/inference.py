@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import intervals, pairs, similar
+from ..operators import intervals, pairs, resolve, similar, stopping
+from ..operators.kept import Clusters
+from ..sinks import exports
+from ..storage import durable, shared_dir
 from . import adapters as A
 from . import queries as Q
 from .queries import longs, query, r6
@@ -90,3 +95,65 @@ def match_bibliographic(spark, d):
     works = _first_lines(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("key"), "title_norm", F.col("line").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("int").alias("year"))
     found = similar.match_bibliographic(refs, works, 0.85)
     return longs(found.select(F.col("ord").alias("item_id"), F.col("key").alias("doc_id"), "score", F.col("cand_ord").cast("long").alias("cand_ord")))
+
+
+# --- rules that a user adds ----------------------------------------------------------------------------------------
+
+
+def falling_yield(history, trail=None, limit: float = -0.01):
+    """A rule by an aggregate over the last three rounds: the slope of their yields."""
+    make = stopping.window_rule("falling_yield", lambda w: F.regr_slope("yield_rate", "n").over(w), lambda v: v < limit, limit, rounds=3, least=3)
+    return make(history)
+
+
+@query(
+    f"""WITH RECURSIVE {A.SQL_HISTORY}, v AS (SELECT n, yield_rate, frontier_size, cumulative_screened, CASE WHEN count(*) OVER w >= 3 THEN regr_slope(yield_rate, n) OVER w END AS slope FROM history WINDOW w AS (ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    f AS (SELECT n, slope, coalesce(slope < -0.01, false) AS own, cumulative_screened >= 1500 AS spent, frontier_size = 0 AS over_ FROM v)
+    SELECT n::BIGINT AS n, round(slope, 6) AS value, own AS triggered, own OR spent OR over_ AS stop, CASE WHEN own THEN 'falling_yield' WHEN spent THEN 'budget' WHEN over_ THEN 'exhaustion' END AS stopped_by FROM f"""
+)
+def rule_custom(spark, d):
+    """A registered rule beside the library's own: its decisions, and what it makes of the rule set."""
+    stopping.register("falling_yield", falling_yield)
+    h = Q.run_history(spark, d)
+    said = stopping.evaluate(h, None, {"falling_yield": {}, "budget": {"max_screened": 1500}, "exhaustion": {}})
+    own = said.where("rule = 'falling_yield'").select("n", "value", "triggered")
+    return longs(own.join(stopping.rule_set(said, ["falling_yield", "budget", "exhaustion"]).drop("trial"), "n"))
+
+
+# --- clusters over batches -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {Q.SQL_CLUSTERS} SELECT key, cluster AS rep FROM res")
+def incremental_clusters(spark, d):
+    """The clusters of all matches, taken in three batches: those by DOI, by equal titles, and the others."""
+    found = durable(resolve.matches(Q.records(spark, d)))
+    kept = Clusters(spark)
+    for tiers in (("T1",), ("T2",), ("T3", "T4")):
+        kept.add(found.where(F.col("tier").isin(*tiers)))
+    return kept.read()
+
+
+# --- ordered text files --------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT l_partkey AS key FROM lineitem UNION SELECT p_partkey FROM part), e AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS v FROM lineitem),
+    x AS (SELECT 'node' AS kind, count(*)::BIGINT AS n, min(key)::BIGINT AS first, max(key)::BIGINT AS last FROM w UNION ALL SELECT 'edge', count(*), min(u), max(u) FROM e UNION ALL SELECT 'frame', 6, NULL, NULL)
+    SELECT kind, n, first, last, true AS in_order FROM x"""
+)
+def graphml_file(spark, d):
+    """Parts as nodes and suppliers' deliveries as edges, in one GraphML file, read back: its lines by kind, and their order."""
+    line = A.table(spark, d, "lineitem")
+    nodes = line.select(F.col("l_partkey").alias("key")).union(A.table(spark, d, "part").select("p_partkey")).distinct().select("key", F.concat(F.lit("part "), "key").alias("title"))
+    edges = line.select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.lit("delivery").alias("provider")).distinct()
+    path = f"{shared_dir(spark)}/citeweft/{uuid.uuid4().hex}.graphml"
+    exports.write_graphml(nodes, edges, path)
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    kind = F.when(F.col("value").startswith("<node "), "node").when(F.col("value").startswith("<edge "), "edge").otherwise("frame")
+    number = F.when(kind != "frame", F.regexp_extract("value", r'"(\d+)"', 1).cast("bigint"))
+    rows = rows.select(kind.alias("kind"), number.alias("k"), "at")
+    # the first of a kind stands before all others of it, the last behind them, and nodes before edges
+    ends = rows.groupBy("kind").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"), F.min_by("k", "at").alias("top"), F.max_by("k", "at").alias("bottom"), F.min("at").alias("from"), F.max("at").alias("to"))
+    edge = ends.where("kind = 'edge'").select(F.col("from").alias("edges_from"))
+    ok = (F.col("kind") == "frame") | ((F.col("top") == F.col("first")) & (F.col("bottom") == F.col("last")) & ((F.col("kind") == "edge") | (F.col("to") < F.col("edges_from"))))
+    return ends.join(F.broadcast(edge)).select("kind", "n", "first", "last", ok.alias("in_order"))

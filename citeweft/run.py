@@ -192,18 +192,7 @@ class Run:
         rules = dict(self.settings.rules) | {"exhaustion": {}}
         h = self.history()
         trail = self._rows(self.trail, "trial string, n int, estimable boolean, n_hat double, recall double, recall_low double")
-        make = {
-            "marginal_yield": lambda **k: stopping.marginal_yield(h, **k),
-            "budget": lambda **k: stopping.budget(h, **k),
-            "exhaustion": lambda **k: stopping.exhaustion(h),
-            "estimated_recall": lambda **k: stopping.recall_stability(trail, **k),
-            "asymptotic_coverage": lambda **k: stopping.asymptotic_coverage(h, **k),
-        }
-        out = None
-        for name, options in rules.items():
-            one = make[name](**options)
-            out = one if out is None else out.union(one)
-        return out
+        return stopping.evaluate(h, trail, rules)
 
     def _stop(self, why: str | None) -> None:
         self.phase, self.stopped_by = STOPPED, why

@@ -9,14 +9,13 @@ from itertools import combinations
 import yaml
 
 from .functions.udfs import canonical
+from .operators import rank, stopping
 from .model import Arm, DedupSettings, Eligibility, RunSettings
 
 # Settings that name people, keys or places; they do not count in a hash.
 SECRETS = ("mailto", "api_key", "api_key_env", "url", "pdf_map")
 # Types of works that one provider gave up, and what it reports now.
 LEGACY_TYPES = {"journal-article": "article", "proceedings-article": "article", "posted-content": "preprint"}
-RULES = ("marginal_yield", "asymptotic_coverage", "estimated_recall", "budget", "exhaustion")
-RANKERS = ("none", "bm25", "network", "embedding", "fusion")
 
 
 class SettingsError(ValueError):
@@ -50,11 +49,11 @@ def check(s: RunSettings, sets: tuple[str, ...] = ()) -> None:
     """Raises SettingsError for what cannot be run."""
     if not s.directions or set(s.directions) - {"backward", "forward"}:
         raise SettingsError("directions must be backward, forward or both")
-    if s.ranker not in RANKERS:
+    if s.ranker not in rank.RANKERS:
         raise SettingsError(f"no ranker {s.ranker!r}")
     if s.combine not in ("any_of", "all_of"):
         raise SettingsError("combine must be any_of or all_of")
-    unknown = [r for r, _ in s.rules if r not in RULES]
+    unknown = [r for r, _ in s.rules if r not in stopping.RULES]
     if unknown:
         raise SettingsError(f"no rules {unknown}")
     lost = sorted({a.member_of for a in s.arms if a.member_of} - set(sets)) if sets else []

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from xml.sax.saxutils import escape, quoteattr
+import uuid
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import rank
+from ..storage import shared_dir
 
 # Types of works in RIS; others are journal articles.
 RIS_TYPES = {"article": "JOUR", "journal-article": "JOUR", "book": "BOOK", "book-chapter": "CHAP", "proceedings-article": "CPAPER", "dissertation": "THES", "report": "RPRT", "preprint": "UNPB"}
@@ -91,12 +93,67 @@ def citation_edges(works: DataFrame) -> DataFrame:
     return rows.groupBy("u", "v").agg(F.max_by(F.struct("provider", "direction"), "ord").alias("x")).select("u", "v", "x.*")
 
 
-def graphml(nodes: DataFrame, edges: DataFrame) -> str:
-    """A GraphML text, nodes (key, title) and edges in order; for graphs that fit a file."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="t" for="node" attr.name="title" attr.type="string"/>', '<key id="p" for="edge" attr.name="provider" attr.type="string"/>', '<graph edgedefault="directed">']
-    out += [f'<node id={quoteattr(str(r.key))}><data key="t">{escape(r.title or "")}</data></node>' for r in nodes.select("key", "title").orderBy("key").toLocalIterator()]
-    out += [f'<edge source={quoteattr(str(r.u))} target={quoteattr(str(r.v))}><data key="p">{escape(r.provider or "")}</data></edge>' for r in edges.orderBy("u", "v").toLocalIterator()]
-    return "\n".join([*out, "</graph>", "</graphml>", ""])
+def write_ordered(lines: DataFrame, order: list[str], path: str, header: str = "", footer: str = "") -> None:
+    """One text file at ``path``: the header, the column ``line`` of all rows in order, the footer.
+
+    Rows are dealt by ranges of the order and written in parts by their tasks, so that parts in turn are the whole. The
+    driver then copies one part after another, as a stream of bytes, into a file beside ``path`` that takes its name at the
+    end: it never holds rows, and a reader sees the whole file or none. An existing file is replaced.
+    """
+    spark = lines.sparkSession
+    parts = f"{shared_dir(spark)}/citeweft/{uuid.uuid4().hex}"
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, final, half = hadoop.fs.Path(parts), hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    there, here = source.getFileSystem(conf), final.getFileSystem(conf)
+    out = here.create(half, True)
+    try:
+        out.write(header.encode())
+        for name in sorted(str(f.getPath().getName()) for f in there.listStatus(source)):
+            if name.startswith("part-"):
+                part = there.open(hadoop.fs.Path(source, name))
+                try:
+                    hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+        out.write(footer.encode())
+    finally:
+        out.close()
+    here.delete(final, False)
+    if not here.rename(half, final):
+        raise OSError(f"{path} could not be written")
+    there.delete(source, True)
+
+
+GRAPHML_HEAD = "\n".join(
+    [
+        '<?xml version="1.0" encoding="UTF-8"?>',
+        '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="t" for="node" attr.name="title" attr.type="string"/>',
+        '<key id="p" for="edge" attr.name="provider" attr.type="string"/>',
+        '<graph edgedefault="directed">\n',
+    ]
+)
+GRAPHML_FOOT = "</graph>\n</graphml>\n"
+
+
+def _xml(c: Column) -> Column:
+    """Text for a line of XML: marks as entities, line ends as blanks, without the controls that XML has no place for."""
+    text = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return F.regexp_replace(text, r"[\r\n\t]+", " ")
+
+
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, a, b, line): a line for each node (key, title) and each edge (u, v, provider), nodes first."""
+    n = nodes.select(F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(None).cast(dict(nodes.dtypes)["key"]).alias("b"), F.concat(F.lit('<node id="'), _xml(F.col("key")), F.lit('"><data key="t">'), _xml(F.col("title")), F.lit("</data></node>")).alias("line"))
+    e = edges.select(F.lit(1), "u", "v", F.concat(F.lit('<edge source="'), _xml(F.col("u")), F.lit('" target="'), _xml(F.col("v")), F.lit('"><data key="p">'), _xml(F.col("provider")), F.lit("</data></edge>")))
+    return n.union(e)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A GraphML file of nodes (key, title) and edges (u, v, provider), in order, of any size."""
+    write_ordered(graphml_lines(nodes, edges), ["kind", "a", "b"], path, GRAPHML_HEAD, GRAPHML_FOOT)
 
 
 def flow_svg(counts: dict[str, int]) -> str:

@@ -36,3 +36,39 @@ def durable_counted(df: DataFrame, what: Column | None = None) -> tuple[DataFram
     seen = Observation()
     out = durable(df.observe(seen, (F.count(F.lit(1)) if what is None else F.count_if(what)).alias("n")))
     return out, int(seen.get["n"])
+
+
+class Bucketed:
+    """A table in the shared folder whose rows lie in buckets by the hash of some columns, as a shuffle would deal them.
+
+    A join or an aggregate on these columns reads it without an exchange. Rows can be added; the name in the session's
+    catalog goes with ``close``, the files stay until the driver exits, as those of ``durable``.
+    """
+
+    def __init__(self, df: DataFrame, *columns: str):
+        self.spark = df.sparkSession
+        tag = uuid.uuid4().hex
+        self.name, self.path, self.columns = f"citeweft_{tag}", f"{shared_dir(self.spark)}/citeweft/{tag}", columns
+        self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # a task has the rows of one bucket, so that there is one file for each
+        self._write(df.repartition(self.n, *columns))
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+    def _write(self, df: DataFrame) -> None:
+        df.write.mode("append").format("parquet").bucketBy(self.n, *self.columns).option("path", self.path).saveAsTable(self.name)
+
+    def append(self, df: DataFrame) -> int:
+        """Adds rows with the table's columns, best dealt by those of the buckets; how many there were."""
+        seen = Observation()
+        self._write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return int(seen.get["n"])
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """The rows, as a plain table."""
+        out = self.spark.read.schema(self.read().schema).parquet(self.path)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return out

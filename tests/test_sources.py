@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
 import json
 
 import pytest
@@ -150,15 +152,16 @@ def works_row(spark):
     return spark.createDataFrame(rows, f"key string, title string, authors {author}, year int, venue string, type string, doi string, abstract string, provenance {prov}")
 
 
-def test_exports(spark):
+def test_exports(spark, tmp_path):
     w = works_row(spark)
     assert {r.key: r.bibkey for r in exports.bibtex_keys(w).collect()} == {"k1": "cook2001title", "k2": "cook2001titleb", "k3": "anonnd"}
     ris = {r.key: r.entry for r in exports.ris(w).collect()}
     assert ris["k1"].split("\n") == ["TY  - BOOK", "TI  - The Title here", "AU  - Cook, A", "PY  - 2001", "JO  - J", "DO  - 10.1/a", "ID  - k1", "ER  - "]
     edges = {(r.u, r.v) for r in exports.citation_edges(w).collect()}
     assert edges == {("k0", "k1"), ("k2", "k0")}
-    xml = exports.graphml(w, exports.citation_edges(w))
-    assert xml.count("<node") == 3 and xml.count("<edge ") == 2
+    exports.write_graphml(w, exports.citation_edges(w), (tmp_path / "g.graphml").as_uri())
+    xml = ElementTree.fromstring((tmp_path / "g.graphml").read_text())
+    assert [e.tag.rpartition("}")[2] for e in xml[-1]] == ["node"] * 3 + ["edge"] * 2
     scores = spark.createDataFrame([("k1", 0.5), ("k2", 0.5), ("k3", 1.0)], "key string, score double")
     c = exports.candidates(w, scores).collect()
     assert [(r["rank"], r.key, r.score) for r in c] == [(1, "k3", "1.000000"), (2, "k1", "0.500000"), (3, "k2", "0.500000")] and len(c[0]) == 13
@@ -166,6 +169,29 @@ def test_exports(spark):
     assert exports.audit_line("x", b=1, a="é") == '{"a": "é", "b": 1, "event": "x"}'
 
 
+def test_ordered_files(spark, tmp_path):
+    """Many parts in one file, in order, under a header and over a footer; written anew, and with no row at all."""
+    rows = [(k * 7919 % 5000, f"line {k * 7919 % 5000:05} é\nof two") for k in range(5000)]
+    df = spark.createDataFrame(rows, "k int, line string").repartition(9)
+    path = tmp_path / "out.txt"
+    for part in (df.where("k < 10"), df):
+        exports.write_ordered(part, ["k"], path.as_uri(), "head\n", "foot\n")
+    assert path.read_text() == "head\n" + "".join(f"line {k:05} é\nof two\n" for k in range(5000)) + "foot\n"
+    exports.write_ordered(df.limit(0), ["k"], path.as_uri(), "head\n", "foot\n")
+    assert path.read_text() == "head\nfoot\n"
+    assert [f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")] == ["out.txt"]
+
+
+def test_graphml_of_odd_texts(spark, tmp_path):
+    """Marks, quotes, controls, line ends and nulls in keys and titles; a parser reads them back."""
+    nodes = spark.createDataFrame([("a<b", 'x & "y"'), ("c", None), ("d", "one\ntwo\x0bthree")], "key string, title string")
+    edges = spark.createDataFrame([("a<b", "c", "p&q"), ("c", "d", None)], "u string, v string, provider string")
+    exports.write_graphml(nodes, edges, (tmp_path / "g.xml").as_uri())
+    graph = ElementTree.fromstring((tmp_path / "g.xml").read_text())[-1]
+    assert [(n.get("id"), n[0].text) for n in graph if n.get("id")] == [("a<b", 'x & "y"'), ("c", None), ("d", "one twothree")]
+    assert [(e.get("source"), e.get("target"), e[0].text) for e in graph if e.get("source")] == [("a<b", "c", "p&q"), ("c", "d", None)]
+
+
 def test_label_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
