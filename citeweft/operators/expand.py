@@ -29,8 +29,9 @@ def snowball(edges: DataFrame, seeds: DataFrame, included: DataFrame, max_rounds
     gold = included.select(F.col("key").alias("dst")).distinct().withColumn("included", F.lit(True))
     step = Bucketed(edges.select("src", "dst").distinct().join(gold, "dst", "left").select("src", "dst", F.coalesce("included", F.lit(False)).alias("included")), "src")
     found = Bucketed(seeds.select("trial", "key").distinct().select("trial", "key", F.lit(0).alias("n"), F.lit(True).alias("included")), "trial", "key")
+    links = step.read()
     for n in range(1, max_rounds + 1):
-        if not found.append(one_round(step.read(), found.read(), n)):
+        if not found.append(one_round(links, found.read(), n)):
             break
     step.close()
     return found.close()

@@ -99,6 +99,22 @@ def merge_events(labels: DataFrame, found: DataFrame) -> DataFrame:
     return ok.groupBy("rep").agg(F.count("*").alias("members")).join(best, "rep")
 
 
+def merge_conflicts(works: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("title", "doi", "year", "venue", "type", "language"), precedence: tuple[str, ...] = ()) -> DataFrame:
+    """(rep, field, kept, other): fields in which the works of a cluster say different things.
+
+    ``kept`` is what the merge keeps, the value of the best provider that says something, then of the smallest key; ``other``
+    is that of the last work, by key, that says something else. Nulls and empty texts say nothing. labels (key, rep).
+    """
+    rows = works.join(labels.select("key", "rep"), "key")
+    place = S.provider_rank(F.transform("provenance", lambda p: p["provider"]), precedence) if "provenance" in works.columns else F.lit(0)
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields if f in works.columns))
+    said = rows.select("rep", "key", place.alias("rank"), F.inline(each)).where("value <> ''")
+    # the first value, and the last that is not it: of the values by their last keys the best or the second
+    values = said.groupBy("rep", "field", "value").agg(F.min(F.struct("rank", "key")).alias("first"), F.max("key").alias("last"))
+    kept = values.groupBy("rep", "field").agg(F.min_by("value", "first").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    return values.join(kept, ["rep", "field"]).where("value <> kept").groupBy("rep", "field", "kept").agg(F.max_by("value", "last").alias("other"))
+
+
 def _said(c: Column, kind: str) -> Column:
     if kind == "string":
         return c.isNotNull() & (c != "")

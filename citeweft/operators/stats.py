@@ -74,10 +74,13 @@ def threshold_band(scores: DataFrame, taus: list[float]) -> DataFrame:
 
 
 def robustness(a: DataFrame, b: DataFrame, tau: float, low: float, high: float) -> DataFrame:
-    """Two score tables (key, score): flips over the threshold, those at the boundary, mean absolute difference."""
+    """Two score tables (key, score): flips over the threshold, those at the boundary, mean absolute difference, Cohen's kappa."""
     both = a.select("key", F.col("score").alias("x")).join(b.select("key", F.col("score").alias("y")), "key")
     flip = (F.col("x") >= tau) != (F.col("y") >= tau)
-    return both.agg(F.count("*").alias("n"), F.count_if(flip).alias("flips"), F.count_if(flip & F.col("x").between(low, high)).alias("boundary_flips"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"))
+    share = lambda c: F.avg(c.cast("double"))
+    one = both.agg(F.count("*").alias("n"), F.count_if(flip).alias("flips"), F.count_if(flip & F.col("x").between(low, high)).alias("boundary_flips"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"), share(~flip).alias("po"), share(F.col("x") >= tau).alias("pa"), share(F.col("y") >= tau).alias("pb"))
+    one = one.withColumn("pe", F.expr("pa * pb + (1 - pa) * (1 - pb)"))
+    return one.select("n", "flips", "boundary_flips", "mae", F.coalesce(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")), F.when(F.col("n") > 0, 1.0)).alias("kappa"))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -122,6 +125,21 @@ def between_families(scores: DataFrame, family: Column) -> DataFrame:
     return both.select("first", "second", "n", "pearson", icc.alias("icc"), "mae")
 
 
+def within_families(scores: DataFrame, family: Column) -> DataFrame:
+    """(family, k, n, icc): agreement of the raters of each family, over the keys that all of them have scored.
+
+    Two-way random effects, single rater, absolute agreement, from sums by key and by rater. A family of one rater has no row.
+    """
+    rows = scores.where("score is not null").select("key", "rater", F.col("score").cast("double").alias("score"), family.alias("family"))
+    sizes = rows.groupBy("family").agg(F.count_distinct("rater").alias("k")).where("k > 1")
+    full = rows.groupBy("family", "key").agg(F.count_distinct("rater").alias("have"), F.sum("score").alias("t"), F.sum(F.col("score") * F.col("score")).alias("q")).join(F.broadcast(sizes), "family").where("have = k")
+    whole = full.groupBy("family", "k").agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum(F.col("t") * F.col("t")).alias("tt"))
+    by = rows.join(full.select("family", "key"), ["family", "key"], "left_semi").groupBy("family", "rater").agg(F.sum("score").alias("s")).groupBy("family").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    one = whole.join(by, "family").withColumn("g", F.expr("t * t / (n * k)")).withColumn("r", F.expr("tt / k - g")).withColumn("c", F.expr("ss / n - g"))
+    one = one.withColumns({"msr": F.expr("try_divide(r, n - 1)"), "msc": F.expr("c / (k - 1)"), "mse": F.expr("try_divide(q - g - r - c, (n - 1) * (k - 1))")})
+    return one.select("family", "k", "n", F.expr("try_divide(msr - mse, msr + (k - 1) * mse + k * (msc - mse) / n)").alias("icc"))
+
+
 def blind_controls(rows: DataFrame, tau: float) -> DataFrame:
     """Known positives among candidates, from rows (score, positive): AUC with and without the lowest tenth of them.
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, pairs, resolve, similar, stopping
+from ..operators import intervals, pairs, resolve, similar, stopping, verify
 from ..operators.kept import Clusters
 from ..sinks import exports
 from ..storage import durable, shared_dir
@@ -157,3 +157,67 @@ def graphml_file(spark, d):
     edge = ends.where("kind = 'edge'").select(F.col("from").alias("edges_from"))
     ok = (F.col("kind") == "frame") | ((F.col("top") == F.col("first")) & (F.col("bottom") == F.col("last")) & ((F.col("kind") == "edge") | (F.col("to") < F.col("edges_from"))))
     return ends.join(F.broadcast(edge)).select("kind", "n", "first", "last", ok.alias("in_order"))
+
+
+# --- conflicts, agreement within families, rationales, drift -------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE {Q.SQL_CLUSTERS}, said AS (SELECT rep, r.key, unnest(['title', 'doi', 'year', 'language']) AS field, unnest([t.title, x.doi, x.year::VARCHAR, t.lang]) AS value
+      FROM res r JOIN rec x ON x.key = r.key JOIN tn t ON t.key = r.key WHERE NOT suspicious),
+    v AS (SELECT rep, field, value, min(key) AS first, max(key) AS last FROM said WHERE value <> '' GROUP BY ALL), k AS (SELECT rep, field, arg_min(value, first) AS kept FROM v GROUP BY ALL)
+    SELECT rep, field, kept, arg_max(value, last) AS other FROM v JOIN k USING (rep, field) WHERE value <> kept GROUP BY ALL"""
+)
+def merge_conflicts(spark, d):
+    """Titles, DOIs, years and languages in which documents that resolve to one differ."""
+    r = Q.records(spark, d)
+    works = r.select("key", "doi", "year").join(A.text_works(spark, d).select("key", "title", F.col("lang").alias("language")), "key")
+    labels = resolve.resolve(r)[0].where("not suspicious")
+    return resolve.merge_conflicts(works, labels, ("title", "doi", "year", "language"))
+
+
+@query(
+    f"""WITH {A.SQL_SCORES}, r AS (SELECT key, rater, substr(rater, 1, 1) AS family, score FROM scores WHERE score IS NOT NULL), s AS (SELECT family, count(DISTINCT rater) AS k FROM r GROUP BY 1 HAVING count(DISTINCT rater) > 1),
+    w AS (SELECT family, key, k FROM r JOIN s USING (family) GROUP BY ALL HAVING count(*) = k), b AS (SELECT r.*, k FROM r JOIN w USING (family, key)),
+    g AS (SELECT family, k, avg(score) AS m, count(DISTINCT key) AS n FROM b GROUP BY ALL), rm AS (SELECT family, sum((x - m) ** 2) * k AS r FROM (SELECT family, key, avg(score) AS x FROM b GROUP BY ALL) JOIN g USING (family) GROUP BY family, k),
+    cm AS (SELECT family, sum((x - m) ** 2) * n AS c FROM (SELECT family, rater, avg(score) AS x FROM b GROUP BY ALL) JOIN g USING (family) GROUP BY family, n), tt AS (SELECT family, sum((score - m) ** 2) AS t FROM b JOIN g USING (family) GROUP BY family),
+    ms AS (SELECT family, k, n, r / (n - 1) AS r, c / (k - 1) AS c, (t - r - c) / ((n - 1) * (k - 1)) AS e FROM g JOIN rm USING (family) JOIN cm USING (family) JOIN tt USING (family))
+    SELECT family, k::BIGINT AS k, n::BIGINT AS n, round((r - e) / (r + (k - 1) * e + k * (c - e) / n), 6) AS icc FROM ms"""
+)
+def within_families(spark, d):
+    return longs(Q.stats.within_families(A.scores(spark, d), F.substring("rater", 1, 1)))
+
+
+@query(
+    f"""WITH RECURSIVE {A.SQL_HISTORY}, w AS (SELECT *, count(*) OVER v AS have, max(yield_rate) OVER v AS worst FROM history WINDOW v AS (ORDER BY n ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
+    SELECT n::BIGINT AS n, 'marginal_yield' AS rule, CASE WHEN have < 2 THEN 'There are not yet 2 rounds.' ELSE printf('Yield of the last 2 iterations is at most %.4f; the limit is 0.0800.', worst) END AS rationale FROM w UNION ALL
+    SELECT n, 'budget', cumulative_screened || ' of 1500 records screened.' FROM history UNION ALL
+    SELECT n, 'exhaustion', CASE WHEN frontier_size = 0 THEN 'No record is left to expand.' ELSE frontier_size || ' records are left to expand.' END FROM history"""
+)
+def rule_rationales(spark, d):
+    """What each rule says of each round, in words."""
+    return longs(Q._rules(spark, d).select("n", "rule", "rationale"))
+
+
+@query(
+    f"""WITH {Q.SQL_DRIFT}, asked AS (SELECT * FROM dr ORDER BY cache_key LIMIT 1000) SELECT count(*)::BIGINT AS entries_checked, count(*) FILTER (class = 'deindexed')::BIGINT AS deindexed, count(*) FILTER (class = 'deindexed') = 0 AS ok FROM asked"""
+)
+def verify_refresh(spark, d):
+    """The first thousand cached requests, fetched anew through a fetcher."""
+    old, new = Q._cache(spark, d)
+    return verify.refresh(old, lambda asked: new.join(asked.select("cache_key"), "cache_key", "left_semi"), 1000)[1]
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS key, o_totalprice AS price, o_orderstatus AS status FROM orders), a AS (SELECT key, price FROM o WHERE status <> 'P'), b AS (SELECT key, CASE WHEN status = 'F' AND price > 300000 THEN price + 1 ELSE price END AS price FROM o WHERE status <> 'O' OR price < 350000)
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.key = b.key WHERE a.price IS DISTINCT FROM b.price"""
+)
+def drift_ranges(spark, d):
+    """Two snapshots of orders, compared by the summaries of their ranges first."""
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    old = o.where("status <> 'P'").select("key", "price")
+    new = o.where("status <> 'O' or price < 350000").select("key", F.when((F.col("status") == "F") & (F.col("price") > 300000), F.col("price") + 1).otherwise(F.col("price")).alias("price"))
+    base = f"{shared_dir(spark)}/citeweft/{uuid.uuid4().hex}"
+    for name, rows in (("old", old), ("new", new)):
+        verify.snapshot(rows, f"{base}/{name}", "key")
+    return verify.drift_between(spark, f"{base}/old", f"{base}/new", "key")[0].select("key", "change")

@@ -565,8 +565,7 @@ def membership_arm(spark, d):
 @query("SELECT event_type AS provider, min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day, min(strftime(ts, '%Y-%m-%d')) <> max(strftime(ts, '%Y-%m-%d')) AS differs FROM events GROUP BY 1")
 def closure_window(spark, d):
     """First and last retrieval day of each provider's responses."""
-    day = F.date_format("ts", "yyyy-MM-dd")
-    return A.table(spark, d, "events").groupBy(F.col("event_type").alias("provider")).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), (F.min(day) != F.max(day)).alias("differs"))
+    return verify.closure_window(A.table(spark, d, "events").select(F.col("event_type").alias("provider"), F.col("ts").alias("at")))
 
 
 def _split_seeds(spark, d) -> DataFrame:
@@ -809,7 +808,7 @@ def threshold_band(spark, d):
     return longs(stats.threshold_band(A.scores(spark, d), [5.0, 6.0, 7.0, 8.0]))
 
 
-@query(f"WITH {SQL_TWO} SELECT count(*)::BIGINT AS n, count(*) FILTER ((x >= 7) <> (y >= 7))::BIGINT AS flips, count(*) FILTER ((x >= 7) <> (y >= 7) AND x BETWEEN 6 AND 8)::BIGINT AS boundary_flips, round(avg(abs(x - y)), 6) AS mae FROM two")
+@query(f"WITH {SQL_TWO} SELECT count(*)::BIGINT AS n, count(*) FILTER ((x >= 7) <> (y >= 7))::BIGINT AS flips, count(*) FILTER ((x >= 7) <> (y >= 7) AND x BETWEEN 6 AND 8)::BIGINT AS boundary_flips, round(avg(abs(x - y)), 6) AS mae, round(coalesce((avg(((x >= 7) = (y >= 7))::INT) - avg((x >= 7)::INT) * avg((y >= 7)::INT) - (1 - avg((x >= 7)::INT)) * (1 - avg((y >= 7)::INT))) / nullif(1 - avg((x >= 7)::INT) * avg((y >= 7)::INT) - (1 - avg((x >= 7)::INT)) * (1 - avg((y >= 7)::INT)), 0), 1), 6) AS kappa FROM two")
 def robustness(spark, d):
     s = A.scores(spark, d)
     return longs(stats.robustness(s.where("rater = 'a1'"), s.where("rater = 'a2'"), 7, 6, 8))

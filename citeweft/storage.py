@@ -51,17 +51,15 @@ class Bucketed:
         self.name, self.path, self.columns = f"citeweft_{tag}", f"{shared_dir(self.spark)}/citeweft/{tag}", columns
         self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # a task has the rows of one bucket, so that there is one file for each
-        self._write(df.repartition(self.n, *columns))
+        dealt = df.repartition(self.n, *columns)
+        dealt.write.format("parquet").bucketBy(self.n, *columns).option("path", self.path).saveAsTable(self.name)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
-    def _write(self, df: DataFrame) -> None:
-        df.write.mode("append").format("parquet").bucketBy(self.n, *self.columns).option("path", self.path).saveAsTable(self.name)
-
     def append(self, df: DataFrame) -> int:
-        """Adds rows with the table's columns, best dealt by those of the buckets; how many there were."""
+        """Adds rows with the table's columns in their order, best dealt by those of the buckets; how many there were."""
         seen = Observation()
-        self._write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.name)
         return int(seen.get["n"])
 
     def read(self) -> DataFrame:
