@@ -45,12 +45,12 @@ def seeds(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
 
 
 def text_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as works: the head of the text is the title, the source the author, copies share a DOI."""
+    """Documents as works: the first line of the text is the title, the source the author, copies share a DOI."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.format_string("d:%08d", "doc_id").alias("key"),
         "doc_id",
-        F.substring("text", 1, 60).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.concat(F.lit("https://doi.org/10.1000/"), F.upper(F.substring(F.md5("text"), 1, 10))).alias("doi_raw"),
         F.col("source").alias("surname_raw"),
         (2000 + F.col("doc_id") % 3).cast("int").alias("year"),
@@ -103,7 +103,7 @@ SQL_CAPTURES = f"""{SQL_REACH},
 inc AS (SELECT key FROM found WHERE included),
 captures AS (SELECT e.dst AS key, bool_or(provider = 'A') AS a, bool_or(provider = 'N') AS b, bool_or(provider = 'R') AS c
   FROM edges e JOIN inc x ON x.key = e.src JOIN inc y ON y.key = e.dst GROUP BY e.dst)"""
-SQL_TEXT = r"""tw AS (SELECT printf('d:%08d', doc_id) AS key, doc_id, substr(text, 1, 60) AS title,
+SQL_TEXT = r"""tw AS (SELECT printf('d:%08d', doc_id) AS key, doc_id, split_part(text, chr(10), 1) AS title,
   'https://doi.org/10.1000/' || upper(substr(md5(text), 1, 10)) AS doi_raw, source AS surname_raw, (2000 + doc_id % 3)::INT AS year, lang, text FROM documents),
 tn AS (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(replace(lower(strip_accents(title)), 'ß', 'ss'), '^\s+|\s+$', '', 'g')),
   '^(erratum:|erratum to:|correction:|correction to:|corrigendum:|corrigendum to:|retraction:|retraction note:|withdrawn:)', ''), '[^0-9a-z]+', ' ', 'g')) AS title_norm,

@@ -19,13 +19,13 @@ from .queries import longs, query, r6
 
 @query(
     f"""WITH {A.SQL_TEXT}, r AS (SELECT key, surname, year, title_norm AS t FROM tn WHERE title_norm <> '')
-    SELECT x.key AS a, y.key AS b, x.surname AS author, levenshtein(x.t, y.t)::BIGINT AS edits FROM r x JOIN r y ON x.surname = y.surname AND x.key < y.key AND abs(x.year - y.year) <= 1 AND levenshtein(x.t, y.t) <= 6"""
+    SELECT x.key AS a, y.key AS b, x.surname AS author, levenshtein(x.t, y.t)::BIGINT AS edits FROM r x JOIN r y ON x.surname = y.surname AND x.key < y.key AND abs(x.year - y.year) <= 1 AND CASE WHEN abs(length(x.t) - length(y.t)) <= 6 THEN levenshtein(x.t, y.t) ELSE 99 END <= 6"""
 )
 def author_block_pairs(spark, d):
     """Records of one author, years at most one apart, whose titles are at most six edits apart: few, very large blocks."""
     t = A.text_works(spark, d)
     r = t.select(Q.S.normalize_surname(F.col("surname_raw")).alias("block"), "key", "year", Q.S.normalize_title(F.col("title")).alias("t")).where("t <> ''")
-    near = (F.abs(F.col("a_year") - F.col("b_year")) <= 1) & (F.levenshtein("a_t", "b_t", 6) >= 0)
+    near = (F.abs(F.col("a_year") - F.col("b_year")) <= 1) & (F.abs(F.length("a_t") - F.length("b_t")) <= 6) & (F.levenshtein("a_t", "b_t", 6) >= 0)
     met = pairs.block_pairs(r, "key", ("key", "year", "t"), near)
     return met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), F.col("block").alias("author"), F.levenshtein("a_t", "b_t").cast("long").alias("edits"))
 
