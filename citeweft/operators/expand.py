@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Bucketed
+from ..storage import Bucketed, durable, durable_counted
 
 
 def neighbours(edges: DataFrame, frontier: DataFrame, works: DataFrame | None = None, directions: tuple[str, ...] | None = None) -> DataFrame:
@@ -24,22 +24,26 @@ def snowball(edges: DataFrame, seeds: DataFrame, included: DataFrame, max_rounds
 
     edges (src, dst), seeds (trial, key), included (key): what the screener takes. The frontier is the round's new
     includes; all trials go through one crawl, and a trial is over when its frontier is empty. Edges lie in buckets by src,
-    with whether dst would be included, and what is found in buckets by (trial, key): a round moves its own finds alone.
+    with whether dst would be included: a round reads them where they lie.
     """
     gold = included.select(F.col("key").alias("dst")).distinct().withColumn("included", F.lit(True))
     step = Bucketed(edges.select("src", "dst").distinct().join(gold, "dst", "left").select("src", "dst", F.coalesce("included", F.lit(False)).alias("included")), "src")
-    found = Bucketed(seeds.select("trial", "key").distinct().select("trial", "key", F.lit(0).alias("n"), F.lit(True).alias("included")), "trial", "key")
     links = step.read()
+    found = durable(seeds.select("trial", "key").distinct().select("trial", "key", F.lit(0).alias("n"), F.lit(True).alias("included")))
+    frontier = found
     for n in range(1, max_rounds + 1):
-        if not found.append(one_round(links, found.read(), n)):
+        new, count = durable_counted(one_round(links, frontier, found, n))
+        if not count:
             break
+        found = durable(found.union(new)) if n % 8 == 0 else found.union(new)
+        frontier = new
     step.close()
-    return found.close()
+    return found
 
 
-def one_round(step: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """What round n finds: step (src, dst, included) in buckets by src, found (trial, key, n, included) by (trial, key)."""
-    frontier = found.where((F.col("n") == n - 1) & F.col("included")).select("trial", F.col("key").alias("src"))
+def one_round(step: DataFrame, last: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """What round n finds: step (src, dst, included) in buckets by src, last (trial, key, included) of the round before."""
+    frontier = last.where("included").select("trial", F.col("key").alias("src"))
     near = step.join(frontier, "src").groupBy("trial", F.col("dst").alias("key")).agg(F.first("included").alias("included"))
     return near.join(found.select("trial", "key"), ["trial", "key"], "left_anti").select("trial", "key", F.lit(n).alias("n"), "included")
 

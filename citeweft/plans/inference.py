@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals, pairs, resolve, similar, stopping, verify
 from ..operators.kept import Clusters
 from ..sinks import exports
+from ..sources import provider
 from ..storage import durable, shared_dir
 from . import adapters as A
 from . import queries as Q
@@ -221,3 +222,16 @@ def drift_ranges(spark, d):
     for name, rows in (("old", old), ("new", new)):
         verify.snapshot(rows, f"{base}/{name}", "key")
     return verify.drift_between(spark, f"{base}/old", f"{base}/new", "key")[0].select("key", "change")
+
+
+# --- providers as a data source ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.SQL_EDGES} SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, direction, provider FROM edges WHERE provider IN ('A', 'R')")
+def provider_source(spark, d):
+    """Edges landed as pages by provider, read again through the data source with a condition that it takes over."""
+    e = A.edges(spark, d).select(F.col("src").cast("string").alias("key"), F.col("dst").cast("string").alias("dst"), "provider")
+    path = f"{shared_dir(spark)}/citeweft/{uuid.uuid4().hex}"
+    e.groupBy("provider", "key").agg(F.collect_list("dst").alias("references")).write.partitionBy("provider").json(path)
+    provider.register(spark)
+    return provider.edges(spark, path).where(F.col("provider").isin("A", "R"))

@@ -71,8 +71,14 @@ class Run:
         return self.spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ddl)
 
     def init(self, idents: DataFrame) -> int:
-        """Resolves seed identifiers (ident); they count as included. Returns how many were found."""
-        found = files.resolve_identifiers(idents, files.aliases(self.works))
+        """Resolves seed identifiers (ident); they count as included. Returns how many were found.
+
+        Each goes to the first provider, in the order of precedence, that knows it; what none knows is looked up as it
+        stands, then in lower case, among all names.
+        """
+        found = durable(files.resolve_seeds(idents, files.aliases_by_provider(self.works), list(self.settings.dedup.precedence)))
+        rest = files.resolve_identifiers(found.where("key is null").select("ident"), files.aliases(self.works))
+        found = durable(found.where("key is not null").select("ident", "key").union(rest))
         lost = found.where("key is null").count()
         keys = durable(found.where("key is not null").select("key").distinct())
         n = keys.count()

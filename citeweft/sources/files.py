@@ -28,12 +28,26 @@ def graph(spark: SparkSession, path: str, provider: str = "offline") -> tuple[Da
     return w.withColumns(blank), edges
 
 
-def aliases(works: DataFrame) -> DataFrame:
-    """(ident, key): all names of a work; where two claim one, the later key in order wins."""
+def _names(works: DataFrame) -> DataFrame:
+    """The works' rows for each of their names, ``ident``."""
     ids = F.flatten(F.transform(F.map_entries(F.coalesce("source_ids", F.expr("cast(map() as map<string,string>)"))), lambda e: F.array(F.concat(e["key"], F.lit(":"), e["value"]), e["value"])))
     doi = F.when(F.col("doi").isNotNull(), F.array(F.col("doi"), F.concat(F.lit("doi:"), "doi"))).otherwise(F.expr("cast(array() as array<string>)"))
-    names = works.select("key", F.explode(F.array_distinct(F.concat(F.array("key"), doi, ids))).alias("ident"))
-    return names.groupBy("ident").agg(F.max("key").alias("key"))
+    return works.withColumn("ident", F.explode(F.array_distinct(F.concat(F.array("key"), doi, ids))))
+
+
+def aliases(works: DataFrame) -> DataFrame:
+    """(ident, key): all names of a work; where two claim one, the later key in order wins."""
+    return _names(works).groupBy("ident").agg(F.max("key").alias("key"))
+
+
+def aliases_by_provider(works: DataFrame) -> DataFrame:
+    """(ident, key, provider): all names of a work, for each provider of its provenance; provider is '' where there is none."""
+    none = F.array(F.lit(""))
+    if "provenance" in works.columns:
+        of = F.array_distinct(F.transform("provenance", lambda p: F.coalesce(p["provider"], F.lit(""))))
+        none = F.when(F.size(of) > 0, of).otherwise(none)
+    names = works.withColumn("provider", F.explode(none))
+    return _names(names).groupBy("ident", "provider").agg(F.max("key").alias("key")).select("ident", "key", "provider")
 
 
 def resolve_identifiers(idents: DataFrame, names: DataFrame) -> DataFrame:

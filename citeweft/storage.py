@@ -41,27 +41,20 @@ def durable_counted(df: DataFrame, what: Column | None = None) -> tuple[DataFram
 class Bucketed:
     """A table in the shared folder whose rows lie in buckets by the hash of some columns, as a shuffle would deal them.
 
-    A join or an aggregate on these columns reads it without an exchange. Rows can be added; the name in the session's
-    catalog goes with ``close``, the files stay until the driver exits, as those of ``durable``.
+    A join or an aggregate on these columns reads it without an exchange. The name in the session's catalog goes with
+    ``close``, the files stay until the driver exits, as those of ``durable``.
     """
 
     def __init__(self, df: DataFrame, *columns: str):
         self.spark = df.sparkSession
         tag = uuid.uuid4().hex
-        self.name, self.path, self.columns = f"citeweft_{tag}", f"{shared_dir(self.spark)}/citeweft/{tag}", columns
-        self.n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"citeweft_{tag}", f"{shared_dir(self.spark)}/citeweft/{tag}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # a task has the rows of one bucket, so that there is one file for each
-        dealt = df.repartition(self.n, *columns)
-        dealt.write.format("parquet").bucketBy(self.n, *columns).option("path", self.path).saveAsTable(self.name)
+        df.repartition(n, *columns).write.format("parquet").bucketBy(n, *columns).option("path", self.path).saveAsTable(self.name)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
-    def append(self, df: DataFrame) -> int:
-        """Adds rows with the table's columns in their order, best dealt by those of the buckets; how many there were."""
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.name)
-        return int(seen.get["n"])
-
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 

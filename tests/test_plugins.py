@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pytest
 from citeweft import settings
-from citeweft.model import WORKS_DDL, RunSettings
+from citeweft.model import WORKS_DDL, DedupSettings, RunSettings
 from citeweft.operators import expand, rank, stopping, studies
 from citeweft.run import Run
 from citeweft.storage import Bucketed
@@ -87,18 +87,19 @@ def test_rankers_keep_to_their_contract(spark):
 
 
 def test_rounds_move_no_edges(spark):
-    """A round's plan deals its finds alone: no exchange stands above the scan of the edges, or of what is found."""
+    """A round's plan deals its frontier, its finds and what is known: no exchange stands above the scan of the edges."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         edges = spark.range(2000).select((F.col("id") % 97).alias("src"), (F.col("id") % 89).alias("dst"), F.lit(True).alias("included")).distinct()
         step = Bucketed(edges, "src")
-        found = Bucketed(spark.createDataFrame([("t", 1, 0, True)], "trial string, key long, n int, included boolean"), "trial", "key")
-        plan = expand.one_round(step.read(), found.read(), 1)._jdf.queryExecution().executedPlan().toString()
+        found = spark.createDataFrame([("t", 1, 0, True)], "trial string, key long, n int, included boolean")
+        new = expand.one_round(step.read(), found, found, 1)
+        plan = new._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") >= 2  # of the frontier, and of the finds
-    assert found.append(expand.one_round(step.read(), found.read(), 1)) == len({r.dst for r in edges.where("src = 1").collect()} - {1})
-    step.close(), found.close()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Bucketed: true") == 1
+    assert new.count() == len({r.dst for r in edges.where("src = 1").collect()} - {1})
+    step.close()
 
 
 def test_co_citation_counts_shared_parents(spark):
@@ -106,3 +107,25 @@ def test_co_citation_counts_shared_parents(spark):
     inc = spark.createDataFrame([("i",), ("j",)], "key string")
     cand = spark.createDataFrame([("c",), ("i",), ("k",)], "key string")
     assert {r.key: r.cocitation for r in rank.network_features(prov, cand, inc).collect()} == {"c": 3, "i": 1, "k": 0}
+
+
+def test_seeds_go_to_the_first_provider_in_order(spark):
+    """One DOI at two providers under different keys; the order of precedence decides which work is the seed."""
+    rows = [("w1", "10.1000/x", [("b", None, None)]), ("w2", "10.1000/x", [("a", None, None)]), ("w3", None, [])]
+    works = spark.createDataFrame([(k, k, k, d) for k, d, _ in rows], "key string, title string, title_norm string, doi string")
+    prov = spark.createDataFrame([(k, p[0][0] if p else None) for k, _, p in rows], "key string, provider string")
+    full = spark.createDataFrame([], WORKS_DDL)
+    kinds = dict(full.dtypes)
+    w = works.join(prov, "key")
+    for c in full.columns:
+        if c == "provenance":
+            names = [x.split(":")[0] for x in kinds[c][len("array<struct<") : -2].split(",")]
+            one = F.struct(*(F.col("provider").alias(n) if n == "provider" else F.lit(None).cast("string").alias(n) for n in names))
+            w = w.withColumn(c, F.when(F.col("provider").isNotNull(), F.array(one)).otherwise(F.array()).cast(kinds[c]))
+        elif c not in w.columns:
+            w = w.withColumn(c, F.lit(None).cast(kinds[c]))
+    edges = spark.createDataFrame([], "src string, dst string, direction string, provider string")
+    for order, want in ((("a", "b"), {"w2", "w3"}), (("b", "a"), {"w1", "w3"})):
+        run = Run(w.select(full.columns), edges, RunSettings(dedup=DedupSettings(precedence=order)))
+        assert run.init(spark.createDataFrame([("https://doi.org/10.1000/X",), ("W3",), ("nobody",)], "ident string")) == 2
+        assert {r.key for r in run.decisions.collect()} == want
