@@ -127,7 +127,7 @@ def rule_custom(spark, d):
 @query(f"WITH RECURSIVE {Q.SQL_CLUSTERS} SELECT key, cluster AS rep FROM res")
 def incremental_clusters(spark, d):
     """The clusters of all matches, taken in three batches: those by DOI, by equal titles, and the others."""
-    found = durable(resolve.matches(Q.records(spark, d)))
+    found = durable(resolve.links(Q.records(spark, d)))
     kept = Clusters(spark)
     for tiers in (("T1",), ("T2",), ("T3", "T4")):
         kept.add(found.where(F.col("tier").isin(*tiers)))
@@ -173,7 +173,7 @@ def merge_conflicts(spark, d):
     """Titles, DOIs, years and languages in which documents that resolve to one differ."""
     r = Q.records(spark, d)
     works = r.select("key", "doi", "year").join(A.text_works(spark, d).select("key", "title", F.col("lang").alias("language")), "key")
-    labels = resolve.resolve(r)[0].where("not suspicious")
+    labels = resolve.labelled(r).where("not suspicious")
     return resolve.merge_conflicts(works, labels, ("title", "doi", "year", "language"))
 
 

@@ -91,3 +91,28 @@ def test_clusters_of_a_long_chain(spark):
 def test_same_key_rows(spark):
     df = spark.createDataFrame([("a", "t", 2000, "cook", None)] * 3, DDL)
     assert resolve.candidate_pairs(df).where(F.col("a_key") == F.col("b_key")).count() == 0
+
+
+def test_links_are_few_and_leave_the_clusters_of_all_pairs(spark):
+    """Copies with like, unlike and no DOIs: pairs grow with the square of a group, links do not; pairs are those of the tiers."""
+    rng = random.Random(5)
+    titles = ["a shared opening of titles one", "a shared opening of titles two", "something else altogether"]
+    rows = [(f"k{k:03}", rng.choice(titles), rng.choice([1999, 2000, 2001, None]), rng.choice(["cook", "amcook", "", "li", None]), rng.choice([None, "", f"10.1/{k % 30}"])) for k in range(300)]
+    df = spark.createDataFrame(rows, DDL)
+    found, few = resolve.matches(df), resolve.links(df)
+    assert resolve.links(df.unionByName(df.withColumn("key", F.concat(F.lit("z"), "key")))).count() < 3 * few.count() < 6 * len(rows)
+    near = lambda x, y: x[3] and y[3] and (x[3] == y[3] or {x[3], y[3]} == {"cook", "amcook"}) and abs(x[2] - y[2]) <= 1
+    star = {d: min(r[0] for r in rows if r[4] == d) for d in {r[4] for r in rows if r[4]}}
+    want = {(x[0], y[0], "T1") for x in rows for y in rows if x[4] and x[4] == y[4] and x[0] != y[0] and x[0] == star[x[4]]}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if x[2] and y[2] and not (x[4] and y[4] and x[4] != y[4]) and (x[0], y[0], "T1") not in want:
+                same = x[1] == y[1]
+                if same and near(x, y):
+                    want.add((x[0], y[0], "T2"))
+                elif near(x, y) and {x[1], y[1]} <= set(titles[:2]):
+                    want.add((x[0], y[0], "T3"))
+                elif same and x[2] == y[2] and not (x[3] and y[3]):
+                    want.add((x[0], y[0], "T4"))
+    assert sorted((r.a, r.b, r.tier) for r in found.collect()) == sorted(want)
+    assert sorted(map(tuple, clusters(few).collect())) == sorted(map(tuple, clusters(found).collect()))
