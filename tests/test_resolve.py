@@ -116,3 +116,16 @@ def test_links_are_few_and_leave_the_clusters_of_all_pairs(spark):
                     want.add((x[0], y[0], "T4"))
     assert sorted((r.a, r.b, r.tier) for r in found.collect()) == sorted(want)
     assert sorted(map(tuple, clusters(few).collect())) == sorted(map(tuple, clusters(found).collect()))
+
+
+def test_conflicts_of_fields_make_no_pairs_of_blocks(spark, tmp_path, monkeypatch):
+    """Pairs of T1 are looked at by themselves; years far apart in one block of titles, and an empty title, count too."""
+    from citeweft.plans import queries
+
+    rows = [(k, text, "en", "src") for k, text in enumerate(["one title\nmore"] * 9 + ["\nno title"] * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(resolve, "candidate_pairs", lambda r: 1 / 0)
+    got = sorted(map(tuple, queries.field_conflicts(spark, str(tmp_path)).collect()))
+    key = lambda k: f"d:{k:08}"
+    near = [(0, 4), (0, 8), (12, 16)]
+    assert got == [(key(a), key(b), int(a % 3 != b % 3)) for a, b in near if len({(2000 + a % 3) // 2, (2001 + a % 3) // 2} & {(2000 + b % 3) // 2, (2001 + b % 3) // 2})]
