@@ -74,7 +74,9 @@ def bibtex_keys(works: DataFrame) -> DataFrame:
     """(key, bibkey): equal keys get b, c, … in order of the works' keys."""
     base = S.bib_key(F.get("authors", F.lit(0))["surname"], F.col("year"), F.col("title"))
     rows = works.select("key", base.alias("base")).withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("key")))
-    return rows.select("key", F.when(F.col("n") > 1, F.concat("base", F.char(96 + F.col("n")))).otherwise(F.col("base")).alias("bibkey"))
+    # char() takes its number modulo 256, and would give keys again
+    letter = F.decode(F.unhex(F.lpad(F.hex(96 + F.col("n")), 8, "0")), "UTF-32")
+    return rows.select("key", F.when(F.col("n") > 1, F.concat("base", letter)).otherwise(F.col("base")).alias("bibkey"))
 
 
 def bibtex(works: DataFrame) -> DataFrame:

@@ -206,3 +206,13 @@ def test_label_stream(spark, tmp_path):
     q = L.rates(stream).writeStream.outputMode("complete").format("memory").queryName("rates").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n_screened for r in spark.table("rates").collect()) == 3
+
+
+def test_bibtex_keys_beyond_char(spark):
+    """The letters of equal keys go on beyond the 256th: no key comes twice."""
+    from citeweft.sinks import exports
+    from pyspark.sql import functions as F
+
+    works = spark.range(600).select(F.format_string("k%04d", "id").alias("key"), F.array(F.struct(F.lit("Cook").alias("surname"))).alias("authors"), F.lit(2000).alias("year"), F.lit("Some title").alias("title"))
+    got = [r.bibkey for r in exports.bibtex_keys(works).orderBy("key").collect()]
+    assert len(set(got)) == 600 and got[1] == got[0] + "b" and got[-1] == got[0] + chr(96 + 600)
