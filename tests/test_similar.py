@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from citeweft.functions.udfs import jaro_winkler
 from citeweft.operators import similar
@@ -105,3 +106,28 @@ def test_references_are_matched_from_works_alone(spark):
     refs = spark.createDataFrame([("p", 0, "Graph search for revews", 2000, None), ("p", 1, "nothing like it", 2000, None), ("p", 2, "Something Else Altogether", None, "10.9/own")], "path string, ord int, title string, year int, doi string")
     r = landed.with_own_candidates(refs, w).collect()
     assert {(x.ord, x.doi) for x in r} == {(0, "10.1000/a"), (1, None), (2, "10.9/own")}
+
+
+def test_many_pairs_at_once_are_scored_as_one_by_one(spark):
+    """The vectorised similarity is the plain one to the last bit; long titles of one language take part in chunks of few letters."""
+    from citeweft.functions.jaro import Letters
+
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("abc dé𝄞") for _ in range(rng.randint(1, 30))) for _ in range(120)})
+    texts += [" ".join(rng.choice(("die", "und", "schen", "ver", "heit")) for _ in range(200)) for _ in range(6)]
+    known = Letters(texts)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    assert known.similarity(a, b).tolist() == [jaro_winkler(texts[i], texts[j]) for i, j in zip(a, b, strict=True)]
+    for i in range(len(texts)):
+        near = set(known.possible(i, np.arange(len(texts)), 0.85).tolist())
+        assert all(j in near for j in range(len(texts)) if jaro_winkler(texts[i], texts[j]) >= 0.85)
+
+
+def test_pairs_are_made_inside_tiles(spark, monkeypatch):
+    """No pair goes through a shuffle before it is compared, and chunks beyond their size are cut: every pair is found still."""
+    monkeypatch.setattr(similar, "SIDES", (8, 8))
+    own = sorted(set(titles(random.Random(9), 40)) - {""})
+    df = spark.createDataFrame([(t,) for t in own], "t string")
+    got = similar.similar(df, None, 0.9)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroups")[0]
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in own for b in own if a < b and jaro_winkler(a, b) >= 0.9)
