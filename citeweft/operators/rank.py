@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import RankWeights
-from ..storage import durable
+from ..storage import Bucketed, durable
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -21,16 +21,17 @@ def bm25(included: DataFrame, candidates: DataFrame, k1: float = 1.2, b: float =
 
     Terms are summed in their order, so that a score does not hang on how the rows were spread.
     """
-    tf = term_counts(candidates)
+    # texts are taken apart once; counts lie in buckets by term, where they meet those of the query
+    tf = Bucketed(term_counts(candidates), "term").read()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     query = included.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("qw"))
-    sizes = candidates.select("key", F.size("terms").alias("dl"))
+    sizes = durable(candidates.select("key", F.size("terms").alias("dl")))
     whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     rows = tf.join(query.join(df, "term"), "term").join(sizes, "key").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.log(1 + F.col("qw"))
     sums = rows.groupBy("key").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("term", part.alias("x")))), F.lit(0.0), lambda acc, y: acc + y["x"]).alias("score"))
-    return candidates.select("key").join(sums, "key", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return sizes.select("key").join(sums, "key", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def network_features(provenance: DataFrame, candidates: DataFrame, included: DataFrame) -> DataFrame:
