@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Bucketed, durable
+
 
 def common_basis(scores: DataFrame) -> DataFrame:
     """The scores of the keys that every rater has scored."""
@@ -197,21 +199,26 @@ def screening_terms(text: Column) -> Column:
 
 
 def tfidf(docs: DataFrame) -> DataFrame:
-    """(key, term, w): sublinear tf, smooth idf, unit length. docs (key, terms)."""
-    tf = docs.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    """(key, term, w): sublinear tf, smooth idf, unit length. docs (key, terms).
+
+    Counts and weights are written once each, in buckets by term: texts are taken apart once, whatever is made of the
+    weights, and what joins or adds up terms reads them where they lie.
+    """
+    tf = Bucketed(docs.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")), "term").read()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     raw = tf.join(df, "term").join(F.broadcast(n)).select("key", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     size = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, "key").select("key", "term", (F.col("w") / F.col("size")).alias("w"))
+    return Bucketed(raw.join(size, "key").select("key", "term", (F.col("w") / F.col("size")).alias("w")), "term").read()
 
 
 def topic_similarity(weights: DataFrame, core: DataFrame) -> DataFrame:
     """(key, similarity): cosine of each document with the centroid of the core ones."""
-    centre = weights.join(core.select("key"), "key", "left_semi").groupBy("term").agg(F.sum("w").alias("c"))
+    centre = durable(weights.join(core.select("key"), "key", "left_semi").groupBy("term").agg(F.sum("w").alias("c")))
     size = centre.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
-    dots = weights.join(centre, "term").groupBy("key").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
-    return weights.select("key").distinct().join(dots, "key", "left").join(F.broadcast(size)).select("key", F.coalesce(F.try_divide("dot", "size"), F.lit(0.0)).alias("similarity"))
+    # terms that the centroid has not add nothing, but a document of such terms alone has its row
+    dots = weights.join(centre, "term", "left").groupBy("key").agg(F.sum(F.col("w") * F.coalesce("c", F.lit(0.0))).alias("dot"))
+    return dots.join(F.broadcast(size)).select("key", F.coalesce(F.try_divide("dot", "size"), F.lit(0.0)).alias("similarity"))
 
 
 def seed_leave_one_out(weights: DataFrame, core: DataFrame) -> DataFrame:
@@ -222,7 +229,7 @@ def seed_leave_one_out(weights: DataFrame, core: DataFrame) -> DataFrame:
     """
     keys = core.select("key").distinct()
     inside = weights.join(keys, "key", "left_semi")
-    centre = inside.groupBy("term").agg(F.sum("w").alias("c"))
+    centre = durable(inside.groupBy("term").agg(F.sum("w").alias("c")))
     whole = centre.agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
     dots = inside.join(centre, "term").groupBy("key").agg(F.sum(F.col("w") * F.col("c")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("own"))
     n = keys.agg(F.count("*").alias("n"))

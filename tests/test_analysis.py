@@ -246,3 +246,24 @@ def test_statistics(spark):
     assert [tuple(r) for r in stats.parse_scores(t).collect()] == [("a", 7.0)]
     ci = stats.bootstrap_mean(scores.where("rater = 'a'").select("key", F.col("score").alias("value"))).collect()[0]
     assert ci.low < ci.mean < ci.high
+
+
+def test_texts_are_taken_apart_once(spark):
+    """TF-IDF and BM25 read the terms of a text once, or once and for its length, whatever is made of them after."""
+    from citeweft.operators import stats
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        seen.add(1)
+        return text.split()
+
+    texts = [(k, f"graph search w{k % 3} only{k}") for k in range(12)]
+    # one part, so that a read of the texts is a call for each
+    docs = spark.createDataFrame(texts, "key long, text string").coalesce(1).select("key", F.udf(split, "array<string>")("text").alias("terms"))
+    core = spark.createDataFrame([(0,), (1,), (2,)], "key long")
+    got = {r.key: r.similarity for r in stats.topic_similarity(stats.tfidf(docs), core).collect()}
+    assert len(got) == 12 and got[0] > got[3] > 0
+    assert seen.value <= 24
+    assert len(rank.bm25(docs.where("key < 3"), docs.where("key >= 3")).collect()) == 9
+    assert seen.value <= 24 + 3 * 12
