@@ -163,3 +163,17 @@ def test_leave_one_out_equals_a_centroid_of_the_others(spark):
         want = {r.key: r.similarity for r in stats.topic_similarity(weights, others).collect()}[k]
         assert math.isclose(got[k], want, abs_tol=1e-9)
     assert got["d"] == 0.0 and stats.seed_leave_one_out(weights, core.limit(2)).count() == 0
+
+
+def test_trials_join_lines_once_and_coverage_needs_no_later_round(spark):
+    """Edges and curve are read from what was written; rows of coverage are those of the crawl to saturation."""
+    from citeweft.plans import studies as plans
+
+    d = "/root/testdata/sf0.001"
+    found, curve, e, _ = plans._trials(spark, d)
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in (e, curve))
+    counts = studies.capture_counts(plans._histories(found, curve, e), list("abc"))
+    whole = studies.coverage_rows(counts, curve, plans.DEPTH)
+    got = plans._coverage(spark, d)[0]
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    assert plans._trials(spark, d, plans.DEPTH)[0].where(f"n > {plans.DEPTH}").isEmpty()
