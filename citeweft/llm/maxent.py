@@ -21,7 +21,6 @@ uniform over its leaves; null ids count as not held out; repeated rows stay; an
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, durable, pick
-from .hashing import U, split, texts
+from .hashing import U
 
 #: The end of a text as a token; no word holds a line feed.
 END = xxhash.xxh3_64_intdigest(b"\n")
 #: Weights or counts that go in one row, tokens that are worked on at once.
 PART, STEP = 1 << 12, 4096
+#: Tokens whose words are looked up or counted at once, and counts of words that a task keeps.
+CHUNK, KEPT = 400_000, 400_000
 #: Rows are trusted by how often they were met, in so many steps of doubling; counts are smoothed by so many even ones.
 BUCKETS, PRIOR = 16, 6.0
 
@@ -65,19 +66,34 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        h = np.fromiter((END if w == b"\n" else xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts))
-        return pa.RecordBatch.from_arrays([_signed(h), pa.array(list(counts.values()), pa.int64())], names=["h", "c"])
+    """Counts of each chunk's words are put together until they are many; a word may come up again in a later part."""
 
-    counts: Counter = Counter()
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate([h for h, _ in waiting]), return_inverse=True)
+        return h, np.bincount(at, np.concatenate([c for _, c in waiting])).astype(np.int64)
+
+    def out(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(h), pa.array(c)], names=["h", "c"])
+
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = ends = 0
     for batch in batches:
-        for text in texts(batch.column("text")):
-            counts.update(split(text))
-            counts[b"\n"] += 1
-            if len(counts) > 400_000:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
+        words, _ = _words(batch.column("text"))
+        ends += batch.num_rows
+        for a in range(0, len(words), CHUNK):
+            some = words.slice(a, CHUNK).dictionary_encode()
+            known = some.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            waiting.append((np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known)), np.bincount(some.indices.to_numpy(), minlength=len(known))))
+            size += len(known)
+            if size > 2 * KEPT:
+                waiting = [merged()]
+                if (size := len(waiting[0][0])) > KEPT:
+                    yield out(*waiting[0])
+                    waiting, size = [], 0
+    if ends:
+        waiting.append((np.array([END], U), np.array([ends])))
+    if waiting:
+        yield out(*merged())
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -192,7 +208,7 @@ class Reader:
         at = np.minimum(np.searchsorted(self.lex.hashes, h), len(self.lex.hashes) - 1)
         return np.where(self.lex.hashes[at] == h, at, -1)
 
-    def chunks(self, batch: pa.RecordBatch, tokens: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def chunks(self, batch: pa.RecordBatch, tokens: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, slots of all, start of each text), a bounded number of tokens or one text at a time.
 
         A text's slots are those of its words and the end (slot 0). Each word of a chunk is looked up once.
@@ -235,12 +251,21 @@ def contexts(hashes: np.ndarray, leaves: np.ndarray, starts: np.ndarray, lex: Le
     return np.stack((one * U(0x9E3779B97F4A7C15), two * U(0xC2B2AE3D27D4EB4F) + U(1), (one ^ (kind.astype(U) + U(2)) * U(0x165667B19E3779F9)) * U(0xD6E8FEB86659FD93)))
 
 
+def powers(z: np.ndarray) -> None:
+    """e to the scores, in their place; scores above 80 would leave the range of single precision with their sum."""
+    if len(z) and z.max() > 80:
+        np.minimum(z, 80, out=z)
+    np.exp(z, out=z)
+
+
 class Tree:
     """Softmax choices down the tree; weights: hashed tables in rows of ``WAYS``, added to the nodes' log shares."""
 
     def __init__(self, lex: Lexicon, weights: np.ndarray | None = None):
         self.lex = lex
         self.weights = np.zeros(lex.tables << lex.bits, np.float32) if weights is None else weights
+        self.nodes, self.ways = lex.nodes.astype(np.int64), lex.ways.astype(np.int64)
+        self.mixed = (self.nodes.astype(U) + U(1)) * U(0xFF51AFD7ED558CCD)
 
     def choices(self, context: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For all choices on the way to each token's leaf: the token's place, its rows of weights, node and way."""
@@ -249,10 +274,13 @@ class Tree:
         n = lex.starts[leaves + 1] - first
         of = np.repeat(np.arange(len(leaves)), n)
         at = np.arange(len(of)) + np.repeat(first - (np.cumsum(n) - n), n)
-        node = lex.nodes[at].astype(np.int64)
-        mixed = (context[:, of] ^ (node.astype(U) + U(1)) * U(0xFF51AFD7ED558CCD)) * U(0xC4CEB9FE1A85EC53)
-        rows = (mixed >> U(68 - lex.bits)).astype(np.int64) + (np.arange(len(context))[:, None] << (lex.bits - 4))
-        return of, rows, node, lex.ways[at].astype(np.int64)
+        mixed = context.take(of, 1)
+        mixed ^= self.mixed.take(at)
+        mixed *= U(0xC4CEB9FE1A85EC53)
+        mixed >>= U(68 - lex.bits)
+        rows = mixed.view(np.int64)
+        rows += np.arange(len(context))[:, None] << (lex.bits - 4)
+        return of, rows, self.nodes.take(at), self.ways.take(at)
 
     def shares(self, rows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all ways at each choice as powers of e, and the sums of those."""
@@ -260,7 +288,7 @@ class Tree:
         table = self.weights.reshape(-1, WAYS)
         for row in rows:
             z += table.take(row, 0)
-        np.exp(np.minimum(z, 80, out=z), out=z)
+        powers(z)
         return z, z @ np.ones(WAYS, np.float32)
 
     def log_probs(self, context: np.ndarray, leaves: np.ndarray) -> np.ndarray:
@@ -351,19 +379,20 @@ def _update(lex_: object, rows_: object, trust: np.ndarray, rate: float):
                     for first in range(0, len(way), STEP):  # a part fits the processor's cache
                         part = slice(first, first + STEP)
                         own = np.arange(len(way[part])) * WAYS + way[part]
-                        z, said = lex.odds.take(node[part], 0), []
+                        z, said, mine = lex.odds.take(node[part], 0), [], []
                         for f, row in enumerate(rows):
                             others = table.take(row[part], 0)
                             flat = others.ravel()
-                            mine = flat.take(own)
-                            flat[own] = mine + np.log1p(-np.exp(-mine))
+                            mine.append(flat.take(own))
+                            mine[f] += np.log1p(-np.exp(-mine[f]))
+                            flat[own] = mine[f]
                             said.append(others)
-                            z += by[f].take(kinds[f][part])[:, None] * others
-                        np.exp(np.minimum(z, 80, out=z), out=z)
-                        z *= (-1 / (z @ ones))[:, None]
-                        z.ravel()[own] += 1
+                            z += np.repeat(by[f].take(kinds[f][part]), WAYS).reshape(z.shape) * others
+                        powers(z)
+                        whole = z @ ones
                         for f in range(len(rows)):
-                            slopes[f] += np.bincount(kinds[f][part], np.einsum("ij,ij->i", z, said[f]), BUCKETS)
+                            said[f] *= z
+                            slopes[f] += np.bincount(kinds[f][part], mine[f] - said[f] @ ones / whole, BUCKETS)
                     for f in range(len(rows)):
                         slope = slopes[f] / len(way)
                         squares[f] += slope**2
@@ -377,7 +406,7 @@ def _update(lex_: object, rows_: object, trust: np.ndarray, rate: float):
 def prepared(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ``_update``: logs of the smoothed counts, and of each row the bucket that it has without one count."""
     out = counts + np.float32(PRIOR / WAYS)
-    return np.log(out, out=out), bucket(np.maximum(counts.reshape(-1, WAYS) @ np.ones(WAYS, np.float32) - 1, 0))
+    return np.log(out, out=out), bucket(np.maximum(counts.reshape(-1, WAYS) @ np.ones(WAYS, np.float32) - 1, 0)).astype(np.uint8)
 
 
 def train(training: DataFrame, lex: Lexicon, lex_: object, rounds: int, rate: float = 0.1) -> Tree:

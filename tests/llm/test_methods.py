@@ -6,6 +6,7 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import brute
@@ -1052,3 +1053,20 @@ def test_packed_keys_make_the_same_buckets(spark, monkeypatch):
         assert {r["key"]: (sorted(r["c"]), r["pivot"]) for r in got} == want and len(got) == len(want)
         assert all(r["n"] == len(r["c"]) for r in got)
     assert sorted(r.at for r in spark.createDataFrame([(int(x),) for x in ngram_join._dealt(spark, 37)], "id long").select(F.pmod(F.hash("id"), F.lit(37)).alias("at")).collect()) == list(range(37))
+
+
+def test_words_are_counted_in_arrays(monkeypatch):
+    """Chunks' counts are put together: few of them kept or many, sums are those of a plain count; no text is split in Python."""
+    texts_ = ["A b a\n c", None, "", "b b é \x0b d"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts_)], names=["text"])
+    want = Counter(xxhash.xxh3_64_intdigest(w) for t in texts_ for w in (t or "").encode().lower().split())
+    want[maxent.END] += len(texts_)
+    monkeypatch.setattr(maxent, "split", None, raising=False)
+    for chunk, kept in ((400_000, 400_000), (3, 2)):
+        monkeypatch.setattr(maxent, "CHUNK", chunk)
+        monkeypatch.setattr(maxent, "KEPT", kept)
+        got = Counter()
+        for part in maxent._count_words(iter([batch, batch.slice(0, 0)])):
+            for h, c in zip(part["h"].to_numpy().view(np.uint64).tolist(), part["c"].to_pylist(), strict=True):
+                got[h] += c
+        assert got == want
