@@ -18,18 +18,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import ONE_BLOCK, md5
+from ..storage import durable
+
 #: 65536 times the distribution function of Poisson(1), rounded down; a draw's weight is how many of these it reaches.
 STEPS = [int(65536 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(8)]
 #: Draws of a digest, distinct values that a task adds up before it sends them on, and replicates that make an interval.
 DRAWS, HELD, LEAST = 8, 4096, 20
 
 
+#: A draw's weight by its 16 bits, their two bytes the other way round, as they lie in a digest.
+WEIGHT = np.searchsorted(STEPS, np.arange(1 << 16, dtype=np.uint16).byteswap(), side="right").astype(np.uint8)
+
+
 def weights(keys: list[str], replicates: int, seed: int) -> np.ndarray:
     """A row for each key, a column for each replicate."""
-    blocks = range(-(-replicates // DRAWS))
-    digests = b"".join(hashlib.md5(f"{seed}|{key}|{b}".encode()).digest() for key in keys for b in blocks)
-    draws = np.frombuffer(digests, ">u2").reshape(len(keys), -1)[:, :replicates]
-    return np.searchsorted(STEPS, draws, side="right").astype(np.int64)
+    blocks = -(-replicates // DRAWS)
+    heads = [f"{seed}|{key}|".encode() for key in keys]
+    sizes = np.fromiter(map(len, heads), np.int64, len(heads))
+    out = np.empty((len(keys), blocks, DRAWS), np.uint8)
+    # heads of one length at a time: their messages differ in bytes alone, and one digest's steps go over all of them
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        same = np.frombuffer(b"".join(heads[r] for r in rows), np.uint8).reshape(len(rows), size)
+        for b in range(blocks):
+            tail = str(b).encode()
+            if size + len(tail) <= ONE_BLOCK:
+                digests = md5(same, tail)
+            else:
+                digests = np.frombuffer(b"".join(hashlib.md5(heads[r] + tail).digest() for r in rows), "<u4").reshape(-1, 4)
+            out[rows, b] = WEIGHT[digests.view("<u2")]
+    return out.reshape(len(keys), -1)[:, :replicates]
 
 
 def ends(draws: np.ndarray, level: float) -> tuple[float | None, float | None]:
@@ -63,11 +82,11 @@ def _by_value(replicates: int, seed: int):
                 continue
             score = np.array(batch.column("score"), float)
             side = np.where(np.array(batch.column("positive"), bool), 0, 1)
-            w = np.column_stack((np.ones(len(score), np.int64), weights(batch.column("key").to_pylist(), replicates, seed)))
+            w = np.column_stack((np.ones(len(score), np.uint8), weights(batch.column("key").to_pylist(), replicates, seed)))
             order = np.lexsort((side, score))
             score, side, w = score[order], side[order], w[order]
             starts = np.flatnonzero(np.concatenate(([True], (score[1:] != score[:-1]) | (side[1:] != side[:-1]))))
-            for value, k, total in zip(score[starts].tolist(), side[starts].tolist(), np.add.reduceat(w, starts), strict=True):
+            for value, k, total in zip(score[starts].tolist(), side[starts].tolist(), np.add.reduceat(w, starts, dtype=np.int64), strict=True):
                 sums.setdefault(value, np.zeros((2, replicates + 1), np.int64))[k] += total
             if len(sums) > HELD:
                 yield out()
@@ -124,7 +143,8 @@ def auc_interval(rows: DataFrame, replicates: int = 200, level: float = 0.95, se
     out; no rows give no row; counts of pairs are whole numbers, exact to 2**63.
     """
     fit = rows.select(F.col("key").cast("string").alias("key"), F.col("score").cast("double").alias("score"), "positive").where("key is not null and score is not null and not isnan(score) and positive is not null")
-    by = fit.mapInArrow(_by_value(replicates, seed), "score double, p binary, q binary")
+    # ranges are sampled first: written, so that the weights are not drawn a second time for that
+    by = durable(fit.mapInArrow(_by_value(replicates, seed), "score double, p binary, q binary"))
     ranges = by.repartitionByRange("score").sortWithinPartitions("score").mapInArrow(_scan, "first double, p binary, q binary, won binary")
     return ranges.repartition(1).sortWithinPartitions("first").mapInArrow(_areas(level), "auc double, low double, high double, n_positive long, n_negative long")
 

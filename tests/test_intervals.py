@@ -40,6 +40,16 @@ def test_weights_are_poisson():
     assert [w[7, r] for r in range(50)] == [drawn("7", r, 1) for r in range(50)]
 
 
+def test_digests_are_made_together(monkeypatch):
+    """Keys of any length and letters draw as their MD5 says; only what passes one block is digested one by one."""
+    keys = [*map(str, range(300)), "", "é|ß", "a\0", *("b" * n for n in (50, 51, 52, 53, 80))]
+    want = [[drawn(k, r) for r in range(100)] for k in keys]
+    calls, md5 = [], hashlib.md5
+    monkeypatch.setattr(intervals.hashlib, "md5", lambda x: calls.append(x) or md5(x))
+    assert intervals.weights(keys, 100, 0).tolist() == want
+    assert 0 < len(calls) < 100 and all(len(x) > 55 for x in calls)
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_auc_interval(spark, monkeypatch, partitions):
     """Ties within and over ranges of scores, sums that a task sends on early."""
