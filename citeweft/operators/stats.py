@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import Bucketed, durable
+from ..storage import Bucketed, dealt, durable
 
 
 def common_basis(scores: DataFrame) -> DataFrame:
@@ -111,6 +111,7 @@ def between_families(scores: DataFrame, family: Column) -> DataFrame:
 
     The ICC (two raters, absolute agreement) is in closed form from variances, so that all pairs take one aggregate.
     """
+    scores = dealt(scores, scores.count(), "key")
     means = common_basis(scores).groupBy("key", family.alias("family")).agg(F.avg("score").alias("s"))
     a = means.select("key", F.col("family").alias("first"), F.col("s").alias("x"))
     b = means.select("key", F.col("family").alias("second"), F.col("s").alias("y"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
 import plain as plain_versions
+from citeweft import storage
 from citeweft.operators import estimate, simulate, stats, stopping, studies
 from pyspark.sql import functions as F
 
@@ -145,6 +147,17 @@ def test_between_families_equals_the_whole_table(spark):
     assert (got.first, got.second, got.n) == ("a", "b", want.n) and math.isclose(got.icc, want.icc, abs_tol=1e-9)
 
 
+def test_families_meet_in_as_many_tasks_as_their_scores_need(spark, monkeypatch):
+    """Keys are dealt once, to more tasks where there are more scores, and the result is the same."""
+    df = spark.createDataFrame([(k, r, float((k * m) % 10)) for k in range(30) for r, m in (("a1", 3), ("a2", 4), ("b1", 7))], "key long, rater string, score double")
+    want = stats.between_families(df, F.substring("rater", 1, 1)).collect()
+    monkeypatch.setattr(storage, "DEAL", 5)
+    got = stats.between_families(df, F.substring("rater", 1, 1))
+    by_key = re.findall(r"hashpartitioning\(key#\d+L?, (\d+)\)", got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString())
+    assert by_key and set(by_key) == {"18"}
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in got.collect()] == [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in want]
+
+
 def test_rule_order_is_the_settings_order(spark):
     rows = [("t", 1, r, True, False) for r in ("budget", "marginal_yield")]
     d = stopping.rule_set(spark.createDataFrame(rows, "trial string, n int, rule string, triggered boolean, advisory boolean"), ["marginal_yield", "budget"]).collect()[0]
