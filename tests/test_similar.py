@@ -131,3 +131,25 @@ def test_pairs_are_made_inside_tiles(spark, monkeypatch):
     got = similar.similar(df, None, 0.9)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroups")[0]
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((a, b) for a in own for b in own if a < b and jaro_winkler(a, b) >= 0.9)
+
+
+def test_order_of_heads_rules_pairs_out_and_loses_none():
+    """Texts of the same letters in another order go by their heads; no pair that reaches the threshold does."""
+    from citeweft.functions.jaro import Letters, Others
+
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("abcdefgh "[:k]), n)) for k in (2, 3, 9) for n in (1, 2, 5, 30, 200) for _ in range(6)]
+    for t in list(texts):  # some swaps, some letters gone
+        u = rng.permutation(list(t)) if len(t) < 6 else list(t[:-3]) + list(rng.permutation(list(t[-3:])))
+        texts += ["".join(u), t[: len(t) // 2] + t[len(t) // 2 + 1 :] or "a"]
+    known = Letters(texts)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    score = known.similarity(i, j)
+    for least in (0.8, 0.9, 0.97):
+        assert known.ordered(i, j, least)[score >= least].all()
+    one = list("abcdefghijklmnopqrstuvwxyz" * 8)
+    known = Letters(["".join(rng.permutation(one)) for _ in range(30)])
+    held = Others(known, np.arange(30), 0.9)
+    assert all(len(held.possible(k, 0, 30)) == 30 for k in range(30))  # their letters allow every pair
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30)))
+    assert (known.ordered(i, j, 0.9) == (i == j)).all()
