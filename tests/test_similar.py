@@ -153,3 +153,16 @@ def test_order_of_heads_rules_pairs_out_and_loses_none():
     assert all(len(held.possible(k, 0, 30)) == 30 for k in range(30))  # their letters allow every pair
     i, j = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30)))
     assert (known.ordered(i, j, 0.9) == (i == j)).all()
+
+
+def test_reached_is_the_similarity_or_null(spark):
+    """Nulls, empty texts and what stays below the threshold are null, as NaN would pass every condition."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.choice([1, 4, 30, 90]))) for _ in range(40)]
+    pairs = [(a, b[:k] + b[k + 1 :]) for a in texts for b in (a, rng.choice(texts)) for k in (0, len(b) // 2)] + [(None, "a"), ("a", None), ("", ""), ("a", "")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similar.lengths_allow(F.col("a"), F.col("b"), 0.9).alias("may"), similar.reached(F.col("a"), F.col("b"), 0.9).alias("s")).collect()
+    for r in rows:
+        score = jaro_winkler(r.a, r.b) if r.a and r.b else 0.0
+        assert r.s == (score if score >= 0.9 else None)
+        assert r.may or r.s is None
+    assert any(r.s for r in rows) and not all(r.s for r in rows)
